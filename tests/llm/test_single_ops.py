@@ -1,0 +1,239 @@
+"""Operators that need no model of the corpus, against brute force on small inputs and whole small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from oracle import assert_same, duck
+
+from tidemill.llm import fingerprints, line_dedup, pii, registry, telephony
+from tidemill.llm.pieces import Normaliser, Pieces
+
+SF = "/root/testdata/sf0.001"
+ODD = ["", " ", "\n\n", "a", "  a  b ", "\ta\x00b", "x▁y", "😀é ﷽ é\r\n", "q" * 3000, " " * 500, "ab\n" * 200, None]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duck(SF).execute("select doc_id, text from documents").fetchall())
+
+
+def docs_of(spark, texts):
+    """Rows with a clashing extra column, repeated rows and a null id."""
+    rows = [(k, t, "x") for k, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[0], (None, "null id", "y")], "doc_id long, text string, spans string")
+
+
+def test_audio_digests(spark, texts):
+    rows = registry.op5_telephony_audio(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        full = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        media = telephony.store(data)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(data), len(full), len(media))
+        assert r["payload_sha256"] == hashlib.sha256(full).hexdigest() and r["tail_crc32"] == zlib.crc32(full[-64:])
+        assert r["media_sha256"] == hashlib.sha256(media).hexdigest()
+
+
+def slow_adpcm(block):
+    sample = int.from_bytes(block[:2], "little", signed=True)
+    index, out = min(block[2], 88), [sample]
+    for b in block[4:]:
+        for code in (b & 15, b >> 4):
+            step = telephony._STEPS[index]
+            diff = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            sample = max(-32768, min(32767, sample - diff if code & 8 else sample + diff))
+            index = max(0, min(88, index + telephony._MOVES[code & 7]))
+            out.append(sample)
+    return out
+
+
+def test_adpcm_blocks_match_a_sample_loop():
+    blocks = np.random.default_rng(1).integers(0, 256, (50, 64), dtype=np.uint8)
+    assert telephony.decode_adpcm(blocks).tolist() == [slow_adpcm(bytes(b)) for b in blocks]
+
+
+def test_companding_tables():
+    assert telephony.MULAW_TABLE[[0x00, 0x80, 0x7F, 0xFF]].tolist() == [-32124, 32124, 0, 0]
+    assert telephony.ALAW_TABLE[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    assert len(set(telephony.ALAW_TABLE.tolist())) == 256
+
+
+def test_media_column_round_trip(spark):
+    for r in telephony.media_column(docs_of(spark, ODD), keep=("doc_id", "text")).collect():
+        assert telephony.read_wav(r["media"])[3] == telephony.padded((r["text"] or "").encode())
+        tag, rate, _, data = telephony.read_wav(r["pcm"])
+        assert (tag, rate, len(data)) == (telephony.PCM, 16000, 4 * len(telephony.read_wav(r["media"])[3]))
+    up = telephony.resample(np.array([0, 10, 20], np.int16), 3, 2)
+    assert up.tolist() == [0, 6, 13, 20]
+
+
+def test_line_dedup_matches_sql(spark):
+    assert_same(registry.op6_line_dedup(spark, SF), SF, registry.QUERIES["op6_line_dedup"][1])
+
+
+def slow_line_dedup(rows, least=10):
+    owner = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            key = line_dedup.line_key(line)
+            if len(key.decode()) >= least:
+                owner[key] = min(owner.get(key, doc), doc)
+    return sorted((doc, "\n".join(x for x in (t or "").split("\n") if owner.get(line_dedup.line_key(x), doc) == doc)) for doc, t in rows)
+
+
+def test_line_dedup_of_a_line_in_every_document(spark):
+    rng = random.Random(3)
+    rows = [(k, "\n".join(rng.choice(["  The SAME old line\t", "the same old line", "short", "", f"own line number {k}", f"shared by some {k % 7}"]) for _ in range(rng.randrange(12)))) for k in range(700)]
+    rows += [(900, None), (901, ""), (2, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == slow_line_dedup(rows)
+
+
+def test_line_dedup_null_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "a repeated line", 7), (5, "a repeated line", 8), (None, "a repeated line", 7)], "doc_id long, text string, n_lines int")
+    got = sorted((r["doc_id"] or -1, r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(-1, "", 1, 1), (-1, "", 1, 1), (5, "a repeated line", 1, 0)]
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def slow_base(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_base_spans_match_plain_patterns(texts):
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("a1.@+- ()4é\n") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    for t in [*texts.values(), *noise, "1.2.3.4.5.6.7.8", "a@@b.c@d.e", "x@y.z.@w.v", "1" * 500, "4111 1111 1111 1111"]:
+        assert [s[:3] for s in pii.find_spans(t) if s.kind in pii.BASE_KINDS] == slow_base(t)
+
+
+def test_pii_query(spark, texts):
+    for r in registry.op10_pii(spark, SF).collect():
+        base = slow_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(b[0] == k for b in base) for k in pii.BASE_KINDS]
+
+
+def test_checked_numbers_and_context():
+    kinds = lambda t: [s.kind for s in pii.find_spans(t)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
+    assert kinds("my ssn is 219-09-9999") == ["ssn"] and kinds("part 219-09-9999") == []
+    near, far = pii.find_spans("visa 4111111111111111")[0], pii.find_spans("4111111111111111")[0]
+    assert near.score > far.score
+
+
+def test_pii_of_odd_rows(spark):
+    rows = pii.detect(docs_of(spark, ODD)).collect()
+    assert len(rows) == len(ODD) + 2 and all(r["spans"] == [] for r in rows)
+    df = spark.createDataFrame([(1, "mail a@b.cd now", "k"), (2, None, "k"), (3, "", None)], "doc_id long, text string, extra string")
+    assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", "k"), (2, None, "k"), (3, "", None)]
+
+
+def test_encoding_matches_the_library(spark, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_model())
+    own = Pieces(registry.tokenizer_model())
+    rng = random.Random(2)
+    noise = ["".join(rng.choice(" \nabé日😀<>0x/\t\x00") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for some in ([t for t in ODD if t is not None], noise, list(texts.values())):
+        ids, counts, starts, ends = own.encode(some)
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        for t, s, e in zip(some, edges, edges[1:]):
+            assert ids[s:e].tolist() == sp.encode(t)
+            assert own.decode(ids[s:e].tolist()) == sp.decode(sp.encode(t))
+            source = t.encode()
+            assert b"".join(source[a:b] for a, b in zip(starts[s:e], ends[s:e])) == source
+    for r in registry.op7_sentencepiece(spark, SF).collect():
+        want = sp.encode(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(want).encode()).hexdigest()
+
+
+def character_map(pairs):
+    """A compiled map with these replacements: a trie laid out with one slot block of 256 units for each node."""
+    nodes, children = [b""], {}
+    for key, _ in pairs:
+        for k in range(1, len(key) + 1):
+            if key[:k] not in children:
+                children[key[:k]] = True
+                nodes.append(key[:k])
+    block = {n: 256 * (k + 1) for k, n in enumerate(nodes)}
+    place = {b"": 0} | {n: block[n[:-1]] ^ n[-1] for n in nodes[1:]}
+    units, texts, at = [0] * (256 * (len(nodes) + 2)), b"", {}
+    for key, value in pairs:
+        at[key] = len(texts)
+        texts += value + b"\0"
+    for n in nodes:
+        leaf = n in at
+        offset = place[n] ^ block[n]
+        units[place[n]] = (offset << 10) | (leaf << 8) | (n[-1] if n else 0)
+        if leaf:
+            units[block[n]] = 0x80000000 | at[n]
+    blob = b"".join(u.to_bytes(4, "little") for u in units)
+    return len(blob).to_bytes(4, "little") + blob + texts
+
+
+def test_character_map_takes_the_longest_key_and_aligns():
+    charsmap = character_map([(b"A", b"a"), ("é".encode(), b"e"), (b"fi", b"FI"), (b"fix", b"xyz"), (b"--", b"")])
+    norm = Normaliser(charsmap, dummy_prefix=True, remove_extra=True, escape=True)
+    text = "  Afix é--fib  q "
+    out, align = norm(text)
+    assert out == "▁axyz▁eFIb▁q"
+    source, data = text.encode(), out.encode()
+    assert len(align) == len(data) + 1
+    spot = {c: source[align[data.index(c.encode())]] for c in "aeq"}
+    assert spot == {"a": ord("A"), "e": "é".encode()[0], "q": ord("q")}
+    assert align[data.index(b"x")] == source.index(b"fix") and align[data.index(b"F")] == source.index(b"fib")
+    assert Normaliser(b"", True, True, True)("   ")[0] == ""
+
+
+def test_fingerprints_are_homomorphic():
+    (e, s, n) = fingerprints.fingerprint_vectors(["one two three\nfour five six", "four five six\n\none two three", "one two three", "four five six", ""])
+    shown = [fingerprints._shown(*x) for x in zip(e, s, n.tolist())]
+    assert shown[0] == shown[1] and fingerprints.combine(shown[2], shown[3]) == shown[0] and fingerprints.combine(shown[0], shown[3], -1) == shown[2]
+    assert fingerprints.combine(shown[2], shown[2], -1) == shown[4] and fingerprints.likeness(shown[0], shown[1]) == 1.0
+    assert fingerprints.likeness(shown[4], shown[4]) == 1.0 and fingerprints.likeness(shown[4], shown[0]) <= 0.5
+
+
+def test_fingerprint_query(spark, texts):
+    rows = {r["doc_id"]: r for r in registry.op8_fingerprints(spark, SF).collect()}
+    ids = sorted(texts)
+    assert sorted(rows) == ids
+    follow = dict(zip(ids, [*ids[1:], ids[0]]))
+    better = 0
+    for k, r in rows.items():
+        t, f = texts[k], texts[follow[k]]
+        changed = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert abs(r["near_next"] - fingerprints.likeness(r["fingerprint"], rows[follow[k]]["fingerprint"])) < 1e-12
+        assert 0 <= r["near_edited"] <= 1
+        better += r["near_edited"] > r["near_next"] or t == f
+    assert better >= 0.97 * len(ids)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = fingerprints.fingerprint_pairs(docs_of(spark, ODD)).collect()
+    assert len(rows) == len(ODD) + 2 and sum(r["doc_id"] is None for r in rows) == 1
+    assert fingerprints.fingerprint_pairs(docs_of(spark, ODD).limit(0)).collect() == []
+    one = fingerprints.fingerprint_pairs(docs_of(spark, ["a b c d"]).where("doc_id = 0").limit(1)).collect()
+    assert one[0]["near_next"] == 1.0
