@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import fingerprints, line_dedup, pieces, pii, telephony
+from tidemill.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, packing, pieces, pii, telephony, toxicity, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -23,6 +23,40 @@ def tokenizer_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+_OP2_SQL = f"""with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then []::varchar[]
+    else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) end as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared
+  from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from pairs where 100 * shared >= 75 * (na + nb - shared)
+  union all select b, a from pairs where 100 * shared >= 75 * (na + nb - shared)),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sets"""
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +84,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.size(pii.of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -59,10 +100,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_ngram_jaccard": (op2_ngram_jaccard, _OP2_SQL),
+    "op3_lm_scoring": (op3_lm_scoring, None),
+    "op4_url_filter": (op4_url_filter, None),
     "op5_telephony_audio": (op5_telephony_audio, None),
     "op6_line_dedup": (op6_line_dedup, _OP6_SQL),
     "op7_sentencepiece": (op7_sentencepiece, None),
     "op8_fingerprints": (op8_fingerprints, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
 }
 
