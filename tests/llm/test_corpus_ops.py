@@ -98,12 +98,15 @@ def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(300)] + [(1000, 2000 + k) for k in range(200)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)] + [(7, 7), (None, 3)]
     rng.shuffle(edges)
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     forest = components.Forest()
     for a, b in edges:
         if a is not None and a != b:
             forest.union(a, b)
-    assert got == {x: forest.root(x) for x in forest.parent}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for one_task in (components.ONE_TASK, 0):
+        got = {r["node"]: r["root"] for r in components.components(df, one_task).collect()}
+        assert got == {x: forest.root(x) for x in forest.parent}
+    assert components.components(df.limit(0)).collect() == []
 
 
 def slow_base(rows):
