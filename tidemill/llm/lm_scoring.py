@@ -40,10 +40,11 @@ from tidemill.llm.session import cut
 
 END, START = U(0x1D8AF066E4C3B2A5), U(0x7A5662C14DE0F93B)
 #: Base of the quantised counts, hash functions of the filter, bits for each event (a share of 1/2 set).
-BASE, HASHES, BITS = 1.5, 6, 6 / np.log(2)
+BASE, HASHES = 1.5, 4
+BITS = HASHES / np.log(2)
 LEVELS = 100
-#: Text in a window, and documents in it at most.
-WINDOW_BYTES, WINDOW_DOCS = 6 << 20, 60_000
+#: Text in a window that is counted, and documents in it at most; text that is scored at once.
+WINDOW_BYTES, WINDOW_DOCS, SCORED_BYTES = 4 << 20, 60_000, 2 << 20
 #: Text for each token fragment and bigram fragment.
 TOKEN_FRAGMENT, BIGRAM_FRAGMENT = 48 << 20, 12 << 20
 #: Groups of the filter by context and by word (top bits of their hashes), and bytes of it in one broadcast.
@@ -68,52 +69,57 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS, np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64) + 1)
 
 
-def _places(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys + np.asarray(level, U) * U(0x9E3779B97F4A7C15), 21)
-    return h >> U(1), (h << U(31) >> U(32)) | U(1)
+def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), 21)
+    return h & U(0xFFFFFFFF), (h >> U(32)) | U(1)
+
+
+def _spot(at: np.ndarray, step: np.ndarray, k: int, size) -> np.ndarray:
+    """The k-th bit of a key in an array of `size` (below 2**32) bits."""
+    return ((at + U(k) * step & U(0xFFFFFFFF)) * size >> U(32)).astype(np.int64)
 
 
 def build_slice(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """(bits, packed bit array) that holds each key at every level up to that of its count."""
     top = levels_of(counts)
-    events = int(top.sum())
-    size = max(64, int(np.ceil(events * BITS)))
+    size = max(64, int(np.ceil(int(top.sum()) * BITS)))
     bits = np.zeros(-(-size // 8) * 8, bool)
     for level in range(1, int(top.max(initial=0)) + 1):
         at, step = _places(keys[top >= level], level)
         for k in range(HASHES):
-            bits[((at + U(k) * step) % U(size)).astype(np.int64)] = True
+            bits[_spot(at, step, k, U(size))] = True
     return size, np.packbits(bits).tobytes()
 
 
 class Filter:
     """Slices of the log-frequency filter, by fragment number; a fragment that is not there holds nothing."""
 
-    def __init__(self, fragments: int, parts: list[tuple[int, int, bytes]]) -> None:
-        self.bits = np.zeros(fragments, np.int64)
+    def __init__(self, fragments: int, size: int) -> None:
+        self.bits = np.zeros(fragments, U)
         self.begin = np.zeros(fragments, np.int64)
-        self.data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-        at = 0
-        for fragment, size, packed in parts:
-            self.bits[fragment], self.begin[fragment] = size, at
-            at += len(packed)
-
-    def levels(self, keys: np.ndarray, fragments: np.ndarray) -> np.ndarray:
-        """Highest level up to which all probes succeed, for each key."""
-        out = np.zeros(len(keys), np.int64)
-        sizes, begins = self.bits[fragments], self.begin[fragments]
-        alive = np.flatnonzero(sizes > 0)
-        for level in range(1, LEVELS + 1):
+        self.data = np.empty(size, np.uint8)
+        self.used = 0
+
+    def add(self, fragment: int, bits: int, packed: bytes) -> None:
+        self.bits[fragment], self.begin[fragment] = bits, self.used
+        self.data[self.used : self.used + len(packed)] = np.frombuffer(packed, np.uint8)
+        self.used += len(packed)
+
+    def levels(self, keys: np.ndarray, fragments: np.ndarray, first: int = 1, last: int = LEVELS) -> np.ndarray:
+        """Highest level from `first` to `last` up to which all probes succeed, for each key; first - 1 if none does."""
+        out = np.full(len(keys), first - 1, np.int64)
+        alive = np.flatnonzero(self.bits[fragments])
+        sizes, begins = self.bits[fragments[alive]], self.begin[fragments[alive]]
+        for level in range(first, last + 1):
             if not len(alive):
                 break
             at, step = _places(keys[alive], level)
-            size, begin = sizes[alive].astype(U), begins[alive]
             for k in range(HASHES):
-                spot = ((at + U(k) * step) % size).astype(np.int64)
-                hit = (self.data[begin + (spot >> 3)] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-                alive, at, step, size, begin = alive[hit], at[hit], step[hit], size[hit], begin[hit]
-                if not len(alive):
-                    break
+                spot = _spot(at, step, k, sizes)
+                hit = (self.data[begins + (spot >> 3)] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+                alive, sizes, begins = alive[hit], sizes[hit], begins[hit]
+                if k + 1 < HASHES:
+                    at, step = at[hit], step[hit]
             out[alive] = level
         return out
 
@@ -323,29 +329,46 @@ class Model:
         self.tokens, self.bigrams, self.fragments, self.per_group = tokens_, bigrams, fragments, per_group
         self.contexts, self.following, self.total, self.distinct = contexts, following, total, distinct
 
-    def counts(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(levels of the words, of their contexts, of the bigrams), each distinct n-gram probed once."""
-        uniq, which = np.unique(np.concatenate([words, np.where(before == START, END, before)]), return_inverse=True)
-        level = self.tokens.levels(uniq, _token_fragment(uniq, self.fragments))[which]
-        key, fragment = _bigrams(words, before, self.per_group)
-        both, pair = np.unique((fragment.astype(U) << U(40)) | key, return_inverse=True)
-        bigram = self.bigrams.levels(both & _KEY, (both >> U(40)).astype(np.int64))[pair]
-        own, context = level[: len(words)], level[len(words) :]
-        # A bigram of a word or context that was never seen is a false positive.
-        return own, context, np.where((own > 0) & (context > 0), bigram, 0)
+    def token_levels(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(levels of the tokens, of the tokens before them), each distinct token probed once. Before a text stand as many starts as there are ends."""
+        uniq, which = np.unique(words, return_inverse=True)
+        level = self.tokens.levels(uniq, _token_fragment(uniq, self.fragments))
+        own = level[which]
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[np.cumsum(sizes) - sizes] = level[np.searchsorted(uniq, END)]
+        return own, before
 
     def mine(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The tokens whose group, and whose context's group, this part holds."""
+        if len(self.contexts) == len(self.following) == GROUPS:
+            return np.ones(len(words), bool)
         shift = U(64 - GROUPS.bit_length() + 1)
         c, w = before >> shift, words >> shift
         return (c >= self.contexts.start) & (c < self.contexts.stop) & (w >= self.following.start) & (w < self.following.stop)
 
-    def log10(self, words: np.ndarray, before: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """log10 P of each word; share: the unseen mass by the context's level."""
-        own, context, bigram = self.counts(words, before)
+    def unseen_counts(self, words: np.ndarray, before: np.ndarray, sizes: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """(2, levels): bigram tokens of training rows by their context's level, and those seen once, which fail the probe for level 2."""
+        _, context = self.token_levels(words, sizes)
+        take = np.flatnonzero(self.mine(words, before) & train)
+        once = self.bigrams.levels(*_bigrams(words[take], before[take], self.per_group), first=2, last=2) < 2
+        context = context[take]
+        return np.stack([np.bincount(context, minlength=LEVELS + 1), np.bincount(context[once], minlength=LEVELS + 1)])
+
+    def log10(self, words: np.ndarray, before: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log10 P of each token, 0 for those of other parts; share: the unseen mass by the context's level."""
+        own, context = self.token_levels(words, sizes)
+        out = np.zeros(len(words))
+        take = np.flatnonzero(self.mine(words, before))
+        own, context = own[take], context[take]
+        # A bigram of a word or context that was never seen is a false positive, so it is not looked up.
+        known = np.flatnonzero((own > 0) & (context > 0))
+        bigram = np.zeros(len(take), np.int64)
+        bigram[known] = self.bigrams.levels(*_bigrams(words[take[known]], before[take[known]], self.per_group))
         single = (COUNTS[own] + 1) / (self.total + self.distinct + 1)
         unseen = share[context]
-        p = np.where(context > 0, (1 - unseen) * np.minimum(1, COUNTS[bigram] / np.maximum(COUNTS[context], 1)) + unseen * single, single)
-        return np.log10(p)
+        out[take] = np.log10(np.where(context > 0, (1 - unseen) * np.minimum(1, COUNTS[bigram] / np.maximum(COUNTS[context], 1)) + unseen * single, single))
+        return out
 
 
 def _unseen_counts(model, folds: int, held: int):
@@ -354,12 +377,10 @@ def _unseen_counts(model, folds: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         both = np.zeros((2, LEVELS + 1), np.int64)
-        for docs, _, texts in _windows(batches):
-            words, before, sizes = tokens(texts)
-            train = np.repeat(np.array([not is_held_out(d, folds, held) for d in docs]), sizes) & m.mine(words, before)
-            _, context, bigram = m.counts(words[train], before[train])
-            both[0] += np.bincount(context, minlength=LEVELS + 1)
-            both[1] += np.bincount(context[bigram <= 1], minlength=LEVELS + 1)
+        for b in slices(batches, "text", SCORED_BYTES):
+            words, before, sizes = tokens(text_column(b))
+            train = np.array([not is_held_out(d, folds, held) for d in b.column("doc").to_pylist()])
+            both += m.unseen_counts(words, before, sizes, np.repeat(train, sizes))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS + 1)), pa.array(both[0]), pa.array(both[1])], names=["level", "tokens", "once"])
 
     return run
@@ -368,11 +389,9 @@ def _unseen_counts(model, folds: int, held: int):
 def _score_texts(model, share: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches, "text", WINDOW_BYTES):
+        for b in slices(batches, "text", SCORED_BYTES):
             words, before, sizes = tokens(text_column(b))
-            mine = m.mine(words, before)
-            logs = np.zeros(len(words))
-            logs[mine] = m.log10(words[mine], before[mine], share)
+            logs = m.log10(words, before, sizes, share)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("version"), pa.array(np.add.reduceat(logs, np.cumsum(sizes) - sizes))], names=["doc", "version", "part"])
 
     return run
@@ -454,10 +473,12 @@ def _load(found: DataFrame, fragments: int, per_group: int, cuts: int, a: int, b
         end = int(_token_fragment(np.array([END]), fragments)[0])
         near = sorted({f for low, high, f in tops if f == end or any(low <= g <= high for r in (contexts, following) for g in r)})
         rows = found.where((F.col("what") == 1) & F.col("id").isin(near) | (F.col("what") == 2) & F.col("id").isin(wanted)).select("what", "id", "bits", "a")
-        slices_: dict[int, list] = {1: [], 2: []}
-        for r in rows.collect():
-            slices_[r["what"]].append((r["id"], r["bits"], bytes(r["a"])))
-        return Model(Filter(fragments, slices_[1]), Filter(GROUPS * GROUPS * per_group, slices_[2]), fragments, per_group, contexts, following, total, distinct)
+        sizes = {r["what"]: r["size"] for r in rows.groupBy("what").agg(F.sum(F.octet_length("a")).alias("size")).collect()}
+        parts = {1: Filter(fragments, sizes.get(1, 0)), 2: Filter(GROUPS * GROUPS * per_group, sizes.get(2, 0))}
+        # Part by part, so that no second copy of the filter is held.
+        for r in rows.coalesce(8).toLocalIterator():
+            parts[r["what"]].add(r["id"], r["bits"], r["a"])
+        return Model(parts[1], parts[2], fragments, per_group, contexts, following, total, distinct)
 
     return load
 
