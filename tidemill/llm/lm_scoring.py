@@ -40,7 +40,7 @@ from tidemill.llm.session import cut
 
 END, START = U(0x1D8AF066E4C3B2A5), U(0x7A5662C14DE0F93B)
 #: Base of the quantised counts, hash functions of the filter, bits for each event (a share of 1/2 set).
-BASE, HASHES = 1.5, 4
+BASE, HASHES = 1.5, 6
 BITS = HASHES / np.log(2)
 LEVELS = 100
 #: Text in a window that is counted, and documents in it at most; text that is scored at once.
