@@ -44,7 +44,7 @@ BASE, HASHES = 1.5, 6
 BITS = HASHES / np.log(2)
 LEVELS = 100
 #: Text in a window that is counted, and documents in it at most; text that is scored at once.
-WINDOW_BYTES, WINDOW_DOCS, SCORED_BYTES = 4 << 20, 60_000, 2 << 20
+WINDOW_BYTES, WINDOW_DOCS, SCORED_BYTES = 3 << 20, 60_000, 1 << 20
 #: Text for each token fragment and bigram fragment.
 TOKEN_FRAGMENT, BIGRAM_FRAGMENT = 48 << 20, 12 << 20
 #: Groups of the filter by context and by word (top bits of their hashes), and bytes of it in one broadcast.
