@@ -146,17 +146,28 @@ def kept_lines(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, keep: tuple[str, ...] | None = None) -> DataFrame:
+def whole_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, version) of the documents whose whole text is that of a document with a smaller doc_id; 128 bits of hash stand for a text."""
+    texts = _keyed(docs, doc_id, text).select("doc", "version", F.xxhash64(F.lit(1), F.col("text")).alias("check"))
+    owners = texts.groupBy("version", "check").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last")
+    return texts.join(owners, ["version", "check"]).where("doc > owner").select("doc", "version").distinct()
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, keep: tuple[str, ...] | None = None, drop_copies: bool = False) -> DataFrame:
     """The documents' columns (or those in keep) with `text` reduced to its kept lines, and n_lines and n_dropped (long).
 
-    Null text comes back as empty. Input columns named n_lines or n_dropped are replaced.
+    Null text comes back as empty. Input columns named n_lines or n_dropped are replaced. All documents stay;
+    with drop_copies those go that lose lines and whose whole text is that of a smaller doc_id.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped", text)]
     bitmaps = keep_bitmaps(docs, doc_id, text, min_chars)
+    if drop_copies:
+        bitmaps = bitmaps.join(whole_copies(docs, doc_id, text).withColumn("copy", F.lit(True)), ["doc", "version"], "left")
     keyed = docs.select(
         F.struct(*names).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("version")
     )
-    joined = keyed.join(bitmaps, ["doc", "version"], "left").select("row", "text", "bitmap")
+    joined = keyed.join(bitmaps, ["doc", "version"], "left")
+    joined = (joined.where("copy is null") if drop_copies else joined).select("row", "text", "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
