@@ -86,23 +86,28 @@ from customer left join (select * from nation where n_nationkey < 20) on c_natio
 # Matrices
 
 
-def _cells(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 20")
+def _cells(spark, sf_dir, whole=False):
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors if whole else vectors.where("vec_id < 20")
     return vectors.select(F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", "j", F.round(F.col("x").cast("double") * 100).cast("int").alias("v"))
 
 
-def _matrix_add(spark, sf_dir):
-    a = _cells(spark, sf_dir)
+def _matrix_add(spark, sf_dir, whole=False):
+    a = _cells(spark, sf_dir, whole)
     return matrix.matrix_add(a, a.where("(i + j) % 2 = 0"))
 
 
-def _matrix_multiply(spark, sf_dir):
-    a = _cells(spark, sf_dir)
+def _matrix_multiply(spark, sf_dir, whole=False):
+    a = _cells(spark, sf_dir, whole)
     return matrix.matrix_multiply(a, a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
 _CELLS = """cells as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(round(cast(unnest(embedding) as double) * 100) as int) as v
 from embeddings where vec_id < 20)"""
+_ALL_CELLS = """cells as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(round(cast(unnest(embedding) as double) * 100) as int) as v
+from embeddings)"""
+_ADD = "select i, j, cast(sum(v) as bigint) as v from (select * from cells union all select * from cells where (i + j) % 2 = 0) group by i, j"
+_MULTIPLY = "select a.i, b.i as j, cast(sum(cast(a.v as bigint) * b.v) as bigint) as v from cells a join cells b on a.j = b.j group by a.i, b.i"
 
 # PageRank on nations: an edge from a customer's to a supplier's nation that traded; node 3 has no in-links.
 
@@ -220,11 +225,10 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "join_map_side": (_join("broadcast", " ", "null"), _join_sql("' '", "null")),
     "join_reduce_side": (_join("hash", "\t", ""), _join_sql("chr(9)", "")),
     "join_secondary_sort": (_join("merge", " ", ""), _join_sql("' '", "")),
-    "matrix_add": (_matrix_add, f"with {_CELLS} select i, j, cast(sum(v) as bigint) as v from (select * from cells union all select * from cells where (i + j) % 2 = 0) group by i, j"),
-    "matrix_multiply": (
-        _matrix_multiply,
-        f"with {_CELLS} select a.i, b.i as j, cast(sum(cast(a.v as bigint) * b.v) as bigint) as v from cells a join cells b on a.j = b.j group by a.i, b.i",
-    ),
+    "matrix_add": (_matrix_add, f"with {_CELLS} {_ADD}"),
+    "matrix_multiply": (_matrix_multiply, f"with {_CELLS} {_MULTIPLY}"),
+    "matrix_add_all": (lambda s, d: _matrix_add(s, d, whole=True), f"with {_ALL_CELLS} {_ADD}"),
+    "matrix_multiply_all": (lambda s, d: _matrix_multiply(s, d, whole=True), f"with {_ALL_CELLS} {_MULTIPLY}"),
     "page_rank": (_page_rank, _page_rank_sql(False)),
     "page_rank_textbook": (_page_rank_textbook, _page_rank_sql(True)),
     "kmeans_assign": (_kmeans_assign, f"with {_KPOINTS}, c as (select 0.0::double as x0, 0.0::double as y0, 7.0::double as x1, 7.0::double as y1) select l_orderkey, l_linenumber, cast({_ASSIGN} as int) as cluster from pts, c"),
