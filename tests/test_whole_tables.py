@@ -23,3 +23,17 @@ def test_matrices_of_all_vectors(spark):
     i, j = np.indices(a.shape)
     assert (grid(spark, "matrix_add_all", a.shape) == a + np.where((i + j) % 2 == 0, a, 0)).all()
     assert (grid(spark, "matrix_multiply_all", (len(a), len(a))) == a @ a.T).all()
+
+
+def test_kmeans_reaches_the_fixpoint(spark):
+    points = np.array(duck(SF).execute("select l_quantity / 5, l_discount * 100 from lineitem").fetchall(), np.float64)
+    centres = np.array([(0.0, 0.0), (7.0, 7.0)])
+    while True:
+        nearest = np.argmin(np.linalg.norm(points[:, None] - centres, axis=2), axis=1)
+        means = np.array([points[nearest == k].mean(axis=0) for k in (0, 1)])
+        if (means.astype(np.float32) == centres).all():
+            break
+        centres = means.astype(np.float32).astype(np.float64)
+    rows = sorted(tuple(r) for r in QUERIES["kmeans_fixpoint"][0](spark, SF).collect())
+    assert [(k, n) for k, _, _, n in rows] == [(k, int((nearest == k).sum())) for k in (0, 1)]
+    np.testing.assert_allclose([r[1:3] for r in rows], means, atol=2e-6)
