@@ -37,3 +37,18 @@ def test_kmeans_reaches_the_fixpoint(spark):
     rows = sorted(tuple(r) for r in QUERIES["kmeans_fixpoint"][0](spark, SF).collect())
     assert [(k, n) for k, _, _, n in rows] == [(k, int((nearest == k).sum())) for k in (0, 1)]
     np.testing.assert_allclose([r[1:3] for r in rows], means, atol=2e-6)
+
+
+def test_page_rank_over_all_pairs(spark):
+    sql = "select distinct c_nationkey, s_nationkey from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey"
+    links = np.zeros((25, 25))
+    links[tuple(np.array(duck(SF).execute(sql).fetchall()).T)] = 1
+    assert links.sum() == 250
+    shares, reached = links / links.sum(axis=1, keepdims=True).clip(1), links.any(axis=0)
+    kept = plain = np.full(25, 1 / 25)
+    for _ in range(3):
+        kept = np.where(reached, 0.15 / 25 + 0.85 * kept @ shares, kept)
+        plain = 0.15 / 25 + 0.85 * plain @ shares
+    for name, want in (("page_rank_all", {k: kept[k] for k in np.flatnonzero(reached)}), ("page_rank_textbook_all", dict(enumerate(plain)))):
+        got = {r["page"]: r["rank"] for r in QUERIES[name][0](spark, SF).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)

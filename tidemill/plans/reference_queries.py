@@ -109,17 +109,18 @@ from embeddings)"""
 _ADD = "select i, j, cast(sum(v) as bigint) as v from (select * from cells union all select * from cells where (i + j) % 2 = 0) group by i, j"
 _MULTIPLY = "select a.i, b.i as j, cast(sum(cast(a.v as bigint) * b.v) as bigint) as v from cells a join cells b on a.j = b.j group by a.i, b.i"
 
-# PageRank on nations: an edge from a customer's to a supplier's nation that traded; node 3 has no in-links.
+# PageRank on nations: an edge from a customer's to a supplier's nation that traded. The reduced graph leaves out most
+# pairs, and node 3 has no in-links there; the whole one has them all.
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, whole=False):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     pairs = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("(c_nationkey * 7 + s_nationkey) % 4 = 0 and s_nationkey <> 3")
+        .where("true" if whole else "(c_nationkey * 7 + s_nationkey) % 4 = 0 and s_nationkey <> 3")
         .select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
         .distinct()
     )
@@ -127,24 +128,27 @@ def _graph(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page")), edges
 
 
-def _page_rank(spark, sf_dir):
-    return graph.page_rank(*_graph(spark, sf_dir), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
+def _page_rank(spark, sf_dir, whole=False):
+    return graph.page_rank(*_graph(spark, sf_dir, whole), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
 
 
-def _page_rank_textbook(spark, sf_dir):
-    return graph.page_rank_textbook(*_graph(spark, sf_dir), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
+def _page_rank_textbook(spark, sf_dir, whole=False):
+    return graph.page_rank_textbook(*_graph(spark, sf_dir, whole), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
 
 
 _EDGES = """pairs as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey
   join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
   where (c_nationkey * 7 + s_nationkey) % 4 = 0 and s_nationkey <> 3),
 edges as (select src, dst, count(*) over (partition by src) as deg from pairs)"""
+_ALL_EDGES = """pairs as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey
+  join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
+edges as (select src, dst, count(*) over (partition by src) as deg from pairs)"""
 
 
-def _page_rank_sql(textbook: bool) -> str:
+def _page_rank_sql(textbook: bool, edges: str = _EDGES) -> str:
     kept = "0.15::double / 25" if textbook else "r.rank"
     stored = "double" if textbook else "float"
-    ctes = [_EDGES, f"r0 as (select n_nationkey as page, cast(cast(1.0::double / 25 as {stored}) as double) as rank from nation)"]
+    ctes = [edges, f"r0 as (select n_nationkey as page, cast(cast(1.0::double / 25 as {stored}) as double) as rank from nation)"]
     for k in range(1, 4):
         ctes.append(f"in{k} as (select dst, 0.15::double / 25 + 0.85::double * sum(rank / deg) as rank from edges join r{k - 1} on src = page group by dst)")
         ctes.append(f"r{k} as (select r.page, coalesce(cast(cast(n.rank as {stored}) as double), {kept}) as rank from r{k - 1} r left join in{k} n on r.page = n.dst)")
@@ -233,6 +237,8 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "matrix_multiply_all": (lambda s, d: _matrix_multiply(s, d, whole=True), f"with {_ALL_CELLS} {_MULTIPLY}"),
     "page_rank": (_page_rank, _page_rank_sql(False)),
     "page_rank_textbook": (_page_rank_textbook, _page_rank_sql(True)),
+    "page_rank_all": (lambda s, d: _page_rank(s, d, whole=True), _page_rank_sql(False, _ALL_EDGES)),
+    "page_rank_textbook_all": (lambda s, d: _page_rank_textbook(s, d, whole=True), _page_rank_sql(True, _ALL_EDGES)),
     "kmeans_assign": (_kmeans_assign, f"with {_KPOINTS}, c as (select 0.0::double as x0, 0.0::double as y0, 7.0::double as x1, 7.0::double as y1) select l_orderkey, l_linenumber, cast({_ASSIGN} as int) as cluster from pts, c"),
     "kmeans_step": (_kmeans_step, _kmeans_sql(1)),
     "kmeans": (_kmeans, _kmeans_sql(STEPS)),
