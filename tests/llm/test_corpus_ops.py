@@ -332,3 +332,11 @@ def test_packing_of_odd_rows(spark):
     rows = packing.pack_documents(docs, lengths=(8, 32)).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(len((r["text"] or "").split()) + 1 for r in docs.collect())
     assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_shouting_is_a_voter_of_its_own():
+    lookup, at = toxicity.Lookup({}), len(toxicity.SEEDS) + toxicity.PATTERNS.index("shouting")
+    texts = ["PLEASE LEAVE NOW", "ÄRGER ÉTÉ ÑANDÚ", "please leave NOW", "Please Leave Us", "AB 123 CD", ""]
+    counts = np.stack([toxicity.hit_counts(t, lookup) for t in texts])
+    assert counts[:, at].tolist() == [1, 1, 1 / 3, 0, 0, 0]
+    assert toxicity.votes_of(counts)[:, at].tolist() == [1, 1, 1, 0, 0, 0]

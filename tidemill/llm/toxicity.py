@@ -43,6 +43,8 @@ SEEDS = {
 }
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"!{2,}")
+#: Part of every word of three or more capitals; no such word is missed.
+_CAPITALS = re.compile(r"[A-Z\u0080-\U0010ffff]{3}")
 _MASKED = re.compile(r"[A-Za-z][*@#$]{1,4}[A-Za-z]")
 _AIMED = re.compile(r"\b(?:you|your|du|dein|tu|vous|usted|eres)\b(?:\W+\w+){0,3}?\W+([^\W\d_]+)", re.I)
 PATTERNS = ("exclaiming", "shouting", "masked", "aimed", "several", "dense", "no hit")
@@ -162,7 +164,7 @@ def hit_counts(text: str, lookup: Lookup) -> np.ndarray:
     p = n_stems + len(SEEDS)
     if "!!" in text:
         out[p] = sum(1 for _ in _SHOUT.finditer(text))
-    if hits or out[p]:
+    if _CAPITALS.search(text):
         out[p + 1] = sum(1 for w in _WORD.findall(text) if len(w) > 2 and w.isupper()) / max(1, len(words))
     if "*" in text or "@" in text or "#" in text or "$" in text:
         out[p + 2] = sum(1 for _ in _MASKED.finditer(text))
