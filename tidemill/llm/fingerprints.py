@@ -5,10 +5,11 @@ document's vector is the sum over its paragraphs, each component modulo a power
 paragraphs does not matter, equal multisets have equal vectors, and a paragraph is inserted or deleted by
 adding or subtracting its vector. The vector has two parts:
 
-- EXACT components of 64 bits, modulo 2**64, each a hash of the whole paragraph: equality;
-- SIGNS components of 16 bits, modulo 2**16, each the sum of pseudo-random signs of the paragraph's
+- EXACT components of 64 bits, modulo 2**64, together the paragraph's 512-bit BLAKE2b digest: equality;
+- SIGNS components of 32 bits, modulo 2**32, each the sum of pseudo-random signs of the paragraph's
   word shingles (SPAN words): squared lengths of such vectors and of their difference estimate those of
-  the documents' shingle counts, which gives the likeness.
+  the documents' shingle counts, which gives the likeness. A text has fewer than 2**31 shingles, so the
+  sums of single documents never wrap.
 
 The fingerprint's string is the number of shingles and the hex of both parts. Null text is empty: no
 paragraph, the zero vector. Two documents without paragraphs have likeness 1.
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.kernels import U, mix, raw, shingles, slices, span_hashes, text_column, word_hashes
+from tidemill.llm.kernels import U, mix, shingles, slices, text_column, word_hashes
 from tidemill.llm.session import partitions
 
-EXACT = 4
+EXACT = 8
 SIGNS = 128
 SPAN = 3
 _PART = 1 << 15
@@ -43,22 +44,21 @@ def _sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _paragraphs(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def _paragraphs(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """(paragraphs of all texts, paragraphs of each text)."""
-    each = [[p for line in t.split("\n") if (p := line.strip(" \t\r\x0b\x0c"))] for t in texts]
-    return pa.array([p for ps in each for p in ps], pa.string()), np.array([len(ps) for ps in each], np.int64)
+    each = [[p for line in t.encode().split(b"\n") if (p := line.strip(b" \t\r\x0b\x0c"))] for t in texts]
+    return [p for ps in each for p in ps], np.array([len(ps) for ps in each], np.int64)
 
 
 def fingerprint_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exact uint64 x EXACT, signs uint16 x SIGNS, shingles) of each text."""
+    """(exact uint64 x EXACT, signs uint32 x SIGNS, shingles) of each text."""
     paragraphs, counts = _paragraphs(texts)
-    data, offsets = raw(paragraphs)
-    whole = span_hashes(data, offsets[:-1], offsets[1:])
-    exact = _sum_by(np.stack([mix(whole, 11 + k) for k in range(EXACT)], axis=1), counts)
-    flat, per_paragraph = shingles(*word_hashes(paragraphs), SPAN)
+    digests = b"".join(hashlib.blake2b(p, digest_size=8 * EXACT).digest() for p in paragraphs)
+    exact = _sum_by(np.frombuffer(digests, "<u8").reshape(-1, EXACT).astype(U), counts)
+    flat, per_paragraph = shingles(*word_hashes(pa.array(paragraphs, pa.binary()).cast(pa.string())), SPAN)
     edges = np.concatenate([[0], np.cumsum(per_paragraph)])[np.concatenate([[0], np.cumsum(counts)])]
     sizes = np.diff(edges)
-    ones = np.zeros((len(texts), SIGNS), np.uint16)
+    ones = np.zeros((len(texts), SIGNS), np.uint32)
     owner = np.repeat(np.arange(len(texts)), sizes)
     for at in range(0, len(flat), _PART):
         part = flat[at : at + _PART]
@@ -66,9 +66,9 @@ def fingerprint_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
         bits = np.unpackbits(words.view(np.uint8), axis=1)
         own = owner[at : at + _PART]
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        ones[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.uint16)
+        ones[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.uint32)
     # Signs are 2 * bit - 1.
-    signs = ones * np.uint16(2) - sizes.astype(np.uint16)[:, None]
+    signs = ones * np.uint32(2) - sizes.astype(np.uint32)[:, None]
     return exact, signs, sizes
 
 
@@ -80,18 +80,18 @@ def combine(a: str, b: str, sign: int = 1) -> str:
 
 
 def _shown(exact: np.ndarray, signs: np.ndarray, n: int) -> str:
-    return f"{n:x}." + exact.astype(">u8").tobytes().hex() + signs.astype(">u2").tobytes().hex()
+    return f"{n:x}." + exact.astype(">u8").tobytes().hex() + signs.astype(">u4").tobytes().hex()
 
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray, int]:
     n, _, rest = fingerprint.partition(".")
     data = bytes.fromhex(rest)
-    return np.frombuffer(data[: 8 * EXACT], ">u8").astype(U), np.frombuffer(data[8 * EXACT :], ">u2").astype(np.uint16), int(n, 16)
+    return np.frombuffer(data[: 8 * EXACT], ">u8").astype(U), np.frombuffer(data[8 * EXACT :], ">u4").astype(np.uint32), int(n, 16)
 
 
 def likenesses(a: tuple, b: tuple) -> np.ndarray:
     """1 for equal vectors, else 1 - |a - b|**2 / (|a|**2 + |b|**2) of the shingle counts as estimated from the signs, between 0 and 1, row by row."""
-    far, long_a, long_b = ((x.view(np.int16).astype(np.float64) ** 2).sum(axis=1) for x in (a[1] - b[1], a[1], b[1]))
+    far, long_a, long_b = ((x.view(np.int32).astype(np.float64) ** 2).sum(axis=1) for x in (a[1] - b[1], a[1], b[1]))
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1) & (a[2] == b[2])
     return np.where(same, 1.0, np.clip(1 - far / np.maximum(long_a + long_b, 1), 0, 1))
 
@@ -114,45 +114,67 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     return source.mapInArrow(run, f"{fields}, fingerprint string")
 
 
+#: Rows sampled for each range.
+SAMPLED = 48
+
+
+def _order_keys(b: pa.RecordBatch) -> np.ndarray:
+    """The rows' (doc, version, tie) as byte strings of the same order."""
+    columns = [b.column(c).to_numpy().astype(np.int64) for c in ("doc", "version", "tie")]
+    return np.ascontiguousarray((np.stack(columns, axis=1).view(U) ^ U(1 << 63)).astype(">u8")).view("S24").ravel()
+
+
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, text, own): each partition holds a run of documents in order, then with own = false the next run's first document (after the last run: the first one of all).
 
-    Order: doc_id, nulls last (as the largest long), then a hash of the text. Ids are cut into ranges at
-    their approximate quantiles, and each range goes to a partition of its own; the rows of a range's
-    smallest id are also copied to the range before. Text crosses one exchange; two numbers a range
-    reach the driver.
+    Order: doc_id, nulls last (as the largest long), then a hash of the text, then the row's place, so that a
+    hot id or a row repeated without end spreads over ranges as well. The order is cut into ranges by a sample of
+    SAMPLED keys a range, and each range goes to a partition of its own; its smallest row is also copied
+    to the range before. Text crosses one exchange; the sample and one key a range reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
-    ids = rows.select("doc")
+    rows = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.monotonically_increasing_id().alias("tie"), F.col(text).alias("text")
+    )
+    keys = rows.select("doc", "version", "tie")
     n = partitions(spark)
-    cuts = np.array(sorted({int(c) for c in ids.approxQuantile("doc", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else [], np.int64)
+    cuts = np.empty(0, "S24")
+    total = docs.count() if n > 1 else 0
+    if total:
+        # A share of the rows by their hash: about SAMPLED for each range, whatever the number of tasks.
+        share = int(min(1.0, n * SAMPLED / total) * (1 << 32))
+        sample = keys.where(F.pmod(F.xxhash64("tie", "version", "doc"), F.lit(1 << 32)) < share).toArrow()
+        found = np.sort(np.concatenate([np.empty(0, "S24"), *(_order_keys(b) for b in sample.to_batches())]))
+        cuts = np.unique(found[np.arange(1, n) * len(found) // n]) if len(found) else cuts
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, bytes] = {}
         for b in batches:
-            doc = b.column("doc").to_numpy()
-            place = np.searchsorted(cuts, doc, side="right")
-            there = np.unique(place)
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([doc[place == p].min() for p in there], pa.int64())], names=["place", "doc"])
-
-    found = ids.mapInArrow(smallest, "place int, doc long").groupBy("place").agg(F.min("doc").alias("doc")).collect()
-    first = {r["place"]: r["doc"] for r in found}
+            key = _order_keys(b)
+            order = np.argsort(key)
+            there, first = np.unique(np.searchsorted(cuts, key[order], side="right"), return_index=True)
+            for p, k in zip(there.tolist(), key[order][first].tolist(), strict=True):
+                least[p] = min(least.get(p, b"\xff" * 24), k.ljust(24, b"\0"))
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.binary())], names=["place", "key"])
+
+    first = {r["place"]: bytes(r["key"]) for r in keys.mapInArrow(smallest, "place int, key binary").groupBy("place").agg(F.min("key").alias("key")).collect()}
     order = sorted(first)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    smallest_id = np.full(len(cuts) + 1, LAST_ID, np.int64)
+    least = np.full(len(cuts) + 1, b"\xff" * 24, "S24")
     previous = np.zeros(len(cuts) + 1, np.int32)
-    for p in order:
-        smallest_id[p], previous[p] = first[p], before[p]
+    for k, p in enumerate(order):
+        least[p], previous[p] = first[p], order[k - 1]
+    names = ["doc", "version", "text", "own", "at"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column("doc").to_numpy()
-            place = np.searchsorted(cuts, doc, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(len(doc), bool)), pa.array(place)], names=["doc", "version", "text", "own", "at"])
-            copied = np.flatnonzero(doc == smallest_id[place])
+            key = _order_keys(b)
+            place = np.searchsorted(cuts, key, side="right").astype(np.int32)
+            b = b.select(["doc", "version", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(len(key), bool)), pa.array(place)], names=names)
+            copied = np.flatnonzero(key == least[place])
             if len(copied):
                 c = b.take(pa.array(copied))
-                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(np.zeros(len(copied), bool)), pa.array(previous[place[copied]])], names=["doc", "version", "text", "own", "at"])
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(np.zeros(len(copied), bool)), pa.array(previous[place[copied]])], names=names)
 
     dealt = rows.mapInArrow(deal, "doc long, version long, text string, own boolean, at int")
     return dealt.repartitionById(len(cuts) + 1, F.col("at")).sortWithinPartitions(F.desc("own"), "doc", "version").drop("at")

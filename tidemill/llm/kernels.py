@@ -1,7 +1,9 @@
 """Vectorised kernels over Arrow text columns: words, hashes, shingles.
 
 A word is a run of bytes outside [\\x20\\x09-\\x0D] of the UTF-8 text with A-Z lower-cased. Hashes have
-64 bits: a polynomial over the word's bytes modulo 2**64, then a mixing step with its length.
+64 bits and mix a span's length and its bytes, eight at a time, each step a bijection of what came before:
+spans of at most eight bytes with one length never collide, others only by chance, whatever their structure.
+A span of more than LONG_SPAN bytes is hashed by XXH3.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: Text bytes handled at once; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
-#: Bytes hashed at once.
+#: Bytes in which words are counted at once.
 CHUNK = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
@@ -23,9 +26,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_P = 0x9E3779B97F4A7C15 | 1
 _Q = U(0xD6E8FEB86659FD93)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -36,21 +41,6 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    size = CHUNK if n <= CHUNK else n
-    if size not in _tables:
-        both = []
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            a = np.full(size, U(base))
-            a[0] = U(1)
-            both.append(np.cumprod(a, dtype=U))
-        if size != CHUNK:
-            return both[0], both[1]
-        _tables[size] = (both[0], both[1])
-    return _tables[size]
-
-
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as strings without nulls (null becomes empty)."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
@@ -83,42 +73,92 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Hash of data[start:end] for ascending spans that don't overlap; fold: with A-Z lower-cased."""
-    hashes = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        origin = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, origin + CHUNK, side="right")))
-        s, e = starts[at:to] - origin, ends[at:to] - origin
-        up, down = _powers(int(e[-1]))
-        piece = data[origin : origin + e[-1]]
-        sums = np.zeros(int(e[-1]) + 1, U)
-        np.cumsum(((LOWER[piece] if fold else piece).astype(U) + U(1)) * up[: e[-1]], out=sums[1:])
-        hashes[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0x8CB92BA72F3D8DD7)
-        at = to
-    return mix(hashes)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; zeros stand after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text)."""
-    data, offsets = raw(texts)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of each data[start:end]; fold: with A-Z lower-cased."""
+    if not len(starts):
+        return np.empty(0, U)
+    data = LOWER[data] if fold else data
+    at = eights(data)
+    sizes = ends - starts
+    hashes = sizes.astype(U) * U(0x8CB92BA72F3D8DD7)
+    place, here = np.arange(len(starts)), starts
+    left = np.where(sizes > LONG_SPAN, 0, sizes)
+    while len(place):
+        if not left.all():
+            keep = np.flatnonzero(left)
+            place, here, left = place[keep], here[keep], left[keep]
+        hashes[place] = mix(hashes[place] ^ (at[here] & FIRST_BYTES[np.minimum(left, 8)]))
+        here, left = here + 8, np.maximum(left - 8, 0)
+    for k in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return mix(hashes, 5)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span whose number stands in others."""
+    sizes = ends - starts
+    same = sizes == sizes[others]
+    at = eights(data)
+    place = np.flatnonzero(same & (others != np.arange(len(others))))
+    here, there, left = starts[place], starts[others[place]], sizes[place]
+    while len(place):
+        equal = (at[here] ^ at[there]) & FIRST_BYTES[np.minimum(left, 8)] == 0
+        same[place[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        place, here, there, left = place[more], here[more] + 8, there[more] + 8, left[more] - 8
+    return same
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of texts that lie one after the other."""
     if not len(data):
-        return np.empty(0, U), np.zeros(len(texts), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     blank = SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     edge[1:] |= blank
     first = ~blank & edge[:-1]
-    first[0] = ~blank[0]
     edge[:] = False
     edge[offsets] = True
     edge[:-1] |= blank
     last = ~blank & edge[1:]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text)."""
+    data, offsets = raw(texts)
+    if not len(data):
+        return np.empty(0, U), np.zeros(len(texts), np.int64)
+    starts, ends = word_spans(data, offsets)
     return span_hashes(data, starts, ends, fold=True), np.diff(np.searchsorted(starts, offsets))
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Words of each text, chunk by chunk, so that a long text needs no arrays of its own length."""
+    data, offsets = raw(texts)
+    counts = np.zeros(len(texts), np.int64)
+    for at in range(0, len(data), CHUNK):
+        blank = SPACE[data[at : at + CHUNK]]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        # A text's first byte begins a word whatever lies before it.
+        begins = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(blank))] - at
+        first[begins] |= ~blank[begins]
+        if at and not SPACE[data[at - 1]] and not (len(begins) and begins[0] == 0):
+            first[0] = False
+        own, times = np.unique(np.searchsorted(offsets, np.flatnonzero(first) + at, side="right") - 1, return_counts=True)
+        counts[own] += times
+    return counts
+
+
 def group_index(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (sizes[0] of them), starts[1], ..."""
     total = int(sizes.sum())

@@ -4,14 +4,19 @@ Documents become pieces of at most the largest length (whole chunks, then the re
 shards by a hash of their document and packed shard by shard, longest first: a piece goes into the open
 bin with the least room that still holds it. If none does, a bin is opened, at the length of least net
 cost: its cost, less what its spare room is worth, which is the spare tokens that the shard's shorter
-pieces can still fill, at the price of the cheapest token. When all pieces are placed, each bin is
-downsized to the shortest permitted length that holds its contents.
+pieces can still fill, at a price. When all pieces are placed, each bin is downsized to the shortest
+permitted length that holds its contents. The lengths are optimised jointly: a shard is packed once for each
+plan (a price of spare room, and a largest length that is opened for pieces that fit below it), and the plan of
+least total cost after downsizing is kept; ties go to the first plan.
 
-A shard has SHARD_PIECES pieces on average, each three numbers wide, so a task's memory is bounded
+A shard has SHARD_PIECES pieces on average, each a few numbers wide, so a task's memory is bounded
 whatever the corpus; a bin never spans shards, which costs less than one open bin of each length a shard.
-The result depends only on the rows, not on how they are partitioned.
+Pieces that are alike in id, text and number are counted before they are dealt, and the count is spread
+evenly over the shards, so rows repeated without end fill no shard. The result depends only on the rows,
+not on how they are partitioned.
 
-Null and empty texts have one token (the end). Null ids and repeated rows are packed like any others.
+Null and empty texts have one token (the end). Null ids and repeated rows are packed like any others. A long
+text is counted in chunks and never copied. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.kernels import slices, text_column, word_hashes
+from tidemill.llm.kernels import slices, text_column, word_counts
+from tidemill.llm.session import cut
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD_PIECES = 20_000
@@ -34,14 +40,15 @@ def default_costs(lengths: Sequence[int]) -> list[float]:
     return [n * (1 + n / 65_536) + 16 for n in lengths]
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each piece, its offset in the bin, final length of each bin). sizes: longest first, none above the largest length."""
-    lengths = sorted(lengths)
-    costs = default_costs(lengths) if costs is None else list(costs)
-    cheapest = min(c / n for c, n in zip(costs, lengths, strict=True))
+#: Prices of a spare token, as shares of the cheapest token's cost.
+PRICES = (1.0, 0.75, 0.5)
+
+
+def _packed(sizes: Sequence[int], lengths: Sequence[int], costs: Sequence[float], price: float, largest: int) -> tuple[list[int], list[int], list[int], float]:
+    """(bin of each piece, its offset in the bin, final length of each bin, their cost) under one plan."""
     room: dict[int, list[int]] = {}
     open_rooms = 0  # bit r: some open bin has room r
-    bins, offsets, used, spare = [], [], [], []
+    bins, offsets, used = [], [], []
     left = sum(sizes)
     for size in sizes:
         left -= size
@@ -53,10 +60,8 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, costs: Sequ
                 open_rooms &= ~(1 << r)
         else:
             at = len(used)
-            net = [(c - cheapest * min(n - size, left), n) for c, n in zip(costs, lengths, strict=True) if n >= size]
-            r = min(net)[1]
+            r = min((c - price * min(n - size, left), n) for c, n in zip(costs, lengths, strict=True) if n >= size and (n <= largest or n == next(m for m in lengths if m >= size)))[1]
             used.append(0)
-            spare.append(0)
         bins.append(at)
         offsets.append(used[at])
         used[at] += size
@@ -64,45 +69,73 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, costs: Sequ
         if r:
             room.setdefault(r, []).append(at)
             open_rooms |= 1 << r
-    return bins, offsets, [next(n for n in lengths if n >= u) for u in used]
+    final = [next(n for n in lengths if n >= u) for u in used]
+    cost = dict(zip(lengths, costs, strict=True))
+    return bins, offsets, final, sum(map(cost.__getitem__, final))
+
+
+def plans(lengths: Sequence[int]) -> list[tuple[float, int]]:
+    """(price as a share, largest length that is opened by choice) of each plan that is tried."""
+    return [(p, largest) for largest in sorted(lengths, reverse=True) for p in (PRICES if largest == max(lengths) else PRICES[:1])]
+
+
+def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each piece, its offset in the bin, final length of each bin) by the cheapest plan. sizes: longest first, none above the largest length."""
+    lengths = sorted(lengths)
+    costs = default_costs(lengths) if costs is None else list(costs)
+    cheapest = min(c / n for c, n in zip(costs, lengths, strict=True))
+    best = min((_packed(sizes, lengths, costs, share * cheapest, largest) for share, largest in plans(lengths)), key=lambda found: found[3])
+    return best[:3]
+
 
+def _pieces(largest: int):
+    names = ["doc_id", "version", "piece", "n_tokens", "copies"]
 
-def _pieces(largest: int, keep: tuple[str, ...], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            _, counts = word_hashes(text_column(b, text))
-            counts = counts + 1
+        for b in slices(batches):
+            counts = word_counts(text_column(b)) + 1
             pieces = -(-counts // largest)
             row = np.repeat(np.arange(len(counts)), pieces)
             number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             size = np.minimum(counts[row] - number * largest, largest)
-            taken = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [*(taken.column(c) for c in keep), taken.column("version"), pa.array(number.astype(np.int32)), pa.array((number * largest).astype(np.int64)), pa.array(size.astype(np.int32))],
-                names=[*keep, "version", "piece", "start_token", "n_tokens"],
-            )
+            ids = b.select(["doc_id", "version"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.ones(len(row), np.int64))], names=names)
 
     return run
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None, shard_pieces: int = SHARD_PIECES
+) -> DataFrame:
     """(doc_id, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int), one row a piece.
 
     Tokens are words and one end. bin_id is `shard-number`; pieces of a bin lie side by side from offset 0.
     """
     lengths = sorted(lengths)
+    largest = lengths[-1]
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
-    schema = "doc_id long, version long, piece int, start_token long, n_tokens int"
-    pieces = source.mapInArrow(_pieces(lengths[-1], ("doc_id",), "text"), schema)
-    shards = max(1, -(-source.select("doc_id").count() // SHARD_PIECES))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "version", "piece"), F.lit(shards)).cast("int"))
+    pieces = source.mapInArrow(_pieces(largest), "doc_id long, version long, piece int, n_tokens int, copies long")
+    counted = cut(pieces.groupBy("doc_id", "version", "piece", "n_tokens").agg(F.sum("copies").alias("copies")))
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    shards = max(1, -(-total // shard_pieces))
+    # Copies go to shards in turn, from the shard of the hash on.
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("copies"), F.lit(shards)) - 1))
+    spread = counted.select("*", turn.alias("turn"))
+    dealt = spread.select(
+        F.pmod(F.pmod(F.xxhash64("doc_id", "version", "piece"), F.lit(shards)) + F.col("turn"), F.lit(shards)).cast("int").alias("shard"),
+        *("doc_id", "version", "piece", "n_tokens"),
+        (F.floor((F.col("copies") - 1 - F.col("turn")) / shards) + 1).alias("copies"),
+    )
 
     def pack(table: pa.Table) -> pa.Table:
         size, doc, version, piece = (table.column(c).fill_null(2**63 - 1 if c == "doc_id" else 0).to_numpy() for c in ("n_tokens", "doc_id", "version", "piece"))
-        table = table.take(pa.array(np.lexsort((piece, version, doc, -size))))
+        order = np.lexsort((piece, version, doc, -size))
+        order = np.repeat(order, table.column("copies").to_numpy()[order])
+        table = table.take(pa.array(order))
         bins, offsets, final = best_fit(table.column("n_tokens").to_pylist(), lengths, costs)
         shard = table.column("shard")[0].as_py()
+        start = table.column("piece").to_numpy().astype(np.int64) * largest
         new = {"bin_id": pa.array([f"{shard}-{b}" for b in bins]), "bin_length": pa.array([final[b] for b in bins], pa.int32()), "bin_offset": pa.array(offsets, pa.int32())}
-        return pa.table({c: table.column(c) for c in ("doc_id", "piece", "start_token", "n_tokens")} | new)
+        return pa.table({"doc_id": table.column("doc_id"), "piece": table.column("piece"), "start_token": pa.array(start), "n_tokens": table.column("n_tokens")} | new)
 
     return dealt.groupBy("shard").applyInArrow(pack, "doc_id long, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int")

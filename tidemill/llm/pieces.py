@@ -5,8 +5,9 @@ at each byte the longest key in the map is replaced, else one character is copie
 remembers the source byte it came from. The normalised text is then cut before each run of word marks
 (U+2581) that follows another character. No BPE piece of such a model spans that cut (checked when the
 model is loaded; a model that has such pieces is segmented whole), so units are segmented one by one and
-remembered by a 64-bit hash of their bytes: a text's ids are the gathered ids of its units, and a
-piece's span in the source is its normalised span sent through the alignment.
+remembered by their bytes: a text's ids are the gathered ids of its units, and a piece's span in the source
+is its normalised span sent through the alignment. Equal units of a batch are found by a hash and then
+compared byte by byte; should different ones share a hash, the batch's units are told apart one by one.
 
 Segmentation of a unit is the sentencepiece library's, with normalisation switched off. Null text is
 empty and has no ids. Text that is not valid UTF-8 is read with replacement characters.
@@ -27,11 +28,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.kernels import group_index, slices, span_hashes, text_column
+from tidemill.llm.kernels import group_index, same_spans, slices, span_hashes, text_column
 
 MARK = "▁"
-#: Units remembered by a worker before it starts over.
-REMEMBERED = 400_000
+#: Units remembered by a worker, and their bytes, before it starts over.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 _ACROSS = re.compile(f"[^{MARK}]{MARK}")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -151,6 +152,16 @@ class Normaliser:
         return out.decode(), np.array([*align, at])
 
 
+def _equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each kind, each span's kind): spans are of one kind if their bytes are equal."""
+    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if same_spans(data, starts, ends, first[inverse]).all():
+        return first, inverse
+    seen: dict[bytes, int] = {}
+    inverse = np.array([seen.setdefault(joined[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 class Pieces:
     """A loaded model. Units are segmented once and remembered."""
 
@@ -183,10 +194,11 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.starts, self.sizes, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
-    def _learn(self, keys: list[int], units: list[str]) -> None:
+    def _learn(self, keys: list[bytes], units: list[str]) -> None:
         each = self.segmenter.encode(units, num_threads=1)
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         slot, used = len(self.slots), self.used + int(sizes.sum())
@@ -199,6 +211,7 @@ class Pieces:
         self.sizes[slot : slot + len(keys)] = sizes
         self.slots.update(zip(keys, range(slot, slot + len(keys)), strict=True))
         self.used = used
+        self.bytes += sum(map(len, keys))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text, source byte where each piece starts, where it ends).
@@ -224,7 +237,7 @@ class Pieces:
         counts = np.zeros(len(lengths), np.int64)
         if not joined:
             return np.empty(0, np.int32), counts, np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.slots) > REMEMBERED:
+        if len(self.slots) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
         data = np.frombuffer(joined, np.uint8)
         full = np.flatnonzero(lengths)
@@ -234,14 +247,13 @@ class Pieces:
         begins[texts_at] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        slots = list(map(self.slots.get, listed))
+        first, inverse = _equal_spans(data, starts, ends, joined)
+        keys = [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        slots = list(map(self.slots.get, keys))
         if None in slots:
-            new = [k for k, slot in enumerate(slots) if slot is None]
-            where = [(starts[first[k]], ends[first[k]]) for k in new]
-            self._learn([listed[k] for k in new], [joined[s:e].decode().replace(" ", MARK) for s, e in where])
-            slots = list(map(self.slots.get, listed))
+            new = [k for k, slot in zip(keys, slots, strict=True) if slot is None]
+            self._learn(new, [k.decode().replace(" ", MARK) for k in new])
+            slots = list(map(self.slots.get, keys))
         slot = np.array(slots, np.int64)[inverse]
         sizes = self.sizes[slot]
         ids = self.ids[group_index(self.starts[slot], sizes)]
