@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same, duck
 
-from tidemill.llm import components, jaccard_join, lm_scoring, packing, registry, toxicity, url_filter
+from tidemill.llm import components, jaccard_join, kernels, lm_scoring, packing, registry, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "\n\n", "a", "one two", "One TWO", "a b c d e", "é ß 日本 x y z", "w " * 4000, None]
@@ -131,33 +132,133 @@ def test_base_scores(spark, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_filter_in_blocks_scores_alike(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs).collect()}
-    cut = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, filter_bytes=400_000).collect()}
-    assert whole.keys() == cut.keys() and max(abs(whole[k] - cut[k]) for k in whole) < 1e-6
-
-
 def test_lm_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = lm_scoring.score_documents(docs).collect()
     assert found_base(rows) == slow_base([(r[0], r[1]) for r in docs.collect()])
     assert lm_scoring.score_documents(docs.limit(0)).collect() == []
+    assert found_base(lm_scoring.score_documents(docs.repartition(3)).collect()) == found_base(rows)
+
+
+def local_model(rows, limit=400, fragments=(3, 5)):
+    """The operator's steps without Spark: (constants, windows, answers by window) over (doc, text) rows."""
+    batch = pa.record_batch({"doc": pa.array([d for d, _ in rows], pa.int64()), "version": pa.array(list(range(len(rows)))), "text": pa.array([t for _, t in rows], pa.string())})
+    parts, windows = defaultdict(list), list(lm_scoring.windows([batch], 0, limit))
+    for w in windows:
+        for r in lm_scoring.asked(w, fragments, 7, 2).to_pylist():
+            parts[r["part"]].append((r["home"], r["number"], r["mark"], pa.py_buffer(r["entries"])))
+    found, stats = defaultdict(dict), []
+    for part, questions in parts.items():
+        for b in lm_scoring.answers(part, questions, fragments[0]):
+            for r in b.to_pylist():
+                if r["what"]:
+                    stats.append(r)
+                else:
+                    found[r["number"]][part] = (r["mark"], r["n"], r["a"], r["b"])
+    add = lambda what, c: sum(r[c] for r in stats if r["what"] == what)
+    levels = defaultdict(lambda: [0, 0])
+    for r in stats:
+        if r["what"] == 3:
+            levels[r["part"]][0] += r["n"]
+            levels[r["part"]][1] += r["total"]
+    total, distinct = add(1, "total"), add(1, "n")
+    model = lm_scoring.Model(total, distinct, lm_scoring.weight_of([tuple(v) for v in levels.values()], add(2, "once"), total), fragments[0])
+    return model, windows, found
+
+
+def slow_lm(rows, model, fragments=(3, 5)):
+    """log10 P(w | v) by dictionaries of exact counts, quantised and scaled class by class. Words are bytes, START and END None."""
+    single, pairs, seen = Counter(), Counter(), {}
+    for d, t in rows:
+        ws = [*(t or "").encode().lower().split(), None]
+        if not lm_scoring.is_held_out(d, 7, 2):
+            single.update(ws)
+            pairs.update(zip([None, *ws], ws))
+
+    def word_hash(w, end):
+        if w is None:
+            return lm_scoring.END if end else lm_scoring.START
+        if w not in seen:
+            seen[w] = kernels.word_hashes(pa.array([w], pa.binary()).cast(pa.string()))[0][0]
+        return seen[w]
+
+    def fragment(h, n):
+        return int(lm_scoring.fragment_of(np.array([h], np.uint64), n)[0])
+
+    def pair_fragment(v, w):
+        return fragment(lm_scoring.bigram_hashes(np.array([word_hash(w, True)]), np.array([word_hash(v, False)]))[0], fragments[1])
+
+    q = lambda c: lm_scoring.COUNTS[int(lm_scoring.levels_of(np.array([c]))[0])] if c else 0.0
+    exact, rough = Counter(), Counter()
+    for w, c in single.items():
+        exact[fragment(word_hash(w, True), fragments[0])] += c
+        rough[fragment(word_hash(w, True), fragments[0])] += q(c)
+    for (v, w), c in pairs.items():
+        exact[v, pair_fragment(v, w), "pair"] += c
+        rough[v, pair_fragment(v, w), "pair"] += q(c)
+
+    def p(w, v):
+        f, k = fragment(word_hash(w, True), fragments[0]), (v, pair_fragment(v, w), "pair")
+        lower = (q(single[w]) * exact[f] / (rough[f] or 1) + 1) / (model.total + model.distinct + 1)
+        both = q(pairs[v, w]) * exact[k] / (rough[k] or 1)
+        return (both + model.weight * lower) / (single[v] + model.weight)
+
+    return p, single
+
+
+def test_lm_scores_match_a_slow_model(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randrange(40)))) for k in range(150)] + [(None, "W1 w2"), (3, None), (500, " ".join(vocabulary * 20))]
+    model, windows, found = local_model(rows)
+    p, single = slow_lm(rows, model)
+    assert model.total == sum(single.values()) and model.distinct == len(single) and any(w.home != w.number for w in windows)
+    got = defaultdict(float)
+    for w in windows:
+        logs, _, _, sizes = lm_scoring.bigram_logs(w, found[w.number], model)
+        at = 0
+        for d, v, n in zip(w.rows.column("doc").to_pylist(), w.rows.column("version").to_pylist(), sizes.tolist()):
+            got[d, v] += logs[at : at + n].sum()
+            at += n
+    for k, (d, t) in enumerate(rows):
+        ws = [*(t or "").encode().lower().split(), None]
+        assert abs(got[d, k] - sum(math.log10(p(w, v)) for v, w in zip([None, *ws], ws))) < 1e-4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = sorted(r["score"] for r in lm_scoring.score_documents(docs).collect())
+    assert len(scores) == len(got) and np.allclose(scores, sorted(got.values()), rtol=0.05)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Held-out texts that set every word of the vocabulary, and an unknown one, after each of 100 contexts."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(1, 200)))) for k in range(600)]
+    out = next(d for d in range(1000, 2000) if lm_scoring.is_held_out(d, 7, 2))
+    seen = sorted({w for d, t in rows if not lm_scoring.is_held_out(d, 7, 2) for w in t.split()})
+    contexts = [*seen[:60], *rng.sample(seen, 39), "never"]
+    asked = [(out, " ".join(f"{v} {w}" for w in [*seen, "unknown"])) for v in contexts]
+    model, windows, found = local_model([*rows, *asked, *((out, v) for v in contexts)], limit=10**9)
+    (w,) = windows
+    logs, _, words, sizes = lm_scoring.bigram_logs(w, found[0], model)
+    at = int(sizes[: len(rows)].sum())
+    for k in range(len(contexts)):
+        n = int(sizes[len(rows) + k])
+        own = (10 ** logs[at : at + n])[1:-1:2].sum()
+        end = 10 ** logs[int(sizes[: len(rows) + len(contexts) + k].sum()) + 1]
+        assert abs(own + end - 1) < 1e-3
+        at += n
 
 
 def test_filter_counts():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     counts = (rng.pareto(1, len(keys)) + 1).astype(np.int64)
-    bits, data = lm_scoring.build_slice(keys, counts)
-    f = lm_scoring.Filter(3, len(data))
-    f.add(1, bits, data)
-    level = f.levels(keys, np.ones(len(keys), np.int64))
+    level = (one := lm_scoring.Slice(keys, counts)).levels(keys)
     want = lm_scoring.levels_of(counts)
-    assert (level >= want).all() and (level == want).mean() > 0.97
-    other = f.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64), np.ones(20_000, np.int64))
-    assert (other > 0).mean() < 0.03 and (f.levels(keys, np.zeros(len(keys), np.int64)) == 0).all()
-    assert ((f.levels(keys, np.ones(len(keys), np.int64), first=2, last=2) >= 2) >= (want >= 2)).all()
+    assert (level >= want).all() and (level == want).mean() > 0.9999
+    assert (one.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) > 0).mean() < 1e-3
+    assert (lm_scoring.Slice(keys[:0], counts[:0]).levels(keys) == 0).all()
     assert [lm_scoring.COUNTS[k] for k in (1, 2, 3)] == [1, 2, 3]
 
 

@@ -4,23 +4,34 @@ Tokens are a text's words (see kernels), then one end. Training rows are those w
 text) modulo `folds` is not `held`. Counts of all their tokens and bigrams are quantised on a logarithmic
 scale, level = 1 + floor(log(count) / log(BASE)), and for each level up to its own an n-gram is put into
 a Bloom filter. A count comes back by membership probes for level 1, 2, ... until one fails, so it is
-never too low by more than the quantisation, and too high only by a false positive.
+never too low by more than the quantisation, and too high only by a false positive (HASHES hash functions:
+about one in 2**HASHES probes).
 
-P(w | v) = (1 - u) * min(1, c(v, w) / c(v)) + u * P1(w),   P1(w) = (c(w) + 1) / (N + V + 1),
+P(w | v) = (b(v, w) + K * P1(w)) / (c(v) + K),   P1(w) = (t(w) + 1) / (N + V + 1).
 
-with all counts from the filter. u is the mass of unseen bigrams after contexts of v's level, the
-Good-Turing estimate: the share of once-seen bigrams among the bigram tokens after such contexts, found by
-probing for every training token. A context that was never seen leaves P1.
+N counts the training tokens, V the different ones, c(v) the tokens that follow v (the count of v itself; a
+text's start counts as often as there are texts). b and t are the filter's counts, scaled so that no mass is
+lost or gained by quantising: within a fragment of the hash space, t sums to the exact count of the fragment's
+tokens, and b to the exact count of the tokens that follow v and fall into it. So P sums to 1 over the known
+words and one unknown word, for every v. K, the weight of the lower order, is set so that over all training
+tokens it takes the Good-Turing mass of unseen bigrams, the share of bigrams seen once.
 
-Plan: one pass sends each window's tokens (with what its documents hold of them) and bigrams to
-fragments of the hash space, summed within the window first, so a frequent word is one entry a window.
-A token fragment knows its tokens' exact counts, answers each window with its documents' share of the
-base score, and makes its slice of the filter; a bigram fragment makes its slice. The filter grows with the
-corpus. At most FILTER_BYTES of it are broadcast at once: a larger filter is cut by groups of contexts
-and of following words, and the texts are scored by one pass for each pair of cuts, whose sums add up.
+The filter grows with the corpus, so it is not broadcast: each of its slices is made and probed in the task of
+its fragment, and n-grams travel instead. Plan:
+
+1. Each window of texts sends its distinct tokens and bigrams, with their training counts, to fragments
+   of the hash space: one entry a window for an n-gram, however frequent or common to documents it is.
+2. A fragment adds up the counts, makes its slice of the filter, probes it for all n-grams that came, and
+   answers each window with counts in the order in which it asked.
+3. Answers and texts meet by window, and each text's scores are summed from its tokens. A text longer
+   than a window is cut between words; its windows are read one after the other.
+
+Steps 1 and 3 read the rows twice and must see them in the same order, which a digest of each window checks;
+input that comes from a shuffle is therefore written once to the shared folder. Memory of a task is that
+of one window or one fragment. What reaches the driver are sums (a row for each of 100 levels).
 
 Null text is empty: one token, the end. A null doc_id is a training row. Repeated rows count as often
-as they occur. Other columns are ignored.
+as they occur. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +39,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +47,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.kernels import U, mix, slices, text_column, word_hashes
+from tidemill.llm.kernels import SPACE, U, mix, raw, slices, text_column, word_hashes
 from tidemill.llm.session import cut
 
 END, START = U(0x1D8AF066E4C3B2A5), U(0x7A5662C14DE0F93B)
 #: Base of the quantised counts, hash functions of the filter, bits for each event (a share of 1/2 set).
-BASE, HASHES = 1.5, 6
+BASE, HASHES = 1.5, 24
 BITS = HASHES / np.log(2)
 LEVELS = 100
-#: Text in a window that is counted, and documents in it at most; text that is scored at once.
-WINDOW_BYTES, WINDOW_DOCS, SCORED_BYTES = 3 << 20, 60_000, 1 << 20
-#: Text for each token fragment and bigram fragment.
-TOKEN_FRAGMENT, BIGRAM_FRAGMENT = 48 << 20, 12 << 20
-#: Groups of the filter by context and by word (top bits of their hashes), and bytes of it in one broadcast.
-GROUPS, FILTER_BYTES = 8, 160 << 20
-_KEY = U((1 << 40) - 1)
+#: Bytes of text in a window, and texts in it at most.
+WINDOW_BYTES, WINDOW_DOCS = 3 << 20, 50_000
+#: Text for each token fragment, bigram fragment, and task of the last step; tasks of the fragments at most.
+TOKEN_FRAGMENT, BIGRAM_FRAGMENT, HOME_BYTES, TASKS = 48 << 20, 12 << 20, 24 << 20, 20_000
 
 
 def representative_counts() -> np.ndarray:
@@ -74,87 +83,122 @@ def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h & U(0xFFFFFFFF), (h >> U(32)) | U(1)
 
 
-def _spot(at: np.ndarray, step: np.ndarray, k: int, size) -> np.ndarray:
+def _spot(at: np.ndarray, step: np.ndarray, k: int, size: np.uint64) -> np.ndarray:
     """The k-th bit of a key in an array of `size` (below 2**32) bits."""
     return ((at + U(k) * step & U(0xFFFFFFFF)) * size >> U(32)).astype(np.int64)
 
 
-def build_slice(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """(bits, packed bit array) that holds each key at every level up to that of its count."""
-    top = levels_of(counts)
-    size = max(64, int(np.ceil(int(top.sum()) * BITS)))
-    bits = np.zeros(-(-size // 8) * 8, bool)
-    for level in range(1, int(top.max(initial=0)) + 1):
-        at, step = _places(keys[top >= level], level)
-        for k in range(HASHES):
-            bits[_spot(at, step, k, U(size))] = True
-    return size, np.packbits(bits).tobytes()
-
-
-class Filter:
-    """Slices of the log-frequency filter, by fragment number; a fragment that is not there holds nothing."""
-
-    def __init__(self, fragments: int, size: int) -> None:
-        self.bits = np.zeros(fragments, U)
-        self.begin = np.zeros(fragments, np.int64)
-        self.data = np.empty(size, np.uint8)
-        self.used = 0
-
-    def add(self, fragment: int, bits: int, packed: bytes) -> None:
-        self.bits[fragment], self.begin[fragment] = bits, self.used
-        self.data[self.used : self.used + len(packed)] = np.frombuffer(packed, np.uint8)
-        self.used += len(packed)
-
-    def levels(self, keys: np.ndarray, fragments: np.ndarray, first: int = 1, last: int = LEVELS) -> np.ndarray:
-        """Highest level from `first` to `last` up to which all probes succeed, for each key; first - 1 if none does."""
-        out = np.full(len(keys), first - 1, np.int64)
-        alive = np.flatnonzero(self.bits[fragments])
-        sizes, begins = self.bits[fragments[alive]], self.begin[fragments[alive]]
-        for level in range(first, last + 1):
+class Slice:
+    """A slice of the log-frequency filter: each key stands in it at every level up to that of its count."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        top = levels_of(counts)
+        self.top = int(top.max(initial=0))
+        self.size = U(max(64, int(np.ceil(int(top.sum()) * BITS))))
+        bits = np.zeros(-(-int(self.size) // 8) * 8, bool)
+        for level in range(1, self.top + 1):
+            at, step = _places(keys[top >= level], level)
+            for k in range(HASHES):
+                bits[_spot(at, step, k, self.size)] = True
+        self.packed = np.packbits(bits)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Highest level up to which all probes succeed, for each key; 0 if none does."""
+        out = np.zeros(len(keys), np.int64)
+        alive = np.arange(len(keys))
+        for level in range(1, self.top + 1):
             if not len(alive):
                 break
             at, step = _places(keys[alive], level)
             for k in range(HASHES):
-                spot = _spot(at, step, k, sizes)
-                hit = (self.data[begins + (spot >> 3)] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-                alive, sizes, begins = alive[hit], sizes[hit], begins[hit]
-                if k + 1 < HASHES:
-                    at, step = at[hit], step[hit]
+                spot = _spot(at, step, k, self.size)
+                hit = np.flatnonzero(self.packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
+                if len(hit) < len(alive):
+                    alive, at, step = alive[hit], at[hit], step[hit]
             out[alive] = level
         return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, pa.Array]]:
-    """(doc ids, versions, texts) of consecutive rows, about WINDOW_BYTES together."""
-    held, size, rows = [], 0, 0
-    for b in slices(batches):
+class Window(NamedTuple):
+    """Consecutive rows, or a part of one long text. home: the number of the window in which the first row begins."""
+
+    home: int
+    number: int
+    rows: pa.RecordBatch  # doc, version, text
+    before: int  # hash of the token before the first text
+    last: bool  # whether the texts end here
+
+    @property
+    def texts(self) -> pa.Array:
+        return text_column(self.rows)
+
+    def mark(self) -> int:
+        """A digest of what is in the window and in which order."""
+        versions, sizes = self.rows.column("version").to_numpy(), np.diff(raw(self.texts)[1])
+        return zlib.crc32(sizes.tobytes(), zlib.crc32(np.ascontiguousarray(versions).tobytes()))
+
+
+def _long_text(row: pa.RecordBatch, home: int, limit: int) -> Iterator[Window]:
+    data, _ = raw(text_column(row))
+    at, number, before = 0, home, int(START)
+    while True:
+        to = at + limit
+        while to < len(data) and not SPACE[data[to]]:
+            blanks = np.flatnonzero(SPACE[data[to : to + limit]])
+            to += int(blanks[0]) if len(blanks) else limit
+        last = to >= len(data)
+        text = pa.array([data[at:to].tobytes()], pa.binary()).cast(pa.string())
+        part = pa.RecordBatch.from_arrays([row.column("doc"), row.column("version"), text], names=["doc", "version", "text"])
+        yield Window(home, number, part, before, last)
+        if last:
+            return
+        words, _ = word_hashes(text)
+        before = int(words[-1]) if len(words) else before
+        at, number = to, number + 1
+
+
+def windows(batches: Iterator[pa.RecordBatch], first: int = 0, limit: int = WINDOW_BYTES) -> Iterator[Window]:
+    """The rows (doc, version, text) in windows of about `limit` bytes; first: number of the first window."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+
+    def joined() -> Window:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return Window(first, first, table.to_batches()[0], int(START), True)
+
+    for b in slices(batches, "text", limit):
+        own = int(np.diff(raw(text_column(b))[1]).sum())
+        if held and (size + own > limit or rows + b.num_rows > WINDOW_DOCS):
+            yield joined()
+            first, held, size, rows = first + 1, [], 0, 0
+        if own > limit:
+            for w in _long_text(b, first, limit):
+                yield w
+                first = w.number + 1
+            continue
         held.append(b)
-        size += b.column("text").nbytes
-        rows += b.num_rows
-        if size >= WINDOW_BYTES or rows >= WINDOW_DOCS - 10_000:
-            yield _window(held)
-            held, size, rows = [], 0, 0
+        size, rows = size + own, rows + b.num_rows
     if held:
-        yield _window(held)
+        yield joined()
 
 
-def _window(held: list[pa.RecordBatch]) -> tuple[list, list, pa.Array]:
-    docs, versions = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc", "version"))
-    return docs, versions, pa.concat_arrays([text_column(b) for b in held])
-
-
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(w: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hashes with an end for each text, hashes of the tokens before them, tokens of each text)."""
-    words, counts = word_hashes(texts)
-    sizes = counts + 1
-    last = np.cumsum(sizes) - 1
-    out = np.empty(int(sizes.sum()), U)
-    is_word = np.ones(len(out), bool)
-    is_word[last] = False
-    out[is_word], out[last] = words, END
+    words, counts = word_hashes(w.texts)
+    sizes = counts + w.last
+    if w.last:
+        last = np.cumsum(sizes) - 1
+        out = np.full(int(sizes.sum()), END)
+        is_word = np.ones(len(out), bool)
+        is_word[last] = False
+        out[is_word] = words
+    else:
+        out = words
     before = np.empty_like(out)
     before[1:] = out[:-1]
-    before[last - counts] = START
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    if len(out):
+        before[0] = U(w.before)
     return out, before, sizes
 
 
@@ -162,323 +206,269 @@ def is_held_out(doc: int | None, folds: int, held: int) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % folds == held
 
 
-def _bigrams(words: np.ndarray, before: np.ndarray, per_group: int) -> tuple[np.ndarray, np.ndarray]:
-    """(40-bit key, fragment): the fragment is that of the context's and the word's group, then of the key's hash."""
-    h = mix(before * U(0xC2B2AE3D27D4EB4F) + words, 13)
-    shift = U(64 - GROUPS.bit_length() + 1)
-    group = (before >> shift) * U(GROUPS) + (words >> shift)
-    return h & _KEY, (group * U(per_group) + (h >> U(40)) % U(per_group)).astype(np.int64)
+def bigram_hashes(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(before * U(0xC2B2AE3D27D4EB4F) + words, 13)
 
 
-def _token_fragment(words: np.ndarray, fragments: int) -> np.ndarray:
-    return ((words >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
+def fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """Ascending with the hash."""
+    return ((hashes >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
 
 
-def _count_window(fragments: int, per_group: int, folds: int, held: int):
-    names = ["part", "window", "entries"]
+def _distinct(hashes: np.ndarray, train: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, how often each stands in training rows, for each the value of other)."""
+    uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    return uniq, np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.int64), uniq if other is None else other[first]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for number, (docs, versions, texts) in enumerate(_windows(batches)):
-            words, before, sizes = tokens(texts)
-            train = np.array([not is_held_out(d, folds, held) for d in docs])
-            parts, blobs = [], []
-            order = np.argsort(words, kind="stable")
-            w, d = words[order], np.repeat(np.arange(len(docs)), sizes)[order]
-            new_word = np.concatenate([[True], w[1:] != w[:-1]])
-            pair = np.flatnonzero(new_word | np.concatenate([[True], d[1:] != d[:-1]]))
-            times = np.diff(np.append(pair, len(w)))
-            own, at = d[pair], np.flatnonzero(new_word[pair])
-            uniq, holders = w[pair[at]], np.diff(np.append(at, len(pair)))
-            counted = np.add.reduceat(times * train[own], at)
-            cuts = np.searchsorted(_token_fragment(uniq, fragments), np.arange(fragments + 1))
-            at = np.append(at, len(pair))
-            for f in range(fragments):
-                s, e = cuts[f], cuts[f + 1]
-                p, q = at[s], at[e]
-                head = _packed_docs(docs, versions, sizes) if f == 0 else b""
-                if s == e and not head:
-                    continue
-                parts.append(f)
-                blobs.append(
-                    struct.pack("<III", len(head), e - s, q - p) + head + uniq[s:e].tobytes() + counted[s:e].astype("<u4").tobytes() + holders[s:e].astype("<u2").tobytes()
-                    + own[p:q].astype("<u2").tobytes() + times[p:q].astype("<u4").tobytes()
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base + number] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=names)
-            counts_here = np.repeat(train, sizes)
-            key, fragment = _bigrams(words[counts_here], before[counts_here], per_group)
-            if not len(key):
-                continue
-            both, times = np.unique((fragment.astype(U) << U(40)) | key, return_counts=True)
-            fragment, key = (both >> U(40)).astype(np.int64), both & _KEY
-            there, begin = np.unique(fragment, return_index=True)
-            ends = np.append(begin[1:], len(key))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((there + fragments).astype(np.int32)), pa.array([base + number] * len(there), pa.int64()),
-                 pa.array([_packed_keys(key[s:e], times[s:e]) for s, e in zip(begin, ends, strict=True)], pa.binary())], names=names,
-            )
 
-    return run
+def _with_contexts(w: Window, words: np.ndarray) -> np.ndarray:
+    """The tokens, then the contexts whose counts the window needs besides them: the end, which stands for a start, and what stands before the first text."""
+    return np.concatenate([words, np.array([END] if w.before == int(START) else [END, U(w.before)], U)])
 
 
-def _packed_docs(docs: list, versions: list, sizes: np.ndarray) -> bytes:
-    known = np.array([d is not None for d in docs], np.uint8)
-    return struct.pack("<I", len(docs)) + b"".join(x.tobytes() for x in (np.array([d or 0 for d in docs], "<i8"), np.array(versions, "<i8"), sizes.astype("<i8"), known))
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys of eight bytes, their counts in one byte each, and those from 255 on in full."""
+    return struct.pack("<I", len(keys)) + keys.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
-def _unpacked_docs(head: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", head)
-    docs, versions, sizes = (np.frombuffer(head, "<i8", n, 4 + 8 * n * k) for k in range(3))
-    known = np.frombuffer(head, np.uint8, n, 4 + 24 * n)
-    return [x if k else None for x, k in zip(docs.tolist(), known, strict=True)], versions, sizes
+def _unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<I", blob)
+    counts = np.frombuffer(blob, np.uint8, n, 4 + 8 * n).astype(np.int64)
+    large = counts == 255
+    counts[large] = np.frombuffer(blob, "<i8", int(large.sum()), 4 + 9 * n)
+    return np.frombuffer(blob, "<u8", n, 4), counts
 
 
-def _packed_keys(keys: np.ndarray, times: np.ndarray) -> bytes:
-    """Five bytes a key, those seen once first, then the counts of the others."""
-    order = np.argsort(times > 1, kind="stable")
-    keys, times = keys[order], times[order]
-    five = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-    return struct.pack("<I", len(keys)) + five.tobytes() + times[times > 1].astype("<u4").tobytes()
+def _squeezed(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked_keys(blob: memoryview | bytes) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", blob)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(-1, 5)
-    more = np.frombuffer(blob, "<u4", -1, 4 + 5 * n)
-    times = np.ones(n, np.int64)
-    times[n - len(more) :] = more
-    return wide.view("<u8").ravel(), times
-
-
-_FOUND = "what int, id long, bits long, a binary, b binary, c binary, d binary, distinct long, total long"
-_NAMES = ["what", "id", "bits", "a", "b", "c", "d", "distinct", "total"]
-
-
-def _found(what: int, id_: int, bits: int = 0, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"", distinct: int = 0, total: int = 0) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((what, id_, bits, a, b, c, d, distinct, total), kinds, strict=True)], names=_NAMES)
-
-
-def _token_parts(blobs: list[tuple[int, bytes]], fragment: int) -> Iterator[pa.RecordBatch]:
-    """what = 0: a window's documents' sums of log10(count + 1) and of known tokens; what = 1: the filter's slice with distinct and all training tokens."""
-    read = []
-    for window, blob in blobs:
-        h, n, m = struct.unpack_from("<III", blob)
-        at = 12 + h
-        uniq = np.frombuffer(blob, "<u8", n, at)
-        counted = np.frombuffer(blob, "<u4", n, at + 8 * n)
-        holders = np.frombuffer(blob, "<u2", n, at + 12 * n)
-        own = np.frombuffer(blob, "<u2", m, at + 14 * n)
-        times = np.frombuffer(blob, "<u4", m, at + 14 * n + 2 * m)
-        read.append((window, bytes(blob[12:at]), uniq, counted, holders, own, times))
-    words, which = np.unique(np.concatenate([r[2] for r in read]), return_inverse=True)
-    totals = np.bincount(which, weights=np.concatenate([r[3] for r in read]), minlength=len(words)).astype(np.int64)
-    at = 0
-    for window, head, uniq, _, holders, own, times in read:
-        count = np.repeat(totals[which[at : at + len(uniq)]], holders)
-        at += len(uniq)
-        docs = np.unique(own)
-        logs = np.bincount(own, weights=times * np.log10(count + 1.0))[docs] if len(docs) else np.empty(0)
-        known = np.bincount(own, weights=times * (count > 0))[docs] if len(docs) else np.empty(0)
-        yield _found(0, window, a=docs.astype("<u2").tobytes(), b=logs.astype("<f8").tobytes(), c=known.astype("<i8").tobytes(), d=head)
-    seen = totals > 0
-    bits, packed = build_slice(words[seen], totals[seen])
-    yield _found(1, fragment, bits, packed, distinct=int(seen.sum()), total=int(totals.sum()))
-
-
-def _make_fragments(fragments: int):
+def _spread(blob: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+_ASKED = "part int, home long, number long, mark long, entries binary"
+
+
+def asked(w: Window, fragments: tuple[int, int], folds: int, held: int) -> pa.RecordBatch:
+    """What a window sends to the token fragments (the first ones) and to the bigram fragments."""
+    words, before, sizes = tokens(w)
+    train = np.repeat([not is_held_out(d, folds, held) for d in w.rows.column("doc").to_pylist()], sizes).astype(np.int64)
+    parts, blobs = [], []
+    # A bigram's key in its fragment: the context's upper half, and the lower half of the bigram's hash.
+    h, both, context = _distinct(bigram_hashes(words, before), train, before)
+    keys = (context & U(0xFFFFFFFF << 32)) | (h & U(0xFFFFFFFF))
+    all_words = _with_contexts(w, words)
+    uniq, single, _ = _distinct(all_words, np.pad(train, (0, len(all_words) - len(train))))
+    for first, n, place, shown, counts in ((0, fragments[0], fragment_of(uniq, fragments[0]), uniq, single), (fragments[0], fragments[1], fragment_of(h, fragments[1]), keys, both)):
+        there, begin = np.unique(place, return_index=True)
+        for f, s, e in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(place)], strict=True):
+            parts.append(first + f)
+            blobs.append(_packed(shown[s:e], counts[s:e]))
+    same = [pa.array([x] * len(parts), pa.int64()) for x in (w.home, w.number, w.mark())]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *same, pa.array(blobs, pa.binary())], names=["part", "home", "number", "mark", "entries"])
+
+
+def _first_window() -> int:
+    return TaskContext.get().partitionId() << 32
+
+
+def _ask(fragments: tuple[int, int], folds: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for part, window, blob in zip(b.column("part").to_pylist(), b.column("window").to_pylist(), b.column("entries"), strict=True):
-                parts.setdefault(part, []).append((window, blob.as_buffer()))
-        for part, blobs in parts.items():
-            if part < fragments:
-                yield from _token_parts(blobs, part)
-            else:
-                keys, times = (np.concatenate(x) for x in zip(*(_unpacked_keys(b) for _, b in blobs), strict=True))
-                uniq, which = np.unique(keys, return_inverse=True)
-                counts = np.bincount(which, weights=times).astype(np.int64)
-                bits, packed = build_slice(uniq, counts)
-                yield _found(2, part - fragments, bits, packed, distinct=len(uniq), total=int(counts.sum()))
+        for w in windows(batches, _first_window()):
+            yield asked(w, fragments, folds, held)
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, version, n_tokens, n_known, logs) of the windows whose fragments' answers came here."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for window, a, logs, known, head in zip(b.column("id").to_pylist(), *(b.column(c).to_pylist() for c in "abcd"), strict=True):
-            held.setdefault(window, []).append((a, logs, known, head))
-    for rows in held.values():
-        docs, versions, sizes = _unpacked_docs(next(r[3] for r in rows if r[3]))
-        total, seen = np.zeros(len(docs)), np.zeros(len(docs), np.int64)
-        for a, logs, known, _ in rows:
-            at = np.frombuffer(a, "<u2")
-            total[at] += np.frombuffer(logs, "<f8")
-            seen[at] += np.frombuffer(known, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(versions), pa.array(sizes), pa.array(seen), pa.array(total)], names=["doc", "version", "n_tokens", "n_known", "logs"])
-
-
-class Model:
-    """A part of the filter (some groups of contexts and of words), and the constants of the formula."""
-
-    def __init__(self, tokens_: Filter, bigrams: Filter, fragments: int, per_group: int, contexts: range, following: range, total: int, distinct: int) -> None:
-        self.tokens, self.bigrams, self.fragments, self.per_group = tokens_, bigrams, fragments, per_group
-        self.contexts, self.following, self.total, self.distinct = contexts, following, total, distinct
-
-    def token_levels(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(levels of the tokens, of the tokens before them), each distinct token probed once. Before a text stand as many starts as there are ends."""
-        uniq, which = np.unique(words, return_inverse=True)
-        level = self.tokens.levels(uniq, _token_fragment(uniq, self.fragments))
-        own = level[which]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[np.cumsum(sizes) - sizes] = level[np.searchsorted(uniq, END)]
-        return own, before
-
-    def mine(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The tokens whose group, and whose context's group, this part holds."""
-        if len(self.contexts) == len(self.following) == GROUPS:
-            return np.ones(len(words), bool)
-        shift = U(64 - GROUPS.bit_length() + 1)
-        c, w = before >> shift, words >> shift
-        return (c >= self.contexts.start) & (c < self.contexts.stop) & (w >= self.following.start) & (w < self.following.stop)
-
-    def unseen_counts(self, words: np.ndarray, before: np.ndarray, sizes: np.ndarray, train: np.ndarray) -> np.ndarray:
-        """(2, levels): bigram tokens of training rows by their context's level, and those seen once, which fail the probe for level 2."""
-        _, context = self.token_levels(words, sizes)
-        take = np.flatnonzero(self.mine(words, before) & train)
-        once = self.bigrams.levels(*_bigrams(words[take], before[take], self.per_group), first=2, last=2) < 2
-        context = context[take]
-        return np.stack([np.bincount(context, minlength=LEVELS + 1), np.bincount(context[once], minlength=LEVELS + 1)])
-
-    def log10(self, words: np.ndarray, before: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """log10 P of each token, 0 for those of other parts; share: the unseen mass by the context's level."""
-        own, context = self.token_levels(words, sizes)
-        out = np.zeros(len(words))
-        take = np.flatnonzero(self.mine(words, before))
-        own, context = own[take], context[take]
-        # A bigram of a word or context that was never seen is a false positive, so it is not looked up.
-        known = np.flatnonzero((own > 0) & (context > 0))
-        bigram = np.zeros(len(take), np.int64)
-        bigram[known] = self.bigrams.levels(*_bigrams(words[take[known]], before[take[known]], self.per_group))
-        single = (COUNTS[own] + 1) / (self.total + self.distinct + 1)
-        unseen = share[context]
-        out[take] = np.log10(np.where(context > 0, (1 - unseen) * np.minimum(1, COUNTS[bigram] / np.maximum(COUNTS[context], 1)) + unseen * single, single))
-        return out
-
+#: what = 0: an answer to a window; 1 and 2: sums of a token or bigram fragment; 3: tokens by the level of their count.
+_ANSWER = "what int, home long, number long, part int, mark long, n long, total long, once long, a binary, b binary"
+_NAMES = ["what", "home", "number", "part", "mark", "n", "total", "once", "a", "b"]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=_NAMES)
+
+
+def _scaled(counts: np.ndarray, quantised: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """quantised times the factor by which each class (ascending numbers) keeps its exact sum; 0 in a class without counts."""
+    begin = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    exact = np.add.reduceat(counts, begin)
+    seen = np.add.reduceat(np.where(counts > 0, quantised, 0), begin)
+    return quantised * np.repeat(exact / np.maximum(seen, 1e-9), np.diff(np.append(begin, len(counts))))
+
+
+def answers(part: int, questions: list[tuple[int, int, int, pa.Buffer]], token_fragments: int) -> Iterator[pa.RecordBatch]:
+    """A fragment's answers to (home, number, mark, entries), and its sums."""
+    read = [_unpacked(q[3]) for q in questions]
+    keys, inverse = np.unique(np.concatenate([k for k, _ in read]), return_inverse=True)
+    counts = np.bincount(inverse, weights=np.concatenate([c for _, c in read]), minlength=len(keys)).astype(np.int64)
+    seen = counts > 0
+    level = Slice(keys[seen], counts[seen]).levels(keys)
+    single = part < token_fragments
+    scaled = _scaled(counts, COUNTS[level], np.zeros(len(keys), np.int64) if single else keys >> U(32)).astype("<f4")
+    sums = (int(seen.sum()), int(counts.sum()), int((counts == 1).sum()))
+    stats = [(1 if single else 2, 0, 0, part, 0, *sums, None, None)]
+    if single:
+        own = levels_of(counts[seen])
+        types, every = np.bincount(own, minlength=LEVELS + 1), np.bincount(own, weights=counts[seen], minlength=LEVELS + 1)
+        stats += [(3, 0, 0, k, 0, int(types[k]), int(every[k]), 0, None, None) for k in np.flatnonzero(types).tolist()]
+    yield _rows(stats)
+    at = 0
+    for (home, number, mark, _), (k, _) in zip(questions, read, strict=True):
+        own = inverse[at : at + len(k)]
+        at += len(k)
+        yield _rows([(0, home, number, part, mark, len(k), 0, 0, _squeezed(scaled[own]), _squeezed(counts[own].astype("<i8")) if single else None)])
 
-def _unseen_counts(model, folds: int, held: int):
-    """(level of the context, bigram tokens, those seen once) over the training rows."""
 
+def _answer(token_fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        both = np.zeros((2, LEVELS + 1), np.int64)
-        for b in slices(batches, "text", SCORED_BYTES):
-            words, before, sizes = tokens(text_column(b))
-            train = np.array([not is_held_out(d, folds, held) for d in b.column("doc").to_pylist()])
-            both += m.unseen_counts(words, before, sizes, np.repeat(train, sizes))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS + 1)), pa.array(both[0]), pa.array(both[1])], names=["level", "tokens", "once"])
+        held: list[tuple[int, int, int, pa.Buffer]] = []
+        at = None
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("part", "home", "number", "mark"))
+            for part, home, number, mark, entries in zip(*columns, b.column("entries"), strict=True):
+                if part != at and held:
+                    yield from answers(at, held, token_fragments)
+                    held = []
+                at = part
+                held.append((home, number, mark, entries.as_buffer()))
+        if held:
+            yield from answers(at, held, token_fragments)
 
     return run
 
 
-def _score_texts(model, share: np.ndarray):
+_STREAM = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window's texts as a row of the answers' kind, with part -1."""
+    for w in windows(batches, _first_window()):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, w.rows.schema, options=_STREAM) as stream:
+            stream.write_batch(w.rows)
+        yield _rows([(0, w.home, w.number, -1, w.mark(), int(w.last), 0, 0, sink.getvalue().to_pybytes(), struct.pack("<Q", w.before))])
+
+
+class Model(NamedTuple):
+    """The constants of the formula."""
+
+    total: int
+    distinct: int
+    weight: float
+    token_fragments: int
+
+
+def weight_of(levels: list[tuple[int, int]], once: int, total: int) -> float:
+    """K for contexts given by (different ones, tokens after them) of each level of the count, so that it takes a share once / total of all tokens."""
+    if not total:
+        return 1.0
+    types, every = np.array(levels, float).T
+    mean = every / types
+    low, high = 1e-3, 1e9
+    for _ in range(100):
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if (every * middle / (mean + middle)).sum() < once else (low, middle)
+    return high
+
+
+def bigram_logs(w: Window, found: dict[int, tuple[int, int, bytes, bytes | None]], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 P of each token, its exact count, its hash, tokens of each text) of a window. found: (mark, n, a, b) by fragment."""
+    words, before, sizes = tokens(w)
+    mark = w.mark()
+    parts = sorted(found)
+    if any(found[p][0] != mark for p in parts):
+        raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
+    single = [p for p in parts if p < model.token_fragments]
+    scaled, both = (np.concatenate([np.empty(0, "<f4"), *(_spread(found[p][2], "<f4", found[p][1]) for p in ps)]).astype(float) for ps in (single, [p for p in parts if p >= model.token_fragments]))
+    counts = np.concatenate([np.empty(0, "<i8"), *(_spread(found[p][3], "<i8", found[p][1]) for p in single)])
+    uniq, which = np.unique(_with_contexts(w, words), return_inverse=True)
+    pairs, first, pair = np.unique(bigram_hashes(words, before), return_index=True, return_inverse=True)
+    if len(uniq) != len(counts) or len(pairs) != len(both):
+        raise RuntimeError("a window's answers are not complete")
+    lower = (scaled[which[first]] + 1) / (model.total + model.distinct + 1)
+    # A context is followed as often as it stands; a start as often as there are ends.
+    follow = counts[np.searchsorted(uniq, np.where(before[first] == START, END, before[first]))]
+    logs = np.log10((both + model.weight * lower) / (follow + model.weight))
+    return logs[pair], counts[which[: len(words)]], words, sizes
+
+
+_SCORES = "doc long, n_tokens long, n_known long, logs double, score double"
+
+
+def _scores(model: Model):
+    def window(held: tuple, found: dict) -> list[tuple]:
+        home, number, mark, last, blob, before = held
+        rows = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+        w = Window(home, number, rows, struct.unpack("<Q", before)[0], bool(last))
+        logs, counts, _, sizes = bigram_logs(w, found, model)
+        edges = np.cumsum(sizes) - sizes
+        add = lambda x: np.array([x[s : s + n].sum() for s, n in zip(edges.tolist(), sizes.tolist(), strict=True)]) if (sizes == 0).any() else np.add.reduceat(x, edges)
+        return list(zip(rows.column("doc").to_pylist(), sizes.tolist(), add((counts > 0).astype(np.int64)).tolist(), add(np.log10(counts + 1.0)).tolist(), add(logs).tolist(), strict=True))
+
+    def shown(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc", "n_tokens", "n_known", "logs", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in slices(batches, "text", SCORED_BYTES):
-            words, before, sizes = tokens(text_column(b))
-            logs = m.log10(words, before, sizes, share)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("version"), pa.array(np.add.reduceat(logs, np.cumsum(sizes) - sizes))], names=["doc", "version", "part"])
+        held, found = None, {}
+        kept: list[tuple] = []  # sums of a long text whose end has not come
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal kept
+            rows = window(held, found)
+            if kept:
+                rows = [(rows[0][0], *(x + y for x, y in zip(kept[0][1:], rows[0][1:], strict=True)))]
+            kept = [] if held[3] else rows
+            if held[3]:
+                yield shown(rows)
+
+        for b in batches:
+            for home, number, part, mark, n, x, y in zip(*(b.column(c).to_pylist() for c in ("home", "number", "part", "mark", "n", "a", "b")), strict=True):
+                if part < 0:
+                    if held:
+                        yield from done()
+                    held, found = (home, number, mark, n, x, y), {}
+                else:
+                    found[part] = (mark, n, x, y)
+        if held:
+            yield from done()
 
     return run
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row an input row; see the module's text.
 
     base_score: sum of log10((c + 1) / (N + V + 1)) with exact counts. score: log10 probability by the filter's model.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if "Exchange" in source._jdf.queryExecution().executedPlan().toString():
+        source = cut(source)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(4, -(-size // TOKEN_FRAGMENT))
-    per_group = max(1, -(-size // (BIGRAM_FRAGMENT * GROUPS * GROUPS)))
-    parts = fragments + GROUPS * GROUPS * per_group
-    dealt = source.mapInArrow(_count_window(fragments, per_group, folds, held), "part int, window long, entries binary")
-    found = cut(dealt.repartitionById(parts, F.col("part")).mapInArrow(_make_fragments(fragments), _FOUND))
-
-    sums = found.where("what > 0").groupBy("what").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum(F.octet_length("a")).alias("bytes")).collect()
-    by = {r["what"]: r for r in sums}
-    total, distinct = (by[1]["total"], by[1]["distinct"]) if 1 in by else (0, 0)
-    cuts = 1
-    # Cut by contexts and words until a pair of cuts fits; cuts hold equal shares of the hash space.
-    while cuts < GROUPS and sum((by[w]["bytes"] if w in by else 0) / cuts for w in (1, 2)) > filter_bytes:
-        cuts *= 2
-
-    loads = [_load(found, fragments, per_group, cuts, a, b, total, distinct) for a in range(cuts) for b in range(cuts)]
-    seen = np.zeros((2, LEVELS + 1))
-    only = None
-    for load in loads:
-        model = spark.sparkContext.broadcast(load())
-        counted = source.mapInArrow(_unseen_counts(model, folds, held), "level long, tokens long, once long").groupBy("level").agg(F.sum("tokens"), F.sum("once"))
-        for level, all_, once in counted.collect():
-            seen[:, level] += all_, once
-        if len(loads) > 1:
-            model.destroy()
-        else:
-            only = model
-    share = np.clip(np.where(seen[0] > 0, seen[1] / np.maximum(seen[0], 1), 1.0), 1e-3, 1.0)
-
-    scored = None
-    for load in loads:
-        model = only or spark.sparkContext.broadcast(load())
-        # Rows alike in id and text have one score.
-        part = source.mapInArrow(_score_texts(model, share), "doc long, version long, part double").groupBy("doc", "version").agg(F.max("part").alias("part"))
-        if only is None:
-            part = cut(part)
-            model.destroy()
-        scored = part if scored is None else scored.unionAll(part)
-    if len(loads) > 1:
-        scored = scored.groupBy("doc", "version").agg(F.sum("part").alias("part"))
-
-    schema = "doc long, version long, n_tokens long, n_known long, logs double"
-    answers = found.where("what = 0").select("id", "a", "b", "c", "d").repartition(F.col("id")).mapInArrow(_answers, schema)
-    scored = scored.select(F.col("doc").alias("scored"), F.col("version").alias("scored_version"), "part")
-    joined = answers.join(scored, F.col("doc").eqNullSafe(F.col("scored")) & (F.col("version") == F.col("scored_version")))
-    return joined.select(
+    fragments = max(4, -(-size // TOKEN_FRAGMENT)), max(8, -(-size // BIGRAM_FRAGMENT))
+    tasks = min(sum(fragments), TASKS)
+    questions = source.mapInArrow(_ask(fragments, folds, held), _ASKED)
+    dealt = questions.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+    found = cut(dealt.mapInArrow(_answer(fragments[0]), _ANSWER))
+
+    stats = found.where("what > 0").groupBy("what", F.when(F.col("what") == 3, F.col("part")).alias("level")).agg(*(F.sum(c).alias(c) for c in ("n", "total", "once"))).collect()
+    single = next((r for r in stats if r["what"] == 1), None)
+    total, distinct = (single["total"], single["n"]) if single else (0, 0)
+    once = sum(r["once"] for r in stats if r["what"] == 2)
+    weight = weight_of([(r["n"], r["total"]) for r in stats if r["what"] == 3], once, total)
+    model = Model(total, distinct, weight, fragments[0])
+
+    homes = max(1, -(-size // HOME_BYTES))
+    met = source.mapInArrow(_home, _ANSWER).unionAll(found.where("what = 0")).repartition(homes, "home").sortWithinPartitions("home", "number", "part")
+    return met.mapInArrow(_scores(model), _SCORES).select(
         F.col("doc").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc").cast("string")) % folds == held, F.lit(False)).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        F.col("part").alias("score"),
+        "score",
     )
-
-
-def _load(found: DataFrame, fragments: int, per_group: int, cuts: int, a: int, b: int, total: int, distinct: int):
-    """A function that brings the filter's slices for context cut a and word cut b to the driver."""
-    width = GROUPS // cuts
-    contexts, following = range(a * width, (a + 1) * width), range(b * width, (b + 1) * width)
-
-    def load() -> Model:
-        groups = [c * GROUPS + w for c in contexts for w in following]
-        wanted = [g * per_group + s for g in groups for s in range(per_group)]
-        # Tokens of either cut; END stands for the context START, so its fragment always comes too.
-        tops = {(f * GROUPS // fragments, ((f + 1) * GROUPS - 1) // fragments, f) for f in range(fragments)}
-        end = int(_token_fragment(np.array([END]), fragments)[0])
-        near = sorted({f for low, high, f in tops if f == end or any(low <= g <= high for r in (contexts, following) for g in r)})
-        rows = found.where((F.col("what") == 1) & F.col("id").isin(near) | (F.col("what") == 2) & F.col("id").isin(wanted)).select("what", "id", "bits", "a")
-        sizes = {r["what"]: r["size"] for r in rows.groupBy("what").agg(F.sum(F.octet_length("a")).alias("size")).collect()}
-        parts = {1: Filter(fragments, sizes.get(1, 0)), 2: Filter(GROUPS * GROUPS * per_group, sizes.get(2, 0))}
-        # Part by part, so that no second copy of the filter is held.
-        for r in rows.coalesce(8).toLocalIterator():
-            parts[r["what"]].add(r["id"], r["bits"], r["a"])
-        return Model(parts[1], parts[2], fragments, per_group, contexts, following, total, distinct)
-
-    return load
-
