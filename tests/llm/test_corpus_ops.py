@@ -309,32 +309,58 @@ def slow_model(examples):
     return lambda g: logp(True, g) - logp(False, g)
 
 
-def test_url_filter(spark):
-    urls = dict(duck(SF).execute("select page_id, url from pages").fetchall())
-    rows = registry.op4_url_filter(spark, SF).collect()
-    assert len(rows) == len(urls)
-    folds = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "pmod(xxhash64(url), 5) = 0").collect()}
+def check_urls(spark, urls, rows):
+    """The rows against slow models over urls (by id); returns (scores of those without a rule, threshold)."""
+    folds = {r["page_id"]: r["f"] for r in spark.createDataFrame(list(urls.items()), "page_id long, url string").selectExpr("page_id", "pmod(xxhash64(url), 5) as f").collect()}
     ruled = {k: slow_rule(u) for k, u in urls.items()}
-    ratio = slow_model([(slow_codes(urls[k]), r[3] == "allow") for k, r in ruled.items() if r[3] and not folds[k]])
+    examples = {k: r[3] == "allow" for k, r in ruled.items() if r[3]}
+    models = [slow_model([(slow_codes(urls[k]), y) for k, y in examples.items() if folds[k] != f]) for f in range(url_filter.FOLDS + 1)]
 
-    def score(u):
+    def score(u, model):
         c = slow_codes(u)
-        return sum(ratio(tuple(c[i - 3 : i + 1])) for i in range(3, len(c))) / (len(c) - 3)
+        return sum(model(tuple(c[i - 3 : i + 1])) for i in range(3, len(c))) / (len(c) - 3)
 
-    unseen = {a: [score(urls[k]) for k, r in ruled.items() if r[3] == a and folds[k]] for a in ("allow", "block")}
-    (ma, da), (mr, dr) = ((float(np.mean(unseen[a])), float(np.std(unseen[a])) + 1e-9) for a in ("allow", "block"))
-    threshold = (ma * dr + mr * da) / (da + dr)
-    free = 0
+    out = {y: np.array([score(urls[k], models[folds[k]]) for k, own in examples.items() if own == y]) for y in (True, False)}
+    pooled = sum(((x - x.mean()) ** 2).sum() for x in out.values()) / len(examples)
+    dev = {y: max(url_filter.LEAST_DEVIATION, math.sqrt((((x - x.mean()) ** 2).sum() + url_filter.POOLED * pooled) / (len(x) + url_filter.POOLED))) for y, x in out.items()}
+    threshold = (out[True].mean() * dev[False] + out[False].mean() * dev[True]) / (dev[True] + dev[False])
+    free = {}
     for r in rows:
         host, path, rule, verdict = ruled[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         if verdict is None:
-            free += 1
-            s = score(urls[r["page_id"]])
+            s = free[r["page_id"]] = score(urls[r["page_id"]], models[-1])
             assert abs(s - r["score"]) < 1e-4
             verdict = ("allow" if s >= threshold else "block") if abs(s - threshold) > 1e-4 else r["verdict"]
         assert r["verdict"] == verdict
-    assert free
+    return free, threshold, {k: score(urls[k], models[-1]) for k, y in examples.items() if y}
+
+
+def test_url_filter(spark):
+    urls = dict(duck(SF).execute("select page_id, url from pages").fetchall())
+    rows = registry.op4_url_filter(spark, SF).collect()
+    assert len(rows) == len(urls) and check_urls(spark, urls, rows)[0]
+
+
+@pytest.mark.parametrize("blocked", [1, 2, 3])
+def test_url_filter_with_few_examples_of_a_class(spark, blocked):
+    rng = random.Random(blocked)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(4, 9)))
+    urls = [f"https://www.{word()}.com/{word()}/{word()}.html" for _ in range(80)]
+    urls += [f"http://casino{k}-xxx-777.net/es/free_spins_{word()}?id=99{k}" for k in range(blocked)]
+    urls += ["http://casino9-xxx-777.org/free_spins_now?id=998", f"https://www.{word()}.org/{word()}/{word()}.html"]
+    table = dict(enumerate(urls))
+    rows = url_filter.judge(spark.createDataFrame(list(table.items()), "page_id long, url string")).collect()
+    free, threshold, accepted = check_urls(spark, table, rows)
+    by = {r["page_id"]: r["verdict"] for r in rows}
+    worst, fine = len(urls) - 2, len(urls) - 1
+    assert free[worst] < min(accepted.values()) and by[worst] == "block" and by[fine] == "allow"
+
+
+def test_url_threshold_is_pooled():
+    assert url_filter.between({True: (1.0, 2.0, 4.0)}) is None
+    assert url_filter.between({True: (1.0, 2.0, 4.0), False: (1.0, -2.0, 4.0)}) == 0.0
+    assert -2 < url_filter.between({True: (100.0, 200.0, 500.0), False: (1.0, -2.0, 4.0)}) < 2
 
 
 def test_url_filter_of_odd_rows(spark):

@@ -3,19 +3,21 @@
 URLs that a rule decides are the models' examples: a smoothed variable-order Markov model (orders 0 to 3,
 each order's estimate interpolated with the next lower one by the number of different characters seen in
 the context) for the accepted and one for the rejected. A URL without a rule is accepted when the
-difference of its log-likelihoods, divided by its length, reaches a threshold. The threshold is calibrated
-on examples that the models did not see (a fifth of them, by a hash of the URL): it lies between the two
-classes' means, at equal distances in standard deviations.
+difference of its log-likelihoods, divided by its length, reaches a threshold. The threshold is calibrated by
+cross-fitting: each example is scored by models that did not see its fold (one of FOLDS, by a hash of the URL),
+and the threshold lies between the two classes' means, at equal distances in standard deviations. A class's
+deviation is pooled with that of all examples about their class's mean, which counts as POOLED examples, and is at
+least LEAST_DEVIATION, so a class with one example has a deviation as well.
 
 Only DataFrame expressions are used. Characters are folded to an alphabet of 39 codes, so the counts have
-at most 39**4 cells a class, and the models' log ratio is a table of at most 39**4 numbers whatever the
-corpus, which is why scoring may broadcast it. Different URLs are scored once each, and a URL's cells are averaged
-in the task that made them. Examples are counted with map-side combine, so a frequent host or a URL that
-is repeated without end costs one row a task.
+at most 39**4 cells a class and fold, and a model's log ratio is a table of at most 39**4 numbers whatever the
+corpus. It is broadcast for scoring if its counted rows are at most BROADCAST_CELLS, else joined by shuffle.
+Different URLs are scored once each, dealt by a hash over all tasks before they become cells. Examples are counted
+with map-side combine, so a frequent host or a URL that is repeated without end costs one row a task.
 
 Null URLs and URLs without `://` have an empty host and path and no rule; a null URL is scored as an empty
-one. Without such examples of both classes the ratio is 0 and everything without a rule is accepted. Input
-columns with clashing names are ignored, but for those passed in keep.
+one. Without examples of both classes the ratio is 0 and everything without a rule is accepted. Input
+columns with clashing names are ignored, but for those passed in keep. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.session import cut
+from tidemill.llm.session import cut, partitions
 
 
 class Rule(NamedTuple):
@@ -49,6 +51,10 @@ OTHER = len(SHOWN) + 1
 SIZE = OTHER + 1
 ORDER = 3
 FOLDS = 5
+#: Cells of a model that may be broadcast.
+BROADCAST_CELLS = 1_000_000
+#: Examples as which the pooled variance counts, and the least deviation of a class.
+POOLED, LEAST_DEVIATION = 5.0, 1e-3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -85,20 +91,20 @@ def cells(code: Column) -> Column:
 
 
 def _conditional(counts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(accepted, cell, logp) for both classes and the needed cells: the interpolated log-probability of the cell's last code after the ones before it."""
-    grid = needed.select("cell", F.explode(F.array(F.lit(True), F.lit(False))).alias("accepted"))
+    """(model, accepted, cell, logp) for both classes and the needed cells: the interpolated log-probability of the cell's last code after the ones before it."""
+    grid = needed.select("model", "cell", F.explode(F.array(F.lit(True), F.lit(False))).alias("accepted"))
     for k in range(ORDER + 1):
         width = SIZE ** (k + 1)
-        seen = counts.groupBy("accepted", (F.col("cell") % width).alias(f"gram{k}")).agg(F.sum("n").alias(f"n{k}"))
-        context = seen.groupBy("accepted", F.floor(F.col(f"gram{k}") / SIZE).cast("int").alias(f"ctx{k}")).agg(F.sum(f"n{k}").alias(f"all{k}"), F.count("*").alias(f"kinds{k}"))
+        seen = counts.groupBy("model", "accepted", (F.col("cell") % width).alias(f"gram{k}")).agg(F.sum("n").alias(f"n{k}"))
+        context = seen.groupBy("model", "accepted", F.floor(F.col(f"gram{k}") / SIZE).cast("int").alias(f"ctx{k}")).agg(F.sum(f"n{k}").alias(f"all{k}"), F.count("*").alias(f"kinds{k}"))
         grid = grid.withColumn(f"gram{k}", (F.col("cell") % width).cast("int")).withColumn(f"ctx{k}", F.floor(F.col(f"gram{k}") / SIZE).cast("int"))
-        grid = grid.join(seen, ["accepted", f"gram{k}"], "left").join(context, ["accepted", f"ctx{k}"], "left")
+        grid = grid.join(seen, ["model", "accepted", f"gram{k}"], "left").join(context, ["model", "accepted", f"ctx{k}"], "left")
     p = F.lit(1.0 / SIZE)
     for k in range(ORDER + 1):
         n, every, kinds = (F.coalesce(F.col(f"{c}{k}").cast("double"), F.lit(0.0)) for c in ("n", "all", "kinds"))
         grid = grid.withColumn(f"p{k}", F.when(every > 0, (n + kinds * p) / (every + kinds)).otherwise(p))
         p = F.col(f"p{k}")
-    return grid.select("accepted", "cell", F.ln(p).alias("logp"))
+    return grid.select("model", "accepted", "cell", F.ln(p).alias("logp"))
 
 
 def cells_of(urls: DataFrame) -> DataFrame:
@@ -108,18 +114,22 @@ def cells_of(urls: DataFrame) -> DataFrame:
 
 
 def train(examples: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cell, r double): the log ratio of accepted to rejected for the needed cells (cell int, each once).
+    """(model, cell, r double): the log ratio of accepted to rejected for the needed cells (model int, cell int, each pair once).
 
-    examples: (url, n long: how often it occurs, accepted boolean).
+    examples: (url, n long: how often it occurs, accepted boolean, fold int). Model k below FOLDS leaves out fold k; model
+    FOLDS has all examples.
     """
-    counts = cut(cells_of(examples).groupBy("accepted", "cell").agg(F.sum("n").alias("n")))
+    by_fold = cells_of(examples).groupBy("accepted", "fold", "cell").agg(F.sum("n").alias("n"))
+    models = F.array_except(F.sequence(F.lit(0), F.lit(FOLDS)), F.array("fold"))
+    counts = cut(by_fold.select("accepted", "cell", "n", F.explode(models).alias("model")).groupBy("model", "accepted", "cell").agg(F.sum("n").alias("n")))
     logs = _conditional(counts, needed)
-    return logs.groupBy("cell").agg(F.sum(F.when(F.col("accepted"), F.col("logp")).otherwise(-F.col("logp"))).alias("r"))
+    return logs.groupBy("model", "cell").agg(F.sum(F.when(F.col("accepted"), F.col("logp")).otherwise(-F.col("logp"))).alias("r"))
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(url, score): the mean log ratio over the cells of each url."""
-    return cells_of(urls.select("url")).join(F.broadcast(model), "cell").groupBy("url").agg(F.avg("r").alias("score"))
+    """(url, score): the mean log ratio over the cells of each url. urls: (url, model int), model: what train gives."""
+    small = model.count() <= BROADCAST_CELLS
+    return cells_of(urls.select("url", "model")).join(F.broadcast(model) if small else model, ["model", "cell"]).groupBy("url").agg(F.avg("r").alias("score"))
 
 
 def _judged(url: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -133,24 +143,37 @@ def judge(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), url: str = "ur
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     ruled = base.withColumns({"__rule": rule, "__verdict": verdict})
 
-    # Each different URL once, with how often it occurs.
-    urls = cut(base.groupBy(F.col("__url").alias("url")).agg(F.count("*").alias("n")))
-    decided = urls.withColumn("verdict", _judged(F.col("url"), rules)[1]).where("verdict is not null")
-    examples = decided.select("url", "n", (F.col("verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("unseen"))
-    model = cut(train(examples.where("not unseen"), cells_of(urls.select("url")).select("cell").distinct()))
-    scores = cut(score(urls, model))
-    by = {r["accepted"]: (r["m"], r["d"] + 1e-9) for r in _moments(examples, scores)}
-    ready = len(by) == 2
-    threshold = (by[True][0] * by[False][1] + by[False][0] * by[True][1]) / (by[True][1] + by[False][1]) if ready else 0.0
-
-    free = ruled.join(scores.select(F.col("url").alias("__scored"), F.col("score").alias("__score")), F.col("__url") == F.col("__scored"), "left")
-    s = F.when(F.col("__verdict").isNull(), F.coalesce(F.col("__score"), F.lit(0.0)) if ready else F.lit(0.0))
-    final = F.coalesce(F.col("__verdict"), F.when(s >= threshold, F.lit("allow")).otherwise(F.lit("block")))
-    return free.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), final.alias("verdict"), s.alias("score"))
-
-
-def _moments(examples: DataFrame, scores: DataFrame) -> list:
-    """Mean and deviation of each class over the examples that the models did not see."""
-    each = examples.where("unseen").join(scores, "url").select("accepted", F.col("n").cast("double").alias("n"), "score")
+    # Each different URL once, with how often it occurs, dealt over all tasks.
+    urls = cut(base.groupBy(F.col("__url").alias("url")).agg(F.count("*").alias("n")).repartition(partitions(pages.sparkSession), "url"))
+    verdicts = urls.withColumn("verdict", _judged(F.col("url"), rules)[1])
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    examples = verdicts.where("verdict is not null").select("url", "n", (F.col("verdict") == "allow").alias("accepted"), fold.alias("fold"))
+    # Rules decide the examples, so only the others are scored by the model of all examples.
+    free = verdicts.where("verdict is null").select("url", F.lit(FOLDS).alias("model"))
+    unseen = examples.select("url", F.col("fold").alias("model"))
+    model = cut(train(examples, cells_of(free.unionAll(unseen)).select("model", "cell").distinct()))
+    threshold = _threshold(examples, score(unseen, model))
+    scores = score(free, model).select(F.col("url").alias("__scored"), F.col("score").alias("__score"))
+
+    joined = ruled.join(scores, F.col("__url") == F.col("__scored"), "left")
+    s = F.when(F.col("__verdict").isNull(), F.coalesce(F.col("__score"), F.lit(0.0)) if threshold is not None else F.lit(0.0))
+    final = F.coalesce(F.col("__verdict"), F.when(s >= (threshold or 0.0), F.lit("allow")).otherwise(F.lit("block")))
+    return joined.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), final.alias("verdict"), s.alias("score"))
+
+
+def _threshold(examples: DataFrame, scores: DataFrame) -> float | None:
+    """Between the classes' means over the examples' scores, at equal distances in deviations; None without both classes."""
+    each = examples.join(scores, "url").select("accepted", F.col("n").cast("double").alias("n"), "score")
     sums = each.groupBy("accepted").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("score")).alias("a"), F.sum(F.col("n") * F.col("score") * F.col("score")).alias("b"))
-    return sums.select("accepted", (F.col("a") / F.col("w")).alias("m"), F.sqrt(F.greatest(F.col("b") / F.col("w") - F.col("a") * F.col("a") / F.col("w") / F.col("w"), F.lit(0.0))).alias("d")).collect()
+    return between({r["accepted"]: (r["w"], r["a"], r["b"]) for r in sums.collect()})
+
+
+def between(sums: dict[bool, tuple[float, float, float]]) -> float | None:
+    """The threshold from each class's number of examples, sum of scores and sum of their squares."""
+    if len(sums) < 2:
+        return None
+    mean = {k: a / w for k, (w, a, _) in sums.items()}
+    apart = {k: max(0.0, b - a * a / w) for k, (w, a, b) in sums.items()}
+    pooled = sum(apart.values()) / sum(w for w, _, _ in sums.values())
+    deviation = {k: max(LEAST_DEVIATION, ((apart[k] + POOLED * pooled) / (sums[k][0] + POOLED)) ** 0.5) for k in sums}
+    return (mean[True] * deviation[False] + mean[False] * deviation[True]) / (deviation[True] + deviation[False])
