@@ -107,9 +107,9 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     order = ["h1", "h2", "doc", "version", "pos"]
     ordered = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     found = cut(ordered.mapInArrow(_stream, "what int, h1 long, h2 long, doc long, version long, pos int"))
-    # At most two rows a partition; without the hint, since Spark checks the size itself.
+    # At most two rows a partition, so broadcast whatever the corpus: the rows in doubt of a common line stay where they are.
     keepers = found.where("what = 2").groupBy("h1", "h2").agg(F.min("doc").alias("keeper"))
-    doubt = found.where("what = 1").join(keepers, ["h1", "h2"]).where("doc <> keeper")
+    doubt = found.where("what = 1").join(F.broadcast(keepers), ["h1", "h2"]).where("doc <> keeper")
     return found.where("what = 0").unionByName(doubt.drop("keeper")).select("doc", "version", "pos")
 
 
