@@ -137,6 +137,8 @@ def test_checked_numbers_and_context():
     kinds = lambda t: [s.kind for s in pii.find_spans(t)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
     assert kinds("my ssn is 219-09-9999") == ["ssn"] and kinds("part 219-09-9999") == []
+    assert kinds("219-09-9999" + " " * 36 + "ssnake") == [] and kinds("219-09-9999" + " " * 36 + "ssn ake") == ["ssn"]
+    assert kinds("219-09-9999" + " " * 37 + "ssn") == ["ssn"] and kinds("219-09-9999" + " " * 38 + "ssn") == []
     near, far = pii.find_spans("visa 4111111111111111")[0], pii.find_spans("4111111111111111")[0]
     assert near.score > far.score
 
@@ -145,6 +147,7 @@ def test_pii_of_odd_rows(spark):
     rows = pii.detect(docs_of(spark, ODD)).collect()
     assert len(rows) == len(ODD) + 2 and all(r["spans"] == [] for r in rows)
     df = spark.createDataFrame([(1, "mail a@b.cd now", "k"), (2, None, "k"), (3, "", None)], "doc_id long, text string, extra string")
+    assert pii.detect(df.limit(0)).collect() == [] and pii.redact(df.limit(0)).collect() == []
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", "k"), (2, None, "k"), (3, "", None)]
 
 

@@ -125,6 +125,11 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _within(words: re.Pattern, text: str, low: int, high: int) -> bool:
+    """Whether a context word lies in text[low:high]; what follows the window is seen, so that no word is cut."""
+    return any(m.end() <= high for m in words.finditer(text, max(0, low), min(len(text), high + 1)))
+
+
 _FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "ssn": ssns}
 _DIGIT = re.compile("[0-9]")
 
@@ -141,8 +146,8 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     for kind in kinds:
         rule = RULES[kind]
         for start, end in _FIND[kind](text):
-            near = rule.words.search(text, max(0, start - CONTEXT), start) or rule.words.search(text, end, end + CONTEXT)
-            score = rule.score + rule.boost * (near is not None)
+            near = _within(rule.words, text, start - CONTEXT, start) or _within(rule.words, text, end, end + CONTEXT)
+            score = rule.score + rule.boost * near
             if kind in BASE_KINDS or score >= threshold:
                 found.append(Span(kind, start, end, score))
     found.sort(key=lambda s: (s.start, KINDS.index(s.kind)))
