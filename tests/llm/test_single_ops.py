@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,6 +41,50 @@ def test_audio_digests(spark, texts):
         assert r["media_sha256"] == hashlib.sha256(media).hexdigest()
 
 
+def slow_sample(code, law):
+    """The companding formulas, one code at a time."""
+    if law == "mulaw":
+        code = ~code & 0xFF
+        size = (((code & 15) * 8 + 132) << (code >> 4 & 7)) - 132
+        return -size if code & 128 else size
+    code ^= 0x55
+    size = (code & 15) * 16 + 8 if not code >> 4 & 7 else ((code & 15) * 16 + 264) << ((code >> 4 & 7) - 1)
+    return size if code & 128 else -size
+
+
+def slow_loudness(pcm):
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+    return f"{(sum(x * x for x in pcm) / len(pcm)) ** 0.5:.3f}/{max(map(abs, pcm))}/{crossings}"
+
+
+def slow_resampled(pcm):
+    return [x for k, a in enumerate(pcm) for x in (a, (a + pcm[k + 1]) >> 1 if k + 1 < len(pcm) else a)]
+
+
+def slow_media(text):
+    """(feature, stored PCM) of a text."""
+    data = (text or "").encode()
+    data += bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+    mulaw, alaw = ([slow_sample(c, law) for c in data] for law in ("mulaw", "alaw"))
+    adpcm = [x for k in range(0, len(data), 64) for x in slow_adpcm(data[k : k + 64])]
+    up = slow_resampled(mulaw)
+    samples = struct.pack(f"<{len(up)}h", *up)
+    wav = b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, 16000, 32000, 2, 16, b"data", len(samples)) + samples
+    crc = lambda x: f"{zlib.crc32(struct.pack(f'<{len(x)}h', *x)):08x}"
+    return f"mulaw={slow_loudness(mulaw)};alaw={slow_loudness(alaw)};pcm16k={crc(up)}/{slow_loudness(up)};adpcm={crc(adpcm)}/{slow_loudness(adpcm)}", wav
+
+
+def test_audio_features_match_a_sample_loop(spark):
+    docs = docs_of(spark, ODD)
+    rows = telephony.media_digests(docs).collect()
+    assert len(rows) == len(ODD) + 2 and telephony.media_digests(docs.limit(0)).collect() == []
+    want = Counter()
+    for r in docs.collect():
+        feature, wav = slow_media(r["text"])
+        want[r["doc_id"], len((r["text"] or "").encode()), feature, len(wav), hashlib.sha256(wav).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["feature"], r["pcm_bytes"], r["pcm_sha256"]) for r in rows) == want
+
+
 def slow_adpcm(block):
     sample = int.from_bytes(block[:2], "little", signed=True)
     index, out = min(block[2], 88), [sample]
@@ -139,6 +185,8 @@ def test_checked_numbers_and_context():
     assert kinds("my ssn is 219-09-9999") == ["ssn"] and kinds("part 219-09-9999") == []
     assert kinds("219-09-9999" + " " * 36 + "ssnake") == [] and kinds("219-09-9999" + " " * 36 + "ssn ake") == ["ssn"]
     assert kinds("219-09-9999" + " " * 37 + "ssn") == ["ssn"] and kinds("219-09-9999" + " " * 38 + "ssn") == []
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e"') == ["secret"] and kinds("commit 04dbebab91ab85687d33eeaaf9ac699e") == []
+    assert kinds("key: averylongwordwithoutanydigits") == [] and kinds("my_api_key=AbCd0123456789EfGhIj==") == ["secret"]
     near, far = pii.find_spans("visa 4111111111111111")[0], pii.find_spans("4111111111111111")[0]
     assert near.score > far.score
 

@@ -1,8 +1,8 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, nearby words move the score.
 
 Kinds `email`, `ip`, `card` and `phone` are the base kinds: their spans always stay, whatever their
-score. `iban` (mod-97) and `ssn` (three-part number, only with a context word) are added where their
-score reaches the threshold. Matches of a kind are leftmost and do not overlap; kinds may overlap.
+score. `iban` (mod-97), `ssn` (three-part number) and `secret` (a run of 20 or more letters and digits, as in
+access tokens), the last two only with a context word, are added where their score reaches the threshold. Matches of a kind are leftmost and do not overlap; kinds may overlap.
 
 Spans are in code points, end exclusive. Null or empty text has no spans. Time is linear in the text:
 each pattern is anchored so that a failed attempt is not repeated from inside the same run.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.kernels import slices, text_column
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 #: Code points before and after a span that are searched for context words.
@@ -55,6 +55,7 @@ RULES = {
     "phone": Rule(0.6, 0.4, _words("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
     "iban": Rule(0.8, 0.2, _words("iban", "bank", "account", "konto", "compte", "cuenta")),
     "ssn": Rule(0.3, 0.4, _words("ssn", "social security", "tax id", "taxpayer", "national id")),
+    "secret": Rule(0.3, 0.4, _words("(?:[a-z0-9]+[_-])*(?:token|key|secret|password|passwd|credentials?|apikey|bearer)")),
 }
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -64,6 +65,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _SPACED = str.maketrans("", "", " -")
 
 
@@ -125,12 +127,16 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _SECRET.finditer(text))
+
+
 def _within(words: re.Pattern, text: str, low: int, high: int) -> bool:
     """Whether a context word lies in text[low:high]; what follows the window is seen, so that no word is cut."""
     return any(m.end() <= high for m in words.finditer(text, max(0, low), min(len(text), high + 1)))
 
 
-_FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "ssn": ssns}
+_FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "ssn": ssns, "secret": secrets}
 _DIGIT = re.compile("[0-9]")
 
 

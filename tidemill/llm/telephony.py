@@ -5,7 +5,8 @@ stored without loss. ADPCM (format tag 17) is decoded from blocks of equal size:
 block, over all blocks of the batch at once. Batches bound memory: blocks and samples are handled in
 slices of SLICE_BYTES payload, and one longer payload in pieces of whole blocks.
 
-Null payload counts as empty. A payload is padded with zero bytes to a positive multiple of the block.
+Null payload counts as empty. Null ids, repeated rows and clashing columns pass through or are ignored; an empty
+table gives no rows. A payload is padded with zero bytes to a positive multiple of the block.
 """
 
 from __future__ import annotations
@@ -163,18 +164,18 @@ def _loudness(pcm: np.ndarray) -> str:
     return f"{np.sqrt(np.dot(wide, wide) / len(wide)):.3f}/{int(np.abs(pcm.astype(np.int32)).max())}/{crossings}"
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Of each payload: loudness as mu-law and as A-law, its resampled PCM's CRC, and the CRC and loudness as ADPCM blocks."""
+def features(payloads: list[bytes], stored: list[bytes]) -> list[str]:
+    """Of each payload: loudness as mu-law and as A-law, CRC and loudness of its stored PCM and of its samples as ADPCM blocks. stored: the PCM files."""
     blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     step = PIECE // BLOCK
     adpcm = np.concatenate([decode_adpcm(blocks[k : k + step]) for k in range(0, len(blocks), step)])
     out, at = [], 0
-    for payload in payloads:
-        codes = np.frombuffer(payload, np.uint8)
-        mulaw, alaw, n = MULAW_TABLE[codes], ALAW_TABLE[codes], len(payload) // BLOCK
-        samples = adpcm[at : at + n].reshape(-1)
+    for payload, wav in zip(payloads, stored, strict=True):
+        codes, n = np.frombuffer(payload, np.uint8), len(payload) // BLOCK
+        tag, _, block, data = read_wav(wav)
+        samples, resampled = adpcm[at : at + n].reshape(-1), decode(tag, block, data)
         at += n
-        out.append(f"mulaw={_loudness(mulaw)};alaw={_loudness(alaw)};pcm16k={zlib.crc32(resample(mulaw)):08x};adpcm={zlib.crc32(samples):08x}/{_loudness(samples)}")
+        out.append(f"mulaw={_loudness(MULAW_TABLE[codes])};alaw={_loudness(ALAW_TABLE[codes])};pcm16k={zlib.crc32(resampled):08x}/{_loudness(resampled)};adpcm={zlib.crc32(samples):08x}/{_loudness(samples)}")
     return out
 
 
@@ -197,11 +198,11 @@ def media_column(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), payload:
 
 
 def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests of each text's stored form and of the payload read back from it; see telephony features."""
+    """Digests of each text's stored form, of the payload read back from it, and of the resampled PCM stored from that; see features, which reads the stored PCM."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +210,12 @@ def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             texts = [t.encode() for t in text_column(b).to_pylist()]
             media = [store(t) for t in texts]
             read = [read_wav(m)[3] for m in media]
+            pcm = [to_pcm_wav(m) for m in media]
             columns = [
                 b.column("doc_id").to_pylist(), [len(t) for t in texts], [len(r) for r in read], [hashlib.sha256(r).hexdigest() for r in read],
-                [zlib.crc32(r[-BLOCK:]) for r in read], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], features(read),
+                [zlib.crc32(r[-BLOCK:]) for r in read], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], features(read, pcm),
+                [len(p) for p in pcm], [hashlib.sha256(p).hexdigest() for p in pcm],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind, strict=True)], schema=kind)
 
-    return source.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return source.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")
