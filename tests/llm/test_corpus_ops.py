@@ -397,15 +397,65 @@ def test_toxicity_of_odd_rows(spark):
     assert [r["doc_id"] for r in toxicity.reject(spark.createDataFrame([(1, "you worthless idiot", None), (2, "hello", "x"), (3, None, "y")], "doc_id long, text string, labels string"), seeds_only).collect()] == [2, 3]
 
 
-def test_label_model_shares_a_voice():
-    rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.3
-    said = lambda right, wrong: np.where(rng.random(3000) < np.where(y, right, wrong), 1, 0)
-    first = said(0.7, 0.1)
-    votes = np.stack([first, first, first, said(0.8, 0.05), said(0.2, 0.2), np.where(y, 1, -1)], axis=1).astype(np.int8)
-    model = toxicity.fit_label_model(votes, np.where(y, 0.98, 0.02))
-    assert [0, 1, 2] in model.groups and ((model.posterior(votes) > 0.5) == y).mean() > 0.97
-    assert model.table[3, 1, 2] > 0.7 and model.table[3, 0, 2] < 0.1
+def slow_label_model(votes, groups_of, rounds=40):
+    """EM by loops over rows and voters; groups_of: the groups and correlations for each phase."""
+    n, m = votes.shape
+    p = [1 - 0.5 ** min(5, t) if (t := sum(v > 0 for v in row)) else 0.02 for row in votes.tolist()]
+    for phase in (0, 1):
+        weight = [1.0] * m
+        for g, r in zip(*groups_of[phase]):
+            for j in g:
+                weight[j] = 1 / (1 + (len(g) - 1) * r)
+        for _ in range(rounds // 2):
+            table = [[[(sum(w for w, row in zip(q, votes) if row[j] == v) + 0.5) / (sum(q) + 1.5) for v in (-1, 0, 1)] for q in ([1 - x for x in p], p)] for j in range(m)]
+            for t in table:
+                t[1][2], t[0][0] = max(t[1][2], t[0][2]), max(t[0][0], t[1][0])
+            prior = min(0.99, max(0.01, sum(p) / n))
+            new = [1 / (1 + math.exp(-max(-40, min(40, math.log(prior / (1 - prior)) + sum(weight[j] * math.log(table[j][1][v + 1] / table[j][0][v + 1]) for j, v in enumerate(row)))))) for row in votes.tolist()]
+            still = max(abs(a - b) for a, b in zip(new, p)) < 1e-4
+            p = new
+            if still:
+                break
+    return p
+
+
+def voted(n=400, seed=0):
+    """(labels, votes): three copies of one voter, one better, one that knows nothing, one that says clean."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    said = lambda right, wrong, what=1: np.where(rng.random(n) < np.where(y, right, wrong), what, 0)
+    first = said(0.7, 0.05)
+    return y, np.stack([first, first, first, said(0.8, 0.03), said(0.6, 0.02), said(0.2, 0.2), said(0.05, 0.6, -1)], axis=1).astype(np.int8)
+
+
+def test_label_model_matches_a_slow_estimation():
+    y, votes = voted()
+    model = toxicity.fit_label_model(votes)
+    alone = ([[k] for k in range(votes.shape[1])], [0.0] * votes.shape[1])
+    np.testing.assert_allclose(model.posterior(votes), slow_label_model(votes, (alone, (model.groups, model.shared))), atol=1e-3)
+
+
+def test_label_model_without_any_label():
+    """From votes alone: labels, accuracies and the copies are found."""
+    y, votes = voted(4000, 1)
+    model = toxicity.fit_label_model(votes)
+    assert [0, 1, 2] in model.groups and model.shared[model.groups.index([0, 1, 2])] > 0.99
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95
+    assert abs(model.table[3, 1, 2] - 0.8) < 0.1 and model.table[3, 0, 2] < 0.06 and abs(model.table[5, 1, 2] - model.table[5, 0, 2]) < 0.05
+
+
+def test_toxicity_fit_of_repeated_ids(spark):
+    """A repeated id counts once with the text of the smallest hash, whatever the partitioning; unlabelled rows are voted on, held-out ones never."""
+    texts = [f"text {k} of all" for k in range(60)]
+    rows = [(k, t, 1) for k, t in enumerate(texts)] + [(1, "another text under one", 0), (None, "no id", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(1, 0), (999, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: (r["text"], r["toxic"]) for r in toxicity.training_rows(docs.repartition(7), labels).collect()}
+    assert got == {r["doc_id"]: (r["text"], r["toxic"]) for r in toxicity.training_rows(docs, labels).collect()}
+    fits = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(got) == fits and {k for k, (_, y) in got.items() if y is not None} == {k for k in fits if k < 20}
+    assert all(y == k % 2 for k, (_, y) in got.items() if y is not None)
+    assert len(toxicity.training_rows(docs, labels, 5, 7).collect()) == 12
 
 
 def test_packing(spark, texts):

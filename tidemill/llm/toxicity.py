@@ -3,14 +3,18 @@
 Many voters look at a text: one for each stem mined from labelled rows (a word, or the first letters of
 words, much more frequent in toxic texts), one for each seed lexicon, and pattern voters (shouting,
 runs of exclamation marks, masked words, insults aimed at the reader, several different stems, no hit at
-all). A voter says toxic, clean or nothing. A generative label model fitted by expectation-maximisation
-estimates each voter's accuracy and the correlations of voters given the label; voters that copy each
-other have one voice together. The known label of a training row enters as one more, accurate voter. Its
-posterior labels train a linear (logistic) classifier on the voters' counts, which scores texts.
-
-Only the fit is bounded: at most `rows` labelled rows, those with the smallest hash of doc_id, come to
-the driver. Scoring reads every whole text, and only the text. Null or empty text gets the score of a
-text without any hit. Without labelled rows the seed lexicons decide alone.
+all). A voter says toxic, clean or nothing. A generative label model estimates, by expectation-maximisation
+over labelled and unlabelled texts from the votes alone, each voter's accuracy and the correlations of voters
+given the label; voters that copy each other have one voice together. Known labels only choose the stems: they
+neither start the estimation nor vote. Its posterior labels train a linear (logistic) classifier on the voters'
+counts, which scores texts.
+
+Only the fit is bounded: at most TRAIN_ROWS labelled and UNLABELLED_ROWS other rows, those with the smallest hash
+of doc_id outside the held-out fold. They are read, compared and counted on the executors; the driver receives
+their minimum hashes, the stems that pass, and the hits of the voters. Scoring reads every whole text, and only the
+text. A repeated doc_id counts once in the fit, with its text of the smallest hash; a null one is not fitted on. Null
+or empty text gets the score of a text without any hit. Without labelled rows of both classes the seed lexicons
+decide alone.
 """
 
 from __future__ import annotations
@@ -29,11 +33,12 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.components import Forest
 from tidemill.llm.kernels import mix, shingles, slices, text_column, word_hashes
+from tidemill.llm.session import cut
 
-#: Labelled rows used for the fit, the stems kept, and the shortest stem of several words.
-TRAIN_ROWS, STEMS, STEM_LETTERS = 6_000, 300, 4
-#: Stems must have this log-odds and occur in so many toxic texts, and in this share of them, at least.
-LOG_ODDS, LEAST_TEXTS, LEAST_SHARE = 2.5, 4, 0.002
+#: Labelled and other rows used for the fit, and the shortest stem of several words.
+TRAIN_ROWS, UNLABELLED_ROWS, STEM_LETTERS = 6_000, 3_000, 4
+#: Stems must have this log-odds and this log-likelihood ratio between toxic and clean texts (six chances in 100,000; chosen by cross-validation on training rows).
+LOG_ODDS, LEAST_RATIO = 2.5, 16.0
 
 SEEDS = {
     "insults": "idiot moron loser clown scum worthless pathetic stupid trash disgusting imbecile jerk dumb fool".split(),
@@ -80,42 +85,50 @@ def held_out(doc_id: str, of: int = 5) -> bool:
 BANDS, ROWS_IN_BAND = 8, 3
 
 
-def near_copy_groups(texts: list[str]) -> list[int]:
-    """A number for each text, mostly the same for near copies: texts that agree in a band of minimum hashes of three-word shingles."""
-    forest, seen = Forest(), {}
-    for at in range(0, len(texts), 500):
-        part = texts[at : at + 500]
-        flat, sizes = shingles(*word_hashes(pa.array(part, pa.string())), 3)
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
+def signatures(texts: pa.Array) -> list[bytes]:
+    """Minimum hashes of each text's three-word shingles; empty for a text without words."""
+    flat, sizes = shingles(*word_hashes(texts), 3)
+    out = [b""] * len(texts)
+    full = np.flatnonzero(sizes)
+    if len(full):
         begin = (np.cumsum(sizes) - sizes)[full]
         least = np.stack([np.minimum.reduceat(mix(flat, 50 + k), begin) for k in range(BANDS * ROWS_IN_BAND)], axis=1)
         for d, row in zip(full.tolist(), least, strict=True):
-            for k in range(BANDS):
-                forest.union(at + d, seen.setdefault((k, row[k * ROWS_IN_BAND : (k + 1) * ROWS_IN_BAND].tobytes()), at + d))
-    return [forest.root(k) for k in range(len(texts))]
-
-
-def mine_stems(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Stems in order of log-odds; a stem is dropped where a kept one is its beginning or is its word. Near copies count once."""
-    groups: dict[tuple[int, int], set[str]] = {}
-    for text, label, group in zip(texts, labels.tolist(), near_copy_groups(texts), strict=True):
-        groups.setdefault((label, group), set()).update(_WORD.findall(text.lower()))
-    toxic, clean = Counter(), Counter()
-    for (label, _), words in groups.items():
-        (toxic if label else clean).update({s for w in words for s in _stems_of(w)})
-    n_toxic = sum(label for label, _ in groups)
-    n_clean = len(groups) - n_toxic
-    least = max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    odds = {s: np.log((c + 0.5) / (n_toxic + 1)) - np.log((clean[s] + 0.5) / (n_clean + 1)) for s, c in toxic.items() if c >= least}
+            out[d] = row.tobytes()
+    return out
+
+
+def near_copy_groups(marks: list[bytes]) -> list[int]:
+    """A number for each signature, mostly the same for near copies: those that agree in a band."""
+    forest, seen, width = Forest(), {}, 8 * ROWS_IN_BAND
+    for d, mark in enumerate(marks):
+        for k in range(len(mark) // width):
+            forest.union(d, seen.setdefault((k, mark[k * width : (k + 1) * width]), d))
+    return [forest.root(d) for d in range(len(marks))]
+
+
+def text_stems(text: str) -> set[str]:
+    return {s for w in set(_WORD.findall(text.lower())) for s in _stems_of(w)}
+
+
+def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    return float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
+
+
+def likelihood_ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Twice the log ratio of the stem's share of toxic texts against that of all texts."""
+    expected = (toxic + clean) * n_toxic / (n_toxic + n_clean)
+    return 2 * sum(n * float(np.log(n / e)) for n, e in ((toxic, expected), (clean, toxic + clean - expected)) if n)
+
+
+def chosen_stems(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
+    """Of (stem, toxic texts, clean texts) those that LOG_ODDS and LEAST_RATIO let pass, in order of log-odds; a stem is dropped where a kept one is its beginning or is its word."""
+    odds = {s: v for s, *n in counts if (v := log_odds(*n, n_toxic, n_clean)) >= LOG_ODDS and likelihood_ratio(*n, n_toxic, n_clean) >= LEAST_RATIO}
     kept: dict[str, None] = {}
-    for s in sorted((s for s, v in odds.items() if v >= LOG_ODDS), key=lambda s: (-odds[s], len(s), s)):
+    for s in sorted(odds, key=lambda s: (-odds[s], len(s), s)):
         word = s.lstrip("=")
         if not any(word[:k] in kept for k in range(STEM_LETTERS, min(len(word), STEM_LETTERS + 2) + 1)):
             kept[s] = None
-        if len(kept) == STEMS:
-            break
     return list(kept)
 
 
@@ -188,52 +201,63 @@ def votes_of(counts: np.ndarray) -> np.ndarray:
     return votes
 
 
-#: How far a known label is trusted as a vote.
-LABEL_ACCURACY = 0.98
-
-
 @dataclass
 class LabelModel:
-    """P(vote | label) of each voter, the prior, and the groups of correlated voters. The last voter is the known label."""
+    """P(vote | label) of each voter, the prior, and the groups of correlated voters with their mean correlation."""
 
     table: np.ndarray
     prior: float
     groups: list[list[int]]
+    shared: list[float]
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic | votes). A group has one voice: the mean of its voters that say something, else of their silence."""
+        """P(toxic | votes). n voters of a group with mean correlation r count as n / (1 + (n - 1) * r) independent ones, so copies have one voice."""
         ratio = np.log(self.table[:, 1, :]) - np.log(self.table[:, 0, :])
-        said = np.take_along_axis(ratio[None], (votes + 1)[:, :, None].astype(np.int64), axis=2)[:, :, 0]
+        weight = np.ones(len(ratio))
+        for g, r in zip(self.groups, self.shared, strict=True):
+            weight[g] = 1 / (1 + (len(g) - 1) * r)
         logit = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
-        for g in self.groups:
-            speaks = votes[:, g] != 0
-            weight = np.where(speaks.any(axis=1, keepdims=True), speaks, True)
-            logit += (said[:, g] * weight).sum(axis=1) / weight.sum(axis=1)
+        for j, w in enumerate(weight.tolist()):
+            logit += w * ratio[j][votes[:, j] + 1]
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20, strong: float = 0.5) -> LabelModel:
-    """EM from starting posteriors. Voters whose votes correlate by `strong` or more given the label form a group; the known label's accuracy is fixed."""
-    p, m = start.astype(float), votes.shape[1]
-    model, groups = None, []
-    for k in range(rounds):
-        table = np.empty((m, 2, 3))
-        for y, w in ((0, 1 - p), (1, p)):
-            for v in (-1, 0, 1):
-                table[:, y, v + 1] = (w @ (votes == v) + 0.5) / (w.sum() + 1.5)
-        table[-1] = [[LABEL_ACCURACY, 0.5, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, 0.5, LABEL_ACCURACY]]
-        if k in (0, rounds // 2):
-            groups = [*_groups(votes[:, :-1], p, strong), [m - 1]]
-        model = LabelModel(table, float(np.clip(p.mean(), 0.01, 0.99)), groups)
-        new = model.posterior(votes)
-        if np.abs(new - p).max() < 1e-4:
-            break
-        p = new
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Where the estimation starts: each toxic vote halves the distance to certainty; without any, 0.02."""
+    toxic = (votes > 0).sum(axis=1)
+    return np.where(toxic > 0, 1 - 0.5 ** np.minimum(toxic, 5.0), 0.02)
+
+
+def fit_label_model(votes: np.ndarray, rounds: int = 40, strong: float = 0.7) -> LabelModel:
+    """EM on the votes alone. A voter is never worse than chance: what it says toxic of is at least as likely toxic.
+
+    First each voter stands alone; then those whose votes correlate by `strong` or more given the label, as far as
+    it is known by now, form groups, and the estimation goes on.
+    """
+    p, m = majority(votes), votes.shape[1]
+    is_ = {v: (votes == v).astype(np.float32) for v in (-1, 0, 1)}
+    model, groups, shared = None, [[k] for k in range(m)], [0.0] * m
+    for phase in (0, 1):
+        if phase:
+            groups, shared = _groups(votes, p, strong)
+        for _ in range(rounds // 2):
+            table = np.empty((m, 2, 3))
+            for y, w in ((0, 1 - p), (1, p)):
+                for v in (-1, 0, 1):
+                    table[:, y, v + 1] = (w @ is_[v] + 0.5) / (w.sum() + 1.5)
+            table[:, 1, 2] = np.maximum(table[:, 1, 2], table[:, 0, 2])
+            table[:, 0, 0] = np.maximum(table[:, 0, 0], table[:, 1, 0])
+            model = LabelModel(table, float(np.clip(p.mean(), 0.01, 0.99)), groups, shared)
+            new = model.posterior(votes)
+            still = np.abs(new - p).max() < 1e-4
+            p = new
+            if still:
+                break
     return model
 
 
-def _groups(votes: np.ndarray, p: np.ndarray, strong: float) -> list[list[int]]:
-    """Connected groups of voters by correlation within the labels, weighted by the posterior."""
+def _groups(votes: np.ndarray, p: np.ndarray, strong: float) -> tuple[list[list[int]], list[float]]:
+    """(connected groups of voters by correlation within the labels, weighted by the posterior; mean correlation of each group)."""
     x = votes.astype(float)
     cov = np.zeros((x.shape[1],) * 2)
     for w in (p, 1 - p):
@@ -241,18 +265,20 @@ def _groups(votes: np.ndarray, p: np.ndarray, strong: float) -> list[list[int]]:
         d = x - (w @ x) / total
         cov += (d * w[:, None]).T @ d
     size = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    near = np.abs(cov / np.outer(size, size)) >= strong
-    left, groups = set(range(len(near))), []
+    near = np.abs(cov / np.outer(size, size))
+    left, groups, shared = set(range(len(near))), [], []
     while left:
         todo, group = [left.pop()], []
         while todo:
             i = todo.pop()
             group.append(i)
-            more = [j for j in np.flatnonzero(near[i]).tolist() if j in left]
+            more = [j for j in np.flatnonzero(near[i] >= strong).tolist() if j in left]
             left -= set(more)
             todo += more
         groups.append(sorted(group))
-    return groups
+        own, n = near[np.ix_(group, group)], len(group)
+        shared.append(float((own.sum() - np.trace(own)) / (n * (n - 1))) if n > 1 else 0.0)
+    return groups, shared
 
 
 def _design(counts: np.ndarray, merged: list[list[int]]) -> np.ndarray:
@@ -286,26 +312,20 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.3, steps: i
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """The model of labelled texts; see the module's text. Without both classes the seeds decide."""
-    known = dict(zip(texts, labels.tolist(), strict=True))
-    texts, labels = list(known), np.array(list(known.values()), np.int8)
-    both = 0 < labels.sum() < len(labels)
-    stems = {s: k for k, s in enumerate(mine_stems(texts, labels))} if both else {}
-    names = voters_of(list(stems))
-    if not both:
-        weights = np.zeros(len(names))
-        weights[len(stems) : len(stems) + len(SEEDS)] = 4.0
-        return Model(stems, weights.tolist(), -3.0, {}, [])
-    lookup = Lookup(stems)
-    counts = np.stack([hit_counts(t, lookup) for t in texts])
-    votes = np.hstack([votes_of(counts), np.where(labels[:, None] == 1, 1, -1).astype(np.int8)])
-    model = fit_label_model(votes, np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
-    soft = model.posterior(votes)
+def seeds_only(names: list[str]) -> Model:
+    """The model without labelled rows: any seed word makes a text toxic."""
+    return Model({}, [4.0 if n.startswith("seed:") else 0.0 for n in names], -3.0, {}, [])
+
+
+def fit(stems: list[str], counts: np.ndarray) -> Model:
+    """The model of the voters' hits on the training texts, one row a text."""
+    names = voters_of(stems)
+    votes = votes_of(counts)
+    model = fit_label_model(votes)
     merged = [own for g in model.groups if len(own := [k for k in g if k < len(names) - len(PATTERNS)]) > 1]
-    weights, bias = fit_linear(_design(counts, merged), soft)
+    weights, bias = fit_linear(_design(counts, merged), model.posterior(votes))
     right = {name: float(model.table[k, 1, 2] / (model.table[k, 1, 2] + model.table[k, 0, 2])) for k, name in enumerate(names)}
-    return Model(stems, weights.tolist(), bias, right, merged)
+    return Model({s: k for k, s in enumerate(stems)}, weights.tolist(), bias, right, merged)
 
 
 def scores(texts: list[str], model: Model, lookup: Lookup | None = None) -> np.ndarray:
@@ -316,22 +336,81 @@ def scores(texts: list[str], model: Model, lookup: Lookup | None = None) -> np.n
     return 1 / (1 + np.exp(-np.clip(_design(counts, model.correlated) @ np.array(model.weights) + model.bias, -30, 30)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents whose crc32(doc_id as text) mod 5 is not 0; those of the smallest id hash, so a fixed choice."""
-    name = F.col("doc_id").cast("string")
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(name) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen.hint("broadcast"), "doc_id").dropDuplicates(["doc_id"])
-    return sorted((r["text"] or "", int(r["toxic"])) for r in found.select("text", "toxic").toLocalIterator())
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, others: int = UNLABELLED_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, toxic): at most `rows` labelled documents and `others` without a label (toxic null), of those whose crc32(doc_id as text) mod 5 is not 0 the ones of the smallest id hash, so a fixed choice."""
+    fits = (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("doc_id").isNotNull()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(fits)
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    known = labels.where(F.col("toxic").isin(0, 1)).where(fits).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # Of documents only: labels of rows that are not there would take the others' place.
+    ids = texts.select("doc_id").join(known, "doc_id", "left").distinct()
+    chosen = first(ids.where("toxic is not null"), rows).unionAll(first(ids.where("toxic is null"), others))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best")).select("doc_id", "best.text", "toxic")
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(signatures(text_column(b)), pa.binary())], names=["doc_id", "toxic", "mark"])
+
+
+def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, toxic texts, clean texts), counted within the slice."""
+    for b in slices(batches):
+        toxic, clean = Counter(), Counter()
+        for text, label in zip(text_column(b).to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            (toxic if label else clean).update(text_stems(text))
+        stems = list(toxic.keys() | clean.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([c[s] for s in stems], pa.int64()) for c in (toxic, clean))], names=["stem", "toxic", "clean"])
+
+
+def mined_stems(sample: DataFrame) -> list[str]:
+    """Stems of the labelled rows of sample; of near copies with one label the text of the smallest id counts. None without both classes."""
+    known = sample.where("toxic is not null")
+    marks = sorted(known.mapInArrow(_marked, "doc_id long, toxic int, mark binary").collect(), key=lambda r: r["doc_id"])
+    groups = near_copy_groups([bytes(r["mark"]) for r in marks])
+    first: dict[tuple[int, int], int] = {}
+    for r, g in zip(marks, groups, strict=True):
+        first.setdefault((r["toxic"], g), r["doc_id"])
+    n_toxic = sum(label for label, _ in first)
+    n_clean = len(first) - n_toxic
+    if not n_toxic or not n_clean:
+        return []
+    chosen = sample.sparkSession.createDataFrame([(d,) for d in first.values()], "doc_id long")
+    counts = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_stem_rows, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    enough = counts.where(F.ln((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) >= LOG_ODDS + float(np.log((n_toxic + 1) / (n_clean + 1))) - 1e-9)
+    return chosen_stems([(r["stem"], r["toxic"], r["clean"]) for r in enough.collect()], n_toxic, n_clean)
+
+
+def _hits(stems: list[str]):
+    """Hits of each voter on each text, sparse."""
 
-
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    found = training_rows(docs, labels, rows)
-    return fit([t for t, _ in found], np.array([y for _, y in found], np.int8))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup({s: k for k, s in enumerate(stems)})
+        for b in slices(batches):
+            rows = [hit_counts(t, lookup) for t in text_column(b).to_pylist()]
+            at = [np.flatnonzero(r) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([k.tolist() for k in at], pa.list_(pa.int32())), pa.array([r[k].tolist() for r, k in zip(rows, at, strict=True)], pa.list_(pa.float64()))], names=["doc_id", "at", "n"]
+            )
+
+    return run
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, others: int = UNLABELLED_ROWS) -> Model:
+    sample = cut(training_rows(docs, labels, rows, others))
+    stems = mined_stems(sample)
+    names = voters_of(stems)
+    if not stems:
+        return seeds_only(names)
+    found = sorted(sample.mapInArrow(_hits(stems), "doc_id long, at array<int>, n array<double>").collect(), key=lambda r: r["doc_id"])
+    counts = np.zeros((len(found), len(names)))
+    for k, r in enumerate(found):
+        counts[k, r["at"]] = r["n"]
+    return fit(stems, counts)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns in keep and `score` double. The model travels in the task; its size is bounded by STEMS."""
+    """The columns in keep and `score` double. The model travels in the task; its size is bounded by the sample that it is fitted on."""
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
