@@ -91,6 +91,22 @@ def test_jaccard_with_crowded_shingles(spark):
         assert found_components(jaccard_join.similar_documents(docs, limits=limits)) == want
 
 
+def test_jaccard_tells_structured_words_apart(spark):
+    word = "a"
+    rows = []
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 1024:
+            rows += [(len(rows), word), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")))]
+    assert found_components(jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == [(k, 1, k) for k in range(len(rows))]
+
+
+def test_jaccard_holds_few_pairs_at_once(spark):
+    rows = near_copies(5, 3, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_components(jaccard_join.similar_documents(docs, limits=jaccard_join.Limits(pairs_held=50))) == slow_components(rows)
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert found_components(jaccard_join.similar_documents(docs)) == slow_components([(r[0], r[1]) for r in docs.collect()])

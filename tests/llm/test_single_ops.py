@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same, duck
 
-from tidemill.llm import fingerprints, line_dedup, pii, registry, telephony
+from tidemill.llm import fingerprints, kernels, line_dedup, pieces, pii, registry, telephony
 from tidemill.llm.pieces import Normaliser, Pieces
 
 SF = "/root/testdata/sf0.001"
@@ -220,6 +221,65 @@ def test_encoding_matches_the_library(spark, texts):
         assert r["decoded_sha256"] == hashlib.sha256(sp.decode(want).encode()).hexdigest()
 
 
+def thue_morse(n):
+    """Two different words of n letters on which polynomial hashes modulo a power of two agree."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_one_structure_have_different_hashes():
+    for n in (8, 64, 128, 1024, 4096):
+        words = [*thue_morse(n), thue_morse(n)[0].upper()]
+        hashes, counts = kernels.word_hashes(pa.array(words))
+        assert counts.tolist() == [1, 1, 1] and hashes[0] == hashes[2] != hashes[1]
+    many = [f"{'x' * (k % 80)}{k}" for k in range(50_000)]
+    assert len(set(kernels.word_hashes(pa.array([" ".join(many)]))[0].tolist())) == len(many)
+
+
+def test_words_are_counted_in_chunks(monkeypatch):
+    rng = random.Random(3)
+    for chunk in (1 << 20, 5, 2):
+        monkeypatch.setattr(kernels, "CHUNK", chunk)
+        for _ in range(40):
+            some = ["".join(rng.choice(" aé\n\tB") for _ in range(rng.randrange(25))) for _ in range(rng.randrange(5))]
+            assert kernels.word_counts(pa.array(some, pa.string())).tolist() == [len(t.encode().split()) for t in some]
+
+
+def test_encoding_of_units_with_one_hash(monkeypatch):
+    """Units are told apart by their bytes, also where the hash gives them one number."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_model())
+    some = [*thue_morse(1024), " ".join(thue_morse(4096)), "one two three two one", "twoo two  two"]
+    own = Pieces(registry.tokenizer_model())
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(pieces, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % 2)
+        ids, counts, _, _ = own.encode(some)
+        assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == sp.encode(some[0])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sp.encode(some)
+        own._forget()
+
+
+def test_encoding_of_odd_rows(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_model())
+    docs = docs_of(spark, ODD).withColumnRenamed("spans", "ids")
+    want = Counter()
+    for r in docs.collect():
+        ids = sp.encode(r["text"] or "")
+        want[r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()] += 1
+    rows = pieces.digests(docs, registry.tokenizer_model()).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
+    for r in pieces.encode_column(docs, registry.tokenizer_model(), keep=("doc_id", "text")).collect():
+        source = (r["text"] or "").encode()
+        assert r["ids"] == sp.encode(r["text"] or "") and b"".join(source[a:b] for a, b in zip(r["starts"], r["ends"])) == source
+    assert pieces.digests(docs.limit(0), registry.tokenizer_model()).collect() == [] == pieces.encode_column(docs.limit(0), registry.tokenizer_model()).collect()
+
+
 def character_map(pairs):
     """A compiled map with these replacements: a trie laid out with one slot block of 256 units for each node."""
     nodes, children = [b""], {}
@@ -258,6 +318,85 @@ def test_character_map_takes_the_longest_key_and_aligns():
     assert Normaliser(b"", True, True, True)("   ")[0] == ""
 
 
+def with_character_map(path, charsmap, flags):
+    """The model at path with another normalisation: a compiled map, dummy prefix, removal of extra blanks, escaping."""
+    varint = lambda n: bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+    with open(path, "rb") as f:
+        blob = f.read()
+    rest = b"".join(blob[s:e] for field, _, _, s, e in pieces._message(blob) if field != 3)
+    spec = b"\x12" + varint(len(charsmap)) + charsmap + b"".join(bytes([8 * (3 + k), int(on)]) for k, on in enumerate(flags))
+    return rest + b"\x1a" + varint(len(spec)) + spec
+
+
+def test_mapped_encoding_matches_the_library(tmp_path):
+    """The same model with a character map, as the library itself encodes with it."""
+    import sentencepiece
+
+    charsmap = character_map([(b"A", b"a"), ("é".encode(), b"e"), (b"fi", b"FI"), (b"fix", b"xyz"), (b"--", b" "), ("\u00a0".encode(), b" "), ("ﬃ".encode(), b"ffi")])
+    rng = random.Random(4)
+    texts = ["Afix é--fib  q ", "", "   ", "--", "fi", "ﬃ\u00a0--Aé", *("".join(rng.choice(["A", "é", "fi", "fix", "--", " ", "\u00a0", "ﬃ", "日", "b", "\n", "▁"]) for _ in range(rng.randrange(30))) for _ in range(300))]
+    for k, flags in enumerate(((1, 0, 1), (1, 1, 1), (0, 1, 1))):
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(with_character_map(registry.tokenizer_model(), charsmap, flags))
+        sp, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), Pieces(str(path))
+        assert not own.normalise.plain
+        ids, counts, starts, ends = own.encode(texts)
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        for t, s, e in zip(texts, edges, edges[1:]):
+            assert ids[s:e].tolist() == sp.encode(t), (flags, t)
+            assert own.decode(ids[s:e].tolist()) == sp.decode(sp.encode(t))
+            assert (np.diff(starts[s:e]) >= 0).all() and (starts[s:e] <= ends[s:e]).all() and (e == s or ends[e - 1] <= len(t.encode()))
+            # The library gives a character's bytes to the last of its byte pieces.
+            known = [(p.begin, p.end) if not sp.is_byte(p.id) else None for p in sp.encode(t, return_type="proto").pieces]
+            assert [w for w in known if w] == [(a, b) for a, b, w in zip(starts[s:e].tolist(), ends[s:e].tolist(), known) if w]
+
+
+def slow_likeness(a, b):
+    """1 - |a - b|**2 / (|a|**2 + |b|**2) of the true shingle counts."""
+    counts = []
+    for t in (a, b):
+        c = Counter()
+        for line in t.split("\n"):
+            w = line.lower().split()
+            c.update(tuple(w[k : k + fingerprints.SPAN]) for k in range(max(1, len(w) - fingerprints.SPAN + 1)) if w)
+        counts.append(c)
+    far = sum((counts[0][s] - counts[1][s]) ** 2 for s in counts[0] | counts[1])
+    return 1 - far / max(1, sum(v * v for c in counts for v in c.values()))
+
+
+def test_likeness_estimates_the_true_one():
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    base = " ".join(rng.choices(words, k=400))
+    texts = [base, base[: len(base) // 2] + " " + " ".join(rng.choices(words, k=200)), " ".join(rng.choices(words, k=400)), "a " * 1_000_000, "a " * 1_065_538, "a b " * 500_000, "", "a " * 500_000 + "b " * 500_000]
+    e, s, n = fingerprints.fingerprint_vectors(texts)
+    shown = [fingerprints._shown(*x) for x in zip(e, s, n.tolist())]
+    assert n.tolist()[3:6] == [999_998, 1_065_536, 999_998]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert abs(fingerprints.likeness(shown[i], shown[j]) - max(0.0, slow_likeness(a, b) if i != j else 1.0)) < 0.25
+    assert fingerprints.likeness(shown[3], shown[4]) > 0.99 and fingerprints.likeness(shown[3], shown[6]) == 0.0
+    ab = [" ".join(thue_morse(1024)[k : k + 1]) for k in (0, 1)]
+    e, s, n = fingerprints.fingerprint_vectors(ab)
+    assert (e[0] != e[1]).all() and fingerprints._shown(e[0], s[0], 1) != fingerprints._shown(e[1], s[1], 1)
+
+
+def test_order_spreads_a_hot_id(spark):
+    """A third of the rows without an id, and one row repeated: several ranges hold them, each row has its next one."""
+    rows = [(k, f"text {k}") for k in range(400)] + [(None, f"lost {k % 90}") for k in range(300)] + [(17, "again")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ranges = fingerprints.in_order(docs).where("own").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 300
+    order = sorted(rows, key=lambda r: (2**63 if r[0] is None else r[0]))
+    got = fingerprints.fingerprint_pairs(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in order)
+    shas = lambda t, f: hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest()
+    plain = {r["doc_id"]: r["edited_sha256"] for r in got if r["doc_id"] not in (None, 16, 17)}
+    for k in (*range(16), *range(18, 399)):
+        assert plain[k] == shas(f"text {k}", f"text {k + 1}")
+    assert sum(r["doc_id"] == 17 and r["near_next"] == 1.0 for r in got) >= 199
+
+
 def test_fingerprints_are_homomorphic():
     (e, s, n) = fingerprints.fingerprint_vectors(["one two three\nfour five six", "four five six\n\none two three", "one two three", "four five six", ""])
     shown = [fingerprints._shown(*x) for x in zip(e, s, n.tolist())]

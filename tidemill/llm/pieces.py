@@ -132,8 +132,6 @@ class Normaliser:
         if self.remove_extra:
             while steps and steps[0][1] == b" ":
                 steps.pop(0)
-            while steps and steps[-1][1] == b" ":
-                at = steps.pop()[0]
         if not steps:
             return "", np.array([at])
         out, align, after_space = bytearray(), [], False
@@ -149,6 +147,10 @@ class Normaliser:
                 out += shown
                 align += [start] * len(shown)
                 after_space = piece.endswith(b" ")
+        # Marks at the end go, those of the source as well as those that blanks became.
+        while self.remove_extra and out.endswith(space):
+            at = align[len(out) - len(space)]
+            del out[len(out) - len(space) :], align[len(align) - len(space) :]
         return out.decode(), np.array([*align, at])
 
 
@@ -272,7 +274,7 @@ class Pieces:
 
     def _unknown_widths(self, normalised: str) -> np.ndarray:
         """Widths of models without byte fallback, where an unknown piece has no fixed width."""
-        return np.array([len(p.surface.encode()) for p in self.segmenter.encode(normalised, out_type="immutable_proto").pieces], np.int64)
+        return np.array([len(p.surface.encode()) for p in self.segmenter.encode(normalised, return_type="proto").pieces], np.int64)
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, word marks as blanks, without the added one; runs of bytes that are not UTF-8 as the library shows them."""
