@@ -13,7 +13,7 @@ N counts the training tokens, V the different ones, c(v) the tokens that follow
 text's start counts as often as there are texts). b and t are the filter's counts, scaled so that no mass is
 lost or gained by quantising: within a fragment of the hash space, t sums to the exact count of the fragment's
 tokens, and b to the exact count of the tokens that follow v and fall into it. So P sums to 1 over the known
-words and one unknown word, for every v. K, the weight of the lower order, is set so that over all training
+words and one unknown word, for every v (contexts that agree in their upper 24 bits are scaled together). K, the weight of the lower order, is set so that over all training
 tokens it takes the Good-Turing mass of unseen bigrams, the share of bigrams seen once.
 
 The filter grows with the corpus, so it is not broadcast: each of its slices is made and probed in the task of
@@ -56,9 +56,9 @@ BASE, HASHES = 1.5, 24
 BITS = HASHES / np.log(2)
 LEVELS = 100
 #: Bytes of text in a window, and texts in it at most.
-WINDOW_BYTES, WINDOW_DOCS = 3 << 20, 50_000
+WINDOW_BYTES, WINDOW_DOCS = 6 << 20, 50_000
 #: Text for each token fragment, bigram fragment, and task of the last step; tasks of the fragments at most.
-TOKEN_FRAGMENT, BIGRAM_FRAGMENT, HOME_BYTES, TASKS = 48 << 20, 12 << 20, 24 << 20, 20_000
+TOKEN_FRAGMENT, BIGRAM_FRAGMENT, HOME_BYTES, TASKS = 48 << 20, 12 << 20, 16 << 20, 20_000
 
 
 def representative_counts() -> np.ndarray:
@@ -226,17 +226,29 @@ def _with_contexts(w: Window, words: np.ndarray) -> np.ndarray:
     return np.concatenate([words, np.array([END] if w.before == int(START) else [END, U(w.before)], U)])
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Keys of eight bytes, their counts in one byte each, and those from 255 on in full."""
-    return struct.pack("<I", len(keys)) + keys.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+#: Bytes of a token's and of a bigram's key within its fragment; half of the bigram's bits are its context's.
+TOKEN_KEY, BIGRAM_KEY = 6, 6
+
+
+def _bigram_keys(h: np.ndarray, context: np.ndarray) -> np.ndarray:
+    half = U(4 * BIGRAM_KEY)
+    return (context >> (U(64) - half) << half) | (h & ((U(1) << half) - U(1)))
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """The keys' low bytes, their counts in one byte each, and those from 255 on in full."""
+    low = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return struct.pack("<II", len(keys), width) + low.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def _unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", blob)
-    counts = np.frombuffer(blob, np.uint8, n, 4 + 8 * n).astype(np.int64)
+    n, width = struct.unpack_from("<II", blob)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :width] = np.frombuffer(blob, np.uint8, n * width, 8).reshape(-1, width)
+    counts = np.frombuffer(blob, np.uint8, n, 8 + n * width).astype(np.int64)
     large = counts == 255
-    counts[large] = np.frombuffer(blob, "<i8", int(large.sum()), 4 + 9 * n)
-    return np.frombuffer(blob, "<u8", n, 4), counts
+    counts[large] = np.frombuffer(blob, "<i8", int(large.sum()), 8 + n * (width + 1))
+    return keys.view("<u8").ravel(), counts
 
 
 def _squeezed(a: np.ndarray) -> bytes:
@@ -255,16 +267,15 @@ def asked(w: Window, fragments: tuple[int, int], folds: int, held: int) -> pa.Re
     words, before, sizes = tokens(w)
     train = np.repeat([not is_held_out(d, folds, held) for d in w.rows.column("doc").to_pylist()], sizes).astype(np.int64)
     parts, blobs = [], []
-    # A bigram's key in its fragment: the context's upper half, and the lower half of the bigram's hash.
     h, both, context = _distinct(bigram_hashes(words, before), train, before)
-    keys = (context & U(0xFFFFFFFF << 32)) | (h & U(0xFFFFFFFF))
+    keys = _bigram_keys(h, context)
     all_words = _with_contexts(w, words)
     uniq, single, _ = _distinct(all_words, np.pad(train, (0, len(all_words) - len(train))))
-    for first, n, place, shown, counts in ((0, fragments[0], fragment_of(uniq, fragments[0]), uniq, single), (fragments[0], fragments[1], fragment_of(h, fragments[1]), keys, both)):
+    for first, place, shown, counts, width in ((0, fragment_of(uniq, fragments[0]), uniq, single, TOKEN_KEY), (fragments[0], fragment_of(h, fragments[1]), keys, both, BIGRAM_KEY)):
         there, begin = np.unique(place, return_index=True)
         for f, s, e in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(place)], strict=True):
             parts.append(first + f)
-            blobs.append(_packed(shown[s:e], counts[s:e]))
+            blobs.append(_packed(shown[s:e], counts[s:e], width))
     same = [pa.array([x] * len(parts), pa.int64()) for x in (w.home, w.number, w.mark())]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *same, pa.array(blobs, pa.binary())], names=["part", "home", "number", "mark", "entries"])
 
@@ -307,7 +318,7 @@ def answers(part: int, questions: list[tuple[int, int, int, pa.Buffer]], token_f
     seen = counts > 0
     level = Slice(keys[seen], counts[seen]).levels(keys)
     single = part < token_fragments
-    scaled = _scaled(counts, COUNTS[level], np.zeros(len(keys), np.int64) if single else keys >> U(32)).astype("<f4")
+    scaled = _scaled(counts, COUNTS[level], np.zeros(len(keys), np.int64) if single else keys >> U(4 * BIGRAM_KEY)).astype("<f4")
     sums = (int(seen.sum()), int(counts.sum()), int((counts == 1).sum()))
     stats = [(1 if single else 2, 0, 0, part, 0, *sums, None, None)]
     if single:
