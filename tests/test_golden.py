@@ -43,8 +43,60 @@ def test_inverted_index(spark):
 
 def test_line_offsets(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é b\n\nc\r\nd".encode())
-    rows = sources.read_lines_with_offset(spark, str(tmp_path)).orderBy("offset").collect()
-    assert [tuple(r) for r in rows] == [(0, "é b"), (5, ""), (6, "c"), (9, "d")]
+    (tmp_path / "b.txt").write_bytes(b"x\ry\r\n\r\rz\n")
+    rows = sources.read_lines_with_offset(spark, str(tmp_path)).orderBy("file", "offset").collect()
+    assert [tuple(r) for r in rows] == [("a.txt", 0, "é b"), ("a.txt", 5, ""), ("a.txt", 6, "c"), ("a.txt", 9, "d"), *(("b.txt", o, v) for o, v in ((0, "x"), (2, "y"), (5, ""), (6, ""), (7, "z")))]
+
+
+def test_line_offsets_of_split_files(spark, tmp_path):
+    """Blocks much smaller than the files."""
+    import random
+
+    rng = random.Random(1)
+    want = []
+    for name in ("one.txt", "two.txt"):
+        lines = ["é" * rng.randrange(9) + "x" * rng.randrange(200) for _ in range(500)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        offset = 0
+        for line in lines:
+            want.append((name, offset, line))
+            offset += len(line.encode()) + 1
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert sorted(tuple(r) for r in sources.read_lines_with_offset(spark, str(tmp_path)).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_postings_of_files_and_of_repeated_ids(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("to be or not\nto be\n")
+    (tmp_path / "g.txt").write_text("é b\nc")
+    lines = sources.read_lines_with_offset(spark, str(tmp_path)).selectExpr("file as doc", "offset as start", "value")
+    assert {r["word"]: r["postings"] for r in text.listed(text.postings_of_lines(lines)).collect()} == {"be": "f.txt: 3 f.txt: 16", "not": "f.txt: 9", "or": "f.txt: 6", "to": "f.txt: 0 f.txt: 13", "é": "g.txt: 0", "b": "g.txt: 2", "c": "g.txt: 5"}
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (2, None)], "doc_id long, text string")
+    assert sorted(((r["doc"] or 0, r["word"], r["pos"]) for r in text.postings(twice).collect())) == [(0, "a", 0), (1, "a", 0), (1, "a", 0), (1, "b", 2), (1, "b", 2)]
+
+
+def test_postings_of_long_lines(spark):
+    words = [f"w{k}😀" if k % 7 == 0 else f"w{k}" for k in range(3000)]
+    long = "\n".join(["x"] * 1500) + "\n" + " ".join(words)
+    found = {r["word"]: r["pos"] for r in text.postings(spark.createDataFrame([(1, long)], "doc_id long, text string")).where("word <> 'x'").collect()}
+    at = 3000
+    for w in words:
+        assert found[w] == at
+        at += len(w.encode("utf-16-le")) // 2 + 1
+
+
+def test_ordered_output_and_named_files(spark, tmp_path):
+    df = spark.createDataFrame([(w, k) for k, w in enumerate("B a b ä A".split())], "k string, v int").repartition(3)
+    sinks.write_key_value(df, f"{tmp_path}/out", "k", "v", ordered=True)
+    files = sorted(tmp_path.glob("out/part-*"))
+    assert [x.split("\t")[0] for f in files for x in f.read_text().splitlines()] == ["A", "B", "a", "b", "ä"]
+    lines = spark.createDataFrame([("x y.txt", 2, "two"), ("x y.txt", 1, "one"), ("z.txt", 1, "only")], "file string, order int, value string")
+    for _ in range(2):
+        sinks.write_named_files(lines, f"{tmp_path}/named")
+    assert {f.name: f.read_text() for f in (tmp_path / "named").glob("[!.]*")} == {"x y.txt": "one\ntwo\n", "z.txt": "only\n"}
 
 
 EMPLOYEES = "1|D1|300|kim\n2|D2|500|lee\n3|D1|500|park\n4|D3|100|choi\n5|D2|400|jung\nbad|row\n6||900|han\n7|D4|450|yoon|extra\n"
@@ -82,6 +134,17 @@ def test_joins_keep_fact_rows_when_the_dimension_repeats(spark):
         joins.left_join(fact, dim, "k", "other")
 
 
+def test_join_takes_the_last_row_of_a_key(spark):
+    fact = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "id int, k string")
+    dim = spark.createDataFrame([("a", "first", 1), ("a", "last", 3), ("a", "middle", 2), ("b", None, 1), (None, "none", 9)], "k string, name string, line int").repartition(4)
+    for strategy in ("broadcast", "merge", "hash"):
+        joined = joins.left_join(fact, dim, "k", strategy, order="line")
+        assert joined.columns == ["k", "id", "name"] and {tuple(r) for r in joined.select("id", "name").collect()} == {(1, "last"), (2, None), (3, None), (4, None)}
+    assert {tuple(r) for r in joins.left_join(fact, dim.drop("line"), "k").select("id", "name").collect()} == {(1, "middle"), (2, None), (3, None), (4, None)}
+    with pytest.raises(ValueError, match="rename"):
+        joins.left_join(fact, dim.withColumnRenamed("name", "id"), "k")
+
+
 def test_rendered_joins(spark, lines, tmp_path):
     from pyspark.sql import functions as F
 
@@ -170,6 +233,28 @@ def test_kmeans_keeps_a_centre_without_points(lines):
     assert centres == [(1.0, 1.0), (50.0, 50.0)] and step.count() == 1
 
 
+def test_kmeans_options(spark, lines):
+    points = sources.points(lines("1,1\n200000,3\n200000,4\n"))
+    assert cluster.kmeans_assign(points, []).collect() == [] and cluster.kmeans(points, [])[0].collect() == []
+    centres = [(0.0, 0.0), (50.0, 50.0)]
+    assert [r["cluster"] for r in cluster.kmeans_assign(points, centres).orderBy("y").collect()] == [0, 1, 1]
+    assert [r["cluster"] for r in cluster.kmeans_assign(points, centres, cutoff=100_000.0).collect()] == [0, 0, 0]
+    seen = []
+    cluster.kmeans(points, centres, progress=lambda k, c: seen.append((k, c)))
+    assert [k for k, _ in seen] == list(range(1, len(seen) + 1)) and seen[-1][1] == seen[-2][1]
+    many = [(float(k * 37 % 101), float(k * 53 % 97)) for k in range(200)]
+    grid = spark.range(400).selectExpr("cast(id % 20 * 5 as double) as x", "cast(id div 20 * 5 as double) as y")
+    one, other = (cluster.kmeans_assign(grid, many, literals=n) for n in (1000, 1))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    assert "Join" not in other._jdf.queryExecution().toString()
+
+
+def test_page_rank_has_one_join_an_iteration(spark, lines):
+    edges = sources.adjacency(lines("0 1 2\n1 2\n2 0\n3 2\n"))
+    plans = [graph.page_rank(pages(spark, 4), edges, 4, k)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for k in (2, 3, 4, 5)]
+    assert plans == [1, 2, 3, 4]
+
+
 A, B = "0 0 1\n0 1 2\n1 0 3\n1 1 4\n", "0 0 5\n0 1 6\n1 0 7\n1 1 8\n"
 
 

@@ -1,9 +1,10 @@
 import pytest
 from oracle import assert_same
 
-from tidemill.plans.reference_queries import QUERIES
+from tidemill.plans import file_queries, reference_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES = reference_queries.QUERIES | file_queries.QUERIES
 
 
 @pytest.mark.parametrize("name", QUERIES)

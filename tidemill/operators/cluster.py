@@ -1,46 +1,70 @@
-"""Two-dimensional k-means (Lloyd). Centres are k literals in the plan, so assignment needs no join."""
+"""Two-dimensional k-means (Lloyd).
+
+Assignment is a projection, so it moves nothing. Up to LITERALS centres stand in the plan one by one; more of them
+become one constant, an array that each point scans, so the plan's size does not grow with them.
+"""
 
 from __future__ import annotations
 
-import struct
+import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.graph import as_float
+
 Centres = list[tuple[float, float]]
 SEEDS: Centres = [(0.0, 0.0), (7.0, 7.0)]
+#: Centres that are expressions of their own; more are one constant array.
+LITERALS = 32
 
 
-def _as_float(x: float) -> float:
-    return struct.unpack("f", struct.pack("f", x))[0]
+def _nearest(x: Column, y: Column, centres: Column | Centres, cutoff: float | None) -> Column:
+    """Number of the nearest centre; equal distances go to the lower one. With a cut-off, a point that is not nearer to any goes to 0."""
+    away = lambda cx, cy: F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
+    if isinstance(centres, list):
+        best = F.array_min(F.array(*(F.struct(away(F.lit(cx), F.lit(cy)).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres))))
+    else:
+        best = F.array_min(F.transform(centres, lambda c: F.struct(away(c["x"], c["y"]).alias("d"), c["i"].alias("i"))))
+    near = best["i"] if cutoff is None else F.when(best["d"] < cutoff, best["i"]).otherwise(0)
+    return F.when(x.isNotNull() & y.isNotNull(), near)
 
 
-def kmeans_assign(points: DataFrame, centres: Centres) -> DataFrame:
-    """points with `cluster`, the nearest centre; equal distances go to the lower index. Null coordinates give null."""
+def kmeans_assign(points: DataFrame, centres: Centres, cutoff: float | None = None, literals: int = LITERALS) -> DataFrame:
+    """points with `cluster`, the nearest centre; null coordinates give null. Without centres no point is assigned: no rows."""
+    if not centres:
+        return points.where("false").withColumn("cluster", F.lit(None).cast("int"))
     x, y = F.col("x"), F.col("y")
-    away = [F.struct(F.sqrt((x - F.lit(cx)) * (x - F.lit(cx)) + (y - F.lit(cy)) * (y - F.lit(cy))).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)]
-    return points.withColumn("cluster", F.when(x.isNotNull() & y.isNotNull(), F.array_min(F.array(*away))["i"]))
+    if len(centres) <= literals:
+        return points.withColumn("cluster", _nearest(x, y, centres, cutoff))
+    shown = json.dumps([{"i": i, "x": float(cx), "y": float(cy)} for i, (cx, cy) in enumerate(centres)])
+    return points.withColumn("cluster", _nearest(x, y, F.from_json(F.lit(shown), "array<struct<i:int,x:double,y:double>>"), cutoff))
 
 
-def kmeans_step(points: DataFrame, centres: Centres) -> DataFrame:
+def kmeans_step(points: DataFrame, centres: Centres, cutoff: float | None = None) -> DataFrame:
     """(cluster, x, y, n): means of the assigned points, for the clusters that have some."""
-    return kmeans_assign(points, centres).where("cluster is not null").groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    return kmeans_assign(points, centres, cutoff).where("cluster is not null").groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
-def kmeans(points: DataFrame, centres: Centres = SEEDS, max_iter: int = 100) -> tuple[DataFrame, Centres]:
+def kmeans(points: DataFrame, centres: Centres = SEEDS, max_iter: int = 100, cutoff: float | None = None, progress: Callable[[int, Centres], None] | None = None) -> tuple[DataFrame, Centres]:
     """The last step's rows and the carried centres. Stops when no centre moves, or after max_iter steps.
 
-    Each step brings k rows to the driver. Centres are rounded to float between steps; a cluster
-    without points keeps its centre.
+    Each step brings k rows to the driver, and the last step's are the result (k rows, a local table), so the points are
+    not read again. Centres are rounded to float between steps; a cluster without points keeps its centre. progress is
+    called with the number of each step and its centres. Without centres the result is empty.
     """
-    state = [(_as_float(x), _as_float(y)) for x, y in centres]
-    step = kmeans_step(points, state)
-    for k in range(max_iter):
-        step = kmeans_step(points, state)
+    state = [(as_float(x), as_float(y)) for x, y in centres]
+    step = kmeans_step(points, state, cutoff)
+    schema, rows = step.schema, []
+    for k in range(max_iter if state else 0):
+        rows = kmeans_step(points, state, cutoff).collect()
         moved = list(state)
-        for row in step.collect():
-            moved[row["cluster"]] = (_as_float(row["x"]), _as_float(row["y"]))
-        if moved == state or k + 1 == max_iter:
-            return step, moved
+        for row in rows:
+            moved[row["cluster"]] = (as_float(row["x"]), as_float(row["y"]))
+        if progress:
+            progress(k + 1, moved)
+        if moved == state:
+            break
         state = moved
-    return step, state
+    return points.sparkSession.createDataFrame(rows, schema), state

@@ -1,43 +1,58 @@
-"""PageRank over an edge DataFrame (src, dst, out_degree)."""
+"""PageRank over an edge DataFrame (src, dst, out_degree).
+
+The edges are written once to the shared folder, dealt by src; an iteration joins them with the ranks that the one
+before gave to pages with in-links, and sums the shares by dst with map-side combine. So a plan has one join and one
+exchange of sums an iteration, and is cut by a checkpoint every CUT_EVERY iterations.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.folders import cut
+
 #: Iterations between checkpoints of the rank state, which cut the growing plan.
 CUT_EVERY = 5
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+def as_float(x: float) -> float:
+    """x rounded to 32 bits."""
+    return struct.unpack("f", struct.pack("f", x))[0]
 
 
-def _incoming(ranks: DataFrame, edges: DataFrame, n_pages: int, damping: float, base: float) -> DataFrame:
-    """New rank of each page that has in-links."""
-    shares = edges.join(ranks, edges.src == ranks.page).select("dst", (F.col("rank") / F.col("out_degree")).alias("share"))
-    return shares.groupBy("dst").agg((F.lit(base) / n_pages + F.lit(damping) * F.sum("share")).alias("rank"))
+def _iterated(pages: DataFrame, edges: DataFrame, first: float, other: Column, kept, n_pages: int, iterations: int, damping: float, base: float) -> DataFrame:
+    """(dst, rank) of the pages with in-links after the last iteration. first: every page's rank at the start, other: that of a page without in-links later; kept: how a rank is carried on."""
+    links = edges.join(pages.select(F.col("page").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "out_degree")
+    links = cut(links.repartition("src")) if iterations > 1 else links
+    ranks = None
+    for k in range(iterations):
+        if ranks is None:
+            shares = links.select("dst", (F.lit(first) / F.col("out_degree")).alias("share"))
+        else:
+            carried = ranks.select(F.col("dst").alias("page"), kept(F.col("rank")).alias("rank"))
+            shares = links.join(carried, links.src == carried.page, "left").select("dst", (F.coalesce("rank", other) / F.col("out_degree")).alias("share"))
+        ranks = shares.groupBy("dst").agg((F.lit(base) / n_pages + F.lit(damping) * F.sum("share")).alias("rank"))
+        ranks = cut(ranks) if (k + 1) % CUT_EVERY == 0 and k + 1 < iterations else ranks
+    return ranks
 
 
 def page_rank(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15) -> DataFrame:
-    """(page, rank) after a fixed number of iterations, for the pages that have in-links.
+    """(page, rank) after a fixed number of iterations (one at least), for the pages that have in-links.
 
-    A page without in-links keeps its initial 1/n; a page without out-links gives nothing away.
-    The carried state is rounded to float between iterations, the result is not.
+    A page without in-links keeps its initial 1/n; a page without out-links gives nothing away, and neither does an edge
+    from what is not a page. The carried state is rounded to float between iterations, the result is not.
     """
-    ranks = pages.select("page", F.lit(1.0 / n_pages).cast("float").cast("double").alias("rank"))
-    for k in range(iterations - 1):
-        new = _incoming(ranks, edges, n_pages, damping, base).withColumnRenamed("rank", "new")
-        ranks = ranks.join(new, ranks.page == new.dst, "left").select("page", F.coalesce(F.col("new").cast("float").cast("double"), "rank").alias("rank"))
-        ranks = _cut(ranks) if (k + 1) % CUT_EVERY == 0 else ranks
-    return _incoming(ranks, edges, n_pages, damping, base).select(F.col("dst").alias("page"), "rank")
+    rounded = lambda c: c.cast("float").cast("double")
+    first = 1.0 / n_pages
+    start = rounded(F.lit(first))
+    return _iterated(pages, edges, as_float(first), start, rounded, n_pages, iterations, damping, base).select(F.col("dst").alias("page"), "rank")
 
 
 def page_rank_textbook(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15) -> DataFrame:
     """(page, rank) for all pages: a page without in-links gets base / n; doubles throughout."""
-    ranks = pages.select("page", F.lit(1.0 / n_pages).alias("rank"))
-    for k in range(iterations):
-        new = _incoming(ranks, edges, n_pages, damping, base).withColumnRenamed("rank", "new")
-        ranks = ranks.select("page").join(new, F.col("page") == new.dst, "left").select("page", F.coalesce("new", F.lit(base / n_pages)).alias("rank"))
-        ranks = _cut(ranks) if (k + 1) % CUT_EVERY == 0 else ranks
-    return ranks
+    without = F.lit(base / n_pages)
+    found = _iterated(pages, edges, 1.0 / n_pages, without, lambda c: c, n_pages, iterations, damping, base)
+    return pages.select("page").join(found, F.col("page") == F.col("dst"), "left").select("page", F.coalesce("rank", without).alias("rank"))

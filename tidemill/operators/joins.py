@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.spread import estimated_bytes
+
 #: Largest dimension in bytes (as Spark estimates it) that `broadcast` may send to every executor.
 BROADCAST_LIMIT = 64 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; Long.MAX where nothing is known."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def last_of(dim: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row for each key that is not null: that of the largest `order` (the last line wins), among equal ones or without an order that of the largest values of the other columns."""
+    others = [c for c in dim.columns if c != key]
+    ranked = F.struct(*([order] if order else []), *others) if others else F.lit(0)
+    last = dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(ranked).alias("__last"))
+    return last.select(key, *(F.col("__last")[c].alias(c) for c in others if c != order))
 
 
-def left_join(fact: DataFrame, dim: DataFrame, key: str, strategy: str = "broadcast", limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """fact LEFT JOIN dim on key. The dimension must be unique on key; repeated keys keep one row.
+def left_join(fact: DataFrame, dim: DataFrame, key: str, strategy: str = "broadcast", limit: int = BROADCAST_LIMIT, order: str | None = None) -> DataFrame:
+    """fact LEFT JOIN dim on key, each fact row once: of a key that the dimension repeats the last row counts (see last_of).
 
-    strategy: `broadcast` (no shuffle of the fact side; used only if the dimension's estimated size
-    is within limit, else it becomes `merge`), `merge` (sort-merge join: both sides shuffled and
-    sorted on the key) or `hash` (shuffled hash join). AQE splits skewed keys of the shuffled forms.
+    order: a column of dim by which its rows follow one another; it is not in the result. A null key joins nothing.
+    Other columns of both sides must have different names. strategy: `broadcast` (no shuffle of the fact side; used
+    only if the dimension's estimated size is within limit, else it becomes `merge`), `merge` (sort-merge join: both
+    sides shuffled and sorted on the key) or `hash` (shuffled hash join). AQE splits skewed keys of the shuffled forms.
     """
     if strategy not in ("broadcast", "merge", "hash"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    dim = dim.dropDuplicates([key])
+    if clash := (set(fact.columns) & set(dim.columns)) - {key, order}:
+        raise ValueError(f"columns of both sides: {sorted(clash)}; rename them first")
+    one = last_of(dim, key, order)
     if strategy == "broadcast" and estimated_bytes(dim) <= limit:
-        return fact.join(F.broadcast(dim), key, "left")
-    return fact.join(dim.hint("shuffle_hash" if strategy == "hash" else "merge"), key, "left")
+        return fact.join(F.broadcast(one), key, "left")
+    return fact.join(one.hint("shuffle_hash" if strategy == "hash" else "merge"), key, "left")
 
 
 def rendered(price: Column, name: Column, separator: str, missing: str) -> Column:

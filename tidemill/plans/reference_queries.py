@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import cluster, graph, joins, matrix, text, topk
+from tidemill.operators.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,102 +66,90 @@ def _top_k_distinct(spark, sf_dir):
 
 _TOP_K = "select o_orderkey as id, cast(floor(o_totalprice) as int) as salary from orders order by salary desc, id limit 3"
 
-# Joins
+# Joins: customers with the last supplier (by key) of their nation; a nation can have many suppliers or none.
 
 
 def _join(strategy: str, separator: str, missing: str) -> Query:
     def run(spark, sf_dir):
         fact = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("category"))
-        dim = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("category"), F.col("n_name").alias("category_name"))
-        joined = joins.left_join(fact, dim, "category", strategy)
+        dim = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("category"), F.col("s_name").alias("category_name"), F.col("s_suppkey").alias("line"))
+        joined = joins.left_join(fact, dim, "category", strategy, order="line")
         return joined.select("id", "category", "category_name", joins.rendered(F.col("category"), F.col("category_name"), separator, missing).alias("value"))
 
     return run
 
 
 def _join_sql(separator: str, missing: str) -> str:
-    return f"""select c_custkey as id, c_nationkey as category, n_name as category_name, c_nationkey::varchar || {separator} || coalesce(n_name, '{missing}') as value
-from customer left join (select * from nation where n_nationkey < 20) on c_nationkey = n_nationkey"""
+    return f"""select c_custkey as id, c_nationkey as category, name as category_name, c_nationkey::varchar || {separator} || coalesce(name, '{missing}') as value
+from customer left join (select s_nationkey, arg_max(s_name, s_suppkey) as name from supplier group by s_nationkey) on c_nationkey = s_nationkey"""
 
 
-# Matrices
+# Matrices: the vectors' components in hundredths, a row a vector. The product is that of the transposed matrix with
+# the matrix itself, so that the inner index runs over all vectors.
 
 
-def _cells(spark, sf_dir, whole=False):
+def _cells(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    vectors = vectors if whole else vectors.where("vec_id < 20")
     return vectors.select(F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", "j", F.round(F.col("x").cast("double") * 100).cast("int").alias("v"))
 
 
-def _matrix_add(spark, sf_dir, whole=False):
-    a = _cells(spark, sf_dir, whole)
+def _matrix_add(spark, sf_dir):
+    a = _cells(spark, sf_dir)
     return matrix.matrix_add(a, a.where("(i + j) % 2 = 0"))
 
 
-def _matrix_multiply(spark, sf_dir, whole=False):
-    a = _cells(spark, sf_dir, whole)
-    return matrix.matrix_multiply(a, a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+def _matrix_multiply(spark, sf_dir):
+    a = _cells(spark, sf_dir)
+    return matrix.matrix_multiply(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a)
 
 
 _CELLS = """cells as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(round(cast(unnest(embedding) as double) * 100) as int) as v
-from embeddings where vec_id < 20)"""
-_ALL_CELLS = """cells as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(round(cast(unnest(embedding) as double) * 100) as int) as v
 from embeddings)"""
 _ADD = "select i, j, cast(sum(v) as bigint) as v from (select * from cells union all select * from cells where (i + j) % 2 = 0) group by i, j"
-_MULTIPLY = "select a.i, b.i as j, cast(sum(cast(a.v as bigint) * b.v) as bigint) as v from cells a join cells b on a.j = b.j group by a.i, b.i"
-
-# PageRank on nations: an edge from a customer's to a supplier's nation that traded. The reduced graph leaves out most
-# pairs, and node 3 has no in-links there; the whole one has them all.
-
-
-def _graph(spark, sf_dir, whole=False):
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    pairs = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("true" if whole else "(c_nationkey * 7 + s_nationkey) % 4 = 0 and s_nationkey <> 3")
-        .select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
-        .distinct()
-    )
+_MULTIPLY = "select a.j as i, b.j, cast(sum(cast(a.v as bigint) * b.v) as bigint) as v from cells a join cells b on a.i = b.i group by a.j, b.j"
+
+# PageRank on parts: an edge from each part of an order to the next one, by line number and part.
+
+
+def _graph(spark, sf_dir):
+    follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(follow).alias("dst"))
+    pairs = lines.where("dst is not null").select("src", "dst").distinct()
     edges = pairs.join(pairs.groupBy("src").agg(F.count("*").alias("out_degree")), "src")
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page")), edges
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page")), edges
 
 
-def _page_rank(spark, sf_dir, whole=False):
-    return graph.page_rank(*_graph(spark, sf_dir, whole), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
+def _page_rank(spark, sf_dir):
+    pages, edges = _graph(spark, sf_dir)
+    return graph.page_rank(pages, edges, n_pages=pages.count()).select("page", F.round("rank", 9).alias("rank"))
 
 
-def _page_rank_textbook(spark, sf_dir, whole=False):
-    return graph.page_rank_textbook(*_graph(spark, sf_dir, whole), n_pages=25).select("page", F.round("rank", 6).alias("rank"))
+def _page_rank_textbook(spark, sf_dir):
+    pages, edges = _graph(spark, sf_dir)
+    return graph.page_rank_textbook(pages, edges, n_pages=pages.count()).select("page", F.round("rank", 9).alias("rank"))
 
 
-_EDGES = """pairs as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey
-  join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-  where (c_nationkey * 7 + s_nationkey) % 4 = 0 and s_nationkey <> 3),
-edges as (select src, dst, count(*) over (partition by src) as deg from pairs)"""
-_ALL_EDGES = """pairs as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey
-  join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
-edges as (select src, dst, count(*) over (partition by src) as deg from pairs)"""
+_EDGES = """pairs as (select distinct src, dst from (
+  select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null),
+edges as (select src, dst, count(*) over (partition by src) as deg from pairs),
+size as (select cast(count(*) as double) as n from part)"""
 
 
-def _page_rank_sql(textbook: bool, edges: str = _EDGES) -> str:
-    kept = "0.15::double / 25" if textbook else "r.rank"
+def _page_rank_sql(textbook: bool) -> str:
+    kept = "0.15::double / n" if textbook else "r.rank"
     stored = "double" if textbook else "float"
-    ctes = [edges, f"r0 as (select n_nationkey as page, cast(cast(1.0::double / 25 as {stored}) as double) as rank from nation)"]
+    ctes = [_EDGES, f"r0 as (select p_partkey as page, cast(cast(1.0::double / n as {stored}) as double) as rank from part, size)"]
     for k in range(1, 4):
-        ctes.append(f"in{k} as (select dst, 0.15::double / 25 + 0.85::double * sum(rank / deg) as rank from edges join r{k - 1} on src = page group by dst)")
-        ctes.append(f"r{k} as (select r.page, coalesce(cast(cast(n.rank as {stored}) as double), {kept}) as rank from r{k - 1} r left join in{k} n on r.page = n.dst)")
-    last = "select page, round(rank, 6) as rank from r3" if textbook else "select dst as page, round(rank, 6) as rank from in3"
+        ctes.append(f"in{k} as (select dst, 0.15::double / any_value(n) + 0.85::double * sum(rank / deg) as rank from edges join r{k - 1} on src = page, size group by dst)")
+        ctes.append(f"r{k} as (select r.page, coalesce(cast(cast(i.rank as {stored}) as double), {kept}) as rank from r{k - 1} r left join in{k} i on r.page = i.dst, size)")
+    last = "select page, round(rank, 9) as rank from r3" if textbook else "select dst as page, round(rank, 9) as rank from in3"
     return f"with {', '.join(ctes)} {last}"
 
 
 # K-means on (l_quantity / 5, l_discount * 100)
 
-STEPS = 12
-#: Steps to which the SQL of the loop to the fixpoint is unrolled; those after the fixpoint change nothing.
-STEPS_TO_FIXPOINT = 30
+#: Steps to which the SQL of the loop is unrolled; those after the fixpoint change nothing.
+STEPS = 30
 
 
 def _points(spark, sf_dir):
@@ -179,10 +168,11 @@ def _kmeans_step(spark, sf_dir):
     return _rounded(cluster.kmeans_step(_points(spark, sf_dir), cluster.SEEDS))
 
 
-def _kmeans(spark, sf_dir, max_iter=STEPS):
-    points = _points(spark, sf_dir).select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+def _kmeans(spark, sf_dir):
+    """Until no centre moves. The points are held while the loop reads them, and the result no longer needs them."""
+    points = spread(_points(spark, sf_dir).select("x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _rounded(cluster.kmeans(points, cluster.SEEDS, max_iter=max_iter)[0])
+        return _rounded(cluster.kmeans(points, cluster.SEEDS)[0])
     finally:
         points.unpersist()
 
@@ -211,6 +201,8 @@ def _kmeans_sql(steps: int) -> str:
 from pts, c{steps - 1} c group by 1"""
 
 
+_CENTRES = "c as (select 0.0::double as x0, 0.0::double as y0, 7.0::double as x1, 7.0::double as y1)"
+
 #: name: (query, SQL)
 QUERIES: dict[str, tuple[Query, str]] = {
     "word_count": (lambda s, d: text.word_count(_docs(s, d)), f"select word, count(*) as cnt from ({_TOKENS}) where word <> '' group by word"),
@@ -233,14 +225,9 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "join_secondary_sort": (_join("merge", " ", ""), _join_sql("' '", "")),
     "matrix_add": (_matrix_add, f"with {_CELLS} {_ADD}"),
     "matrix_multiply": (_matrix_multiply, f"with {_CELLS} {_MULTIPLY}"),
-    "matrix_add_all": (lambda s, d: _matrix_add(s, d, whole=True), f"with {_ALL_CELLS} {_ADD}"),
-    "matrix_multiply_all": (lambda s, d: _matrix_multiply(s, d, whole=True), f"with {_ALL_CELLS} {_MULTIPLY}"),
     "page_rank": (_page_rank, _page_rank_sql(False)),
     "page_rank_textbook": (_page_rank_textbook, _page_rank_sql(True)),
-    "page_rank_all": (lambda s, d: _page_rank(s, d, whole=True), _page_rank_sql(False, _ALL_EDGES)),
-    "page_rank_textbook_all": (lambda s, d: _page_rank_textbook(s, d, whole=True), _page_rank_sql(True, _ALL_EDGES)),
-    "kmeans_assign": (_kmeans_assign, f"with {_KPOINTS}, c as (select 0.0::double as x0, 0.0::double as y0, 7.0::double as x1, 7.0::double as y1) select l_orderkey, l_linenumber, cast({_ASSIGN} as int) as cluster from pts, c"),
+    "kmeans_assign": (_kmeans_assign, f"with {_KPOINTS}, {_CENTRES} select l_orderkey, l_linenumber, cast({_ASSIGN} as int) as cluster from pts, c"),
     "kmeans_step": (_kmeans_step, _kmeans_sql(1)),
     "kmeans": (_kmeans, _kmeans_sql(STEPS)),
-    "kmeans_fixpoint": (lambda s, d: _kmeans(s, d, max_iter=100), _kmeans_sql(STEPS_TO_FIXPOINT)),
 }
