@@ -1,57 +1,12 @@
-"""Checkpoints in the folder that the cluster shares."""
+"""What the operators of this subpackage share of the session: the folder of the cluster and the width of a shuffle."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from tidemill.folders import cut, forget, forget_at_exit, new_folder, shared_dir
 
-
-_forgotten: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); a cluster must name one.
-
-    What this application puts there as checkpoints is removed when its driver ends.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if named is None:
-            if not re.match(r"local($|\[)", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="tidemill-checkpoints-")
-        context.setCheckpointDir(named)
-    own = context.getCheckpointDir()
-    if own not in _forgotten:
-        _forgotten.add(own)
-        forget_at_exit(spark, own)
-    return named or os.path.dirname(own)
-
-
-def _path(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def forget_at_exit(spark: SparkSession, folder: str) -> None:
-    """Removes a folder of this application when its driver ends."""
-    path, system = _path(spark, folder)
-    system.deleteOnExit(path)
-
-
-def forget(spark: SparkSession, folder: str) -> None:
-    path, system = _path(spark, folder)
-    system.delete(path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there: its rows survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "forget", "forget_at_exit", "new_folder", "partitions", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:
