@@ -146,11 +146,20 @@ def kept_lines(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
+#: Parts into which the rows of one text are dealt when they meet its first document.
+SALTS = 16
+
+
 def whole_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, version) of the documents whose whole text is that of a document with a smaller doc_id; 128 bits of hash stand for a text."""
+    """(doc, version) of the documents whose whole text is that of a document with a smaller doc_id; 128 bits of hash stand for a text.
+
+    First documents are found with map-side combine and meet the copies in SALTS parts, so the copies of one text spread.
+    """
     texts = _keyed(docs, doc_id, text).select("doc", "version", F.xxhash64(F.lit(1), F.col("text")).alias("check"))
     owners = texts.groupBy("version", "check").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last")
-    return texts.join(owners, ["version", "check"]).where("doc > owner").select("doc", "version").distinct()
+    parts = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = texts.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, ["version", "check", "salt"]).where("doc > owner").select("doc", "version").distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, keep: tuple[str, ...] | None = None, drop_copies: bool = False) -> DataFrame:
