@@ -8,6 +8,7 @@ A span of more than LONG_SPAN bytes is hashed by XXH3.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 
 def slices(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with at most `limit` bytes of text, or one row."""
+    """The batches cut into runs of rows with at most `limit` bytes of text, or one row. At the end, memory that a long-lived worker no longer uses goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +60,15 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -143,7 +143,7 @@ for _k, _words in enumerate(SEEDS.values()):
 
 
 #: Words whose stem a worker remembers before it starts over.
-REMEMBERED = 500_000
+REMEMBERED = 60_000
 
 
 class Lookup(dict):
