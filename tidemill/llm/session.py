@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemill.folders import cut, forget, forget_at_exit, new_folder, shared_dir
+from tidemill.folders import cut, forget, new_folder, settled, shared_dir
 
-__all__ = ["cut", "forget", "forget_at_exit", "new_folder", "partitions", "shared_dir"]
+__all__ = ["cut", "forget", "new_folder", "partitions", "settled", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:
