@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidemill import folders
 from tidemill.operators import cluster, graph, joins, matrix, text, topk
 from tidemill.sources import sinks
 from tidemill.sources import text as sources
@@ -96,7 +97,11 @@ def test_ordered_output_and_named_files(spark, tmp_path):
     lines = spark.createDataFrame([("x y.txt", 2, "two"), ("x y.txt", 1, "one"), ("z.txt", 1, "only")], "file string, order int, value string")
     for _ in range(2):
         sinks.write_named_files(lines, f"{tmp_path}/named")
-    assert {f.name: f.read_text() for f in (tmp_path / "named").glob("[!.]*")} == {"x y.txt": "one\ntwo\n", "z.txt": "only\n"}
+    got = {tuple(r) for r in sources.read_lines_with_offset(spark, f"{tmp_path}/named").collect()}
+    assert got == {("x y.txt", 0, "one"), ("x y.txt", 4, "two"), ("z.txt", 0, "only")}
+    assert {tuple(r) for r in sources.read_lines(spark, f"{tmp_path}/named/file=x y.txt").collect()} == {("x y.txt", "one"), ("x y.txt", "two")}
+    kept = folders.settled(sources.read_lines(spark, f"{tmp_path}/named"), f"{tmp_path}/named")
+    assert kept.count() == 3 and spark.read.text(f"{tmp_path}/named").count() == 0 and not list(tmp_path.glob("named/file=*"))
 
 
 EMPLOYEES = "1|D1|300|kim\n2|D2|500|lee\n3|D1|500|park\n4|D3|100|choi\n5|D2|400|jung\nbad|row\n6||900|han\n7|D4|450|yoon|extra\n"

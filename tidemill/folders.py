@@ -9,13 +9,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_forgotten: set[str] = set()
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); a cluster must name one.
 
-    What this application puts there as checkpoints is removed when its driver ends.
+    Spark removes checkpoints that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,38 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="tidemill-checkpoints-")
         context.setCheckpointDir(named)
-    own = context.getCheckpointDir()
-    if own not in _forgotten:
-        _forgotten.add(own)
-        forget_at_exit(spark, own)
-    return named or os.path.dirname(own)
+    return named or os.path.dirname(context.getCheckpointDir())
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of our own in the shared one, not yet there; removed when the driver ends."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    forget_at_exit(spark, folder)
-    return folder
-
-
-def path_of(spark: SparkSession, folder: str):
-    """(Hadoop path, its file system)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
+    """A folder of our own in the shared one, not yet there."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-def forget_at_exit(spark: SparkSession, folder: str) -> None:
-    """Removes a folder of this application when its driver ends."""
-    path, system = path_of(spark, folder)
-    system.deleteOnExit(path)
 
-
-def forget(spark: SparkSession, folder: str) -> None:
-    path, system = path_of(spark, folder)
-    system.delete(path, True)
+def forget(spark: SparkSession, *folders: str) -> None:
+    """Empties folders that were written: what replaces their files is a table without rows."""
+    for folder in folders:
+        spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there: its rows survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame, *folders: str) -> DataFrame:
+    """df cut, so that the folders that it was read from can be emptied."""
+    done = cut(df)
+    forget(df.sparkSession, *folders)
+    return done

@@ -1,7 +1,8 @@
 """Queries over text files: tables are written as text into the shared folder and read back by the parsers of the layouts.
 
 Each has DuckDB SQL that works out, from the tables alone, what the files must hold and what the query must give. The
-files have names of their own, with their lines in order of the table's key, so names and byte offsets are known.
+files have names of their own, with their lines in order of the table's key, so names and byte offsets are known. Results
+are settled, and the folders emptied, before they are returned.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.folders import new_folder
+from tidemill.folders import forget, new_folder, settled
 from tidemill.operators import cluster, graph, joins, matrix, text, topk
 from tidemill.plans.reference_queries import _ASSIGN, _CELLS, _CENTRES, _MULTIPLY, Query, _cells, _rounded, table
 from tidemill.sources import sinks
@@ -37,11 +38,13 @@ def _texts(spark, sf_dir):
 
 
 def _text_lines(spark, sf_dir):
-    return sources.read_lines(spark, _texts(spark, sf_dir)).groupBy("file", "value").agg(F.count("*").alias("n"))
+    folder = _texts(spark, sf_dir)
+    return settled(sources.read_lines(spark, folder).groupBy("file", "value").agg(F.count("*").alias("n")), folder)
 
 
 def _text_line_offsets(spark, sf_dir):
-    return sources.read_lines_with_offset(spark, _texts(spark, sf_dir))
+    folder = _texts(spark, sf_dir)
+    return settled(sources.read_lines_with_offset(spark, folder), folder)
 
 
 def _text_inverted_index(spark, sf_dir):
@@ -61,11 +64,10 @@ posts as (select word, file, start + coalesce(sum(length(word) + 1) over (partit
 
 def _text_word_count(spark, sf_dir):
     """Counted from the files, written in order of the word with tabs between, read back and parsed."""
-    counted = text.word_count(sources.read_lines(spark, _texts(spark, sf_dir)), "value")
-    out = new_folder(spark, "counts")
-    sinks.write_key_value(counted, out, "word", "cnt", ordered=True)
+    folder, out = _texts(spark, sf_dir), new_folder(spark, "counts")
+    sinks.write_key_value(text.word_count(sources.read_lines(spark, folder), "value"), out, "word", "cnt", ordered=True)
     parts = F.split("value", "\t")
-    return sources.read_lines(spark, out).select(parts[0].alias("word"), parts[1].cast("long").alias("cnt"))
+    return settled(sources.read_lines(spark, out).select(parts[0].alias("word"), parts[1].cast("long").alias("cnt")), folder, out)
 
 
 # Employees: an order is one; of orders with status P the department is missing, so their lines are short.
@@ -77,10 +79,10 @@ def _text_top_k(spark, sf_dir):
     lines = orders.select(F.lit("employees.txt").alias("file"), F.col("o_orderkey").alias("order"), _line("|", "o_orderkey", dept, F.floor("o_totalprice").cast("int"), F.lit("info"), F.lit("more")).alias("value"))
     short = F.regexp_replace("value", "\\|info\\|more$", "|info")
     lines = lines.withColumn("value", F.when(F.size(F.split("value", "\\|")) < 5, short).otherwise(F.col("value")))
-    top = topk.top_k(sources.employees(sources.read_lines(spark, _files(lines, "employees"))), 10)
-    out = new_folder(spark, "top")
+    folder, out = _files(lines, "employees"), new_folder(spark, "top")
+    top = topk.top_k(sources.employees(sources.read_lines(spark, folder)), 10)
     sinks.write_key_value(top.select(_line(" | ", "id", "dept_id", "salary", "emp_info").alias("line")), out, "line")
-    return sources.read_lines(spark, out).select("value")
+    return settled(sources.read_lines(spark, out).select("value"), folder, out)
 
 
 _TEXT_TOP_K = """select o_orderkey || ' | ' || o_orderstatus || ' | ' || cast(floor(o_totalprice) as int) || ' | info' as value
@@ -95,13 +97,13 @@ def _text_join(strategy: str, separator: str, missing: str) -> Query:
         facts = table(spark, sf_dir, "customer").select(F.lit("fileA.txt").alias("file"), F.col("c_custkey").alias("order"), _line("|", "c_custkey", "c_acctbal", "c_nationkey").alias("value"))
         dims = table(spark, sf_dir, "supplier").select(F.lit("fileB.txt").alias("file"), F.col("s_suppkey").alias("order"), _line("|", "s_nationkey", "s_name").alias("value"))
         folder = _files(facts.unionAll(dims), "join")
-        dim = sources.read_lines_with_offset(spark, f"{folder}/fileB.txt")
+        dim = sources.read_lines_with_offset(spark, f"{folder}/file=fileB.txt")
         named = sources.dimension(dim, keep=("offset",))
-        joined = joins.left_join(sources.facts(sources.read_lines(spark, f"{folder}/fileA.txt")), named, "category", strategy, order="offset")
+        joined = joins.left_join(sources.facts(sources.read_lines(spark, f"{folder}/file=fileA.txt")), named, "category", strategy, order="offset")
         out = new_folder(spark, "joined")
         value = joins.rendered(F.col("price"), F.col("category_name"), separator, missing)
         sinks.write_key_value(joined.select("id", value.alias("value")), out, "id", "value", overwrite=False)
-        return sources.read_lines(spark, out).select("value")
+        return settled(sources.read_lines(spark, out).select("value"), folder, out)
 
     return run
 
@@ -117,7 +119,8 @@ from customer left join (select s_nationkey, arg_max(s_name, s_suppkey) as name
 def _text_page_rank(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("targets"))
     lines = pairs.select(F.lit("graph.txt").alias("file"), F.col("src").alias("order"), _line(" ", "src", F.array_join("targets", "  ")).alias("value"))
-    edges = sources.adjacency(sources.read_lines(spark, _files(lines, "graph")))
+    folder = _files(lines, "graph")
+    edges = settled(sources.adjacency(sources.read_lines(spark, folder)), folder)
     pages = edges.select(F.col("src").alias("page")).unionAll(edges.select("dst")).distinct()
     return graph.page_rank(pages, edges, n_pages=100).select("page", F.round("rank", 9).alias("rank"))
 
@@ -137,7 +140,8 @@ def _text_kmeans_step(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     y = F.when(F.col("l_linenumber") < 7, F.col("l_discount") * 100)
     rows = lines.select(F.lit("points.txt").alias("file"), F.col("l_orderkey").alias("order"), _line(",", F.concat(F.lit(" "), (F.col("l_quantity") / 5).cast("string")), y).alias("value"))
-    return _rounded(cluster.kmeans_step(sources.points(sources.read_lines(spark, _files(rows, "points"))), cluster.SEEDS))
+    folder = _files(rows, "points")
+    return settled(_rounded(cluster.kmeans_step(sources.points(sources.read_lines(spark, folder)), cluster.SEEDS)), folder)
 
 
 _TEXT_KMEANS = f"""with pts as (select l_quantity / 5 as x, l_discount * 100 as y from lineitem where l_linenumber < 7), {_CENTRES}
@@ -148,7 +152,7 @@ def _text_matrix_multiply(spark, sf_dir):
     a = _cells(spark, sf_dir)
     line = lambda i, j, name: a.select(F.lit(name).alias("file"), F.col("i").alias("order"), _line(" ", i, j, "v").alias("value"))
     folder = _files(line("j", "i", "matrix_a.txt").unionAll(line("i", "j", "matrix_b.txt")), "matrix")
-    return matrix.matrix_multiply(*(sources.cells(sources.read_lines(spark, f"{folder}/matrix_{k}.txt")) for k in "ab"))
+    return settled(matrix.matrix_multiply(*(sources.cells(sources.read_lines(spark, f"{folder}/file=matrix_{k}.txt")) for k in "ab")), folder)
 
 
 def _sink_modes(spark, sf_dir):
@@ -164,6 +168,7 @@ def _sink_modes(spark, sf_dir):
                 raise
             refused = True
         rows.append((attempt, sources.read_lines(spark, out).count(), refused))
+    forget(spark, out)
     return spark.createDataFrame(rows, "attempt int, n long, refused boolean")
 
 
