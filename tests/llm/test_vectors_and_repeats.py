@@ -1,0 +1,260 @@
+"""Whitening and clustering of vectors against whole-number brute force, repetition rules against plain substring search."""
+
+import hashlib
+import math
+import random
+import re
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from oracle import assert_same, duck
+
+from tidemill.llm import ball_tree, exact, registry, repetition, whitening
+
+SF = "/root/testdata/sf0.001"
+NAN, INF = float("nan"), float("inf")
+
+
+def vectors(spark, rows):
+    """Rows with extra columns under the names of results."""
+    return spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<float>, cluster string, n int")
+
+
+# Whole numbers
+
+
+@pytest.mark.parametrize("numbers", [[0, 1, -1, 2**31, -(2**31) - 1, 2**32, -(2**64), 3**200, -(3**200)], []])
+def test_limbs_add_up(spark, numbers):
+    parts = pa.Table.from_batches([exact.limbs(numbers), exact.limbs([2 * v for v in numbers])])
+    df = spark.createDataFrame(parts.to_pandas(), exact.SCHEMA) if parts.num_rows else spark.createDataFrame([], exact.SCHEMA)
+    assert exact.summed(df, len(numbers)) == [3 * v for v in numbers]
+
+
+@pytest.mark.parametrize("size", [1, 2**19, 2**40, 2**61])
+def test_block_scatter_does_not_round(size):
+    y = np.random.default_rng(1).integers(-size, size, (50, 4))
+    sums, cross = whitening.block_scatter(y)
+    rows = y.astype(object)
+    assert sums.tolist() == rows.sum(axis=0).tolist() and cross.tolist() == (rows.T @ rows).tolist()
+
+
+# Whitening
+
+
+def slow_scatter(rows):
+    """(n, sums, n * covariance numerators) by fractions."""
+    xs = [[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for v in rows]
+    n, sums = len(xs), [sum(c) for c in zip(*xs)]
+    d = len(sums)
+    return xs, n, sums, [[sum(n * x[i] * x[j] for x in xs) - sums[i] * sums[j] for j in range(d)] for i in range(d)]
+
+
+def check_whitened(got, rows, width):
+    xs, n, sums, numerators = slow_scatter([v for _, v in rows])
+    v = np.array([[float(Fraction(c, n * n)) for c in r] for r in numerators])
+    values = np.linalg.eigvalsh(v)[::-1][:32]
+    trace = float(Fraction(sum(numerators[k][k] for k in range(width)), n * n))
+    assert len(got) == len(rows) * min(32, width)
+    far = {k: [n * a - s for a, s in zip(x, sums)] for (k, _), x in zip(rows, xs)}
+    table = {(r["vec_id"], r["component"]): r for r in got}
+    whitened = np.array([[table[k, c + 1]["whitened"] for c in range(min(32, width))] for k, _ in rows])
+    assert all(r["n"] == n and r["deviation"] == sum(d * d for d in far[r["vec_id"]]) == int(r["deviation_digits"]) for r in got)
+    assert np.allclose([table[rows[0][0], c + 1]["explained"] for c in range(min(32, width))], values / trace, rtol=1e-9)
+    own = whitened - whitened.mean(axis=0)
+    error = np.abs(own.T @ own / n - np.eye(whitened.shape[1])).max()
+    assert error < 1e-9 and abs(table[rows[0][0], 1]["identity_error"] - error) < 1e-10
+    # Back from the components: each is an eigenvector, with this variance.
+    x = np.array([[d / n for d in far[k]] for k, _ in rows])
+    components = np.linalg.lstsq(x, whitened * np.sqrt(values), rcond=None)[0]
+    assert np.allclose(v @ components, components * values, atol=1e-9 * values.max()) and np.allclose((components**2).sum(axis=0), 1)
+
+
+def test_whitening_query(spark):
+    rows = duck(SF).execute("select vec_id, embedding from embeddings order by vec_id").fetchall()
+    check_whitened(registry.op11_embedding_whitening(spark, SF).collect(), rows, 64)
+
+
+def test_whitening_does_not_depend_on_an_offset(spark):
+    near = np.floor(np.random.default_rng(2).normal(0, 40, (60, 5)) * 64) / 64
+    plain, far = (spark.createDataFrame([(k, [float(c) + offset for c in v]) for k, v in enumerate(near)], "vec_id long, embedding array<double>") for offset in (0.0, 2.0**30))
+    a, b = (whitening.whiten(df).orderBy("vec_id").collect() for df in (plain, far))
+    assert len(a) == 60 and [(r["deviation"], r["whitened"]) for r in a] == [(r["deviation"], r["whitened"]) for r in b]
+
+
+def test_whitening_of_odd_rows(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (None, [2.0, 2.5, -1.0]), (4, [0.5]), (5, []), (6, None), (7, [1.0, None, 2.0]), (8, [1.0, NAN, 2.0]), (9, [INF, 1.0, 2.0]), (10, [4.0, -2.0, 8.0])]
+    got = registry.whitening.by_component(whitening.whiten(vectors(spark, rows))).collect()
+    good = [(k, [*v, 0, 0, 0][:3]) for k, v in rows[:5] + rows[9:]]
+    assert len(got) == 18 and sorted({str(r["vec_id"]) for r in got}) == ["1", "10", "4", "5", "None"]
+    _, n, sums, _ = slow_scatter([v for _, v in good])
+    assert {r["n"] for r in got} == {6}
+    assert [r["deviation"] for r in got if r["vec_id"] == 10] == [sum((n * (math.floor(64 * c) + 1_000_000) - s) ** 2 for c, s in zip(good[-1][1], sums))] * 3
+    assert whitening.whiten(vectors(spark, [])).count() == 0 and whitening.whiten(vectors(spark, rows[5:9])).count() == 0
+    same = registry.whitening.by_component(whitening.whiten(vectors(spark, [(k, [1.0, -3.0]) for k in range(4)]))).collect()
+    assert len(same) == 8 and {(r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in same} == {(0, None, None, None)}
+    # One direction of variance only: the other component has no whitened value.
+    line = registry.whitening.by_component(whitening.whiten(vectors(spark, [(k, [float(k), float(2 * k)]) for k in range(5)]))).collect()
+    assert all((r["whitened"] is None) == (r["component"] == 2) and r["identity_error"] < 1e-9 for r in line)
+    huge = whitening.whiten(vectors(spark, [(0, [3e38, 0.0]), (1, [-3e38, 1.0])])).collect()
+    assert {r["deviation"] for r in huge} == {None} and all(int(r["deviation_digits"]) > 2**120 for r in huge)
+    with pytest.raises(ValueError, match="components"):
+        whitening.whiten(vectors(spark, [(0, [0.0] * 5000)]))
+
+
+# Clustering
+
+
+def slow_clusters(rows, k=8, rounds=10, width=64):
+    kept = [(i, [ball_tree.whole(float(np.float32(c))) for c in v]) for i, v in rows if v is not None and len(v) == width and all(c is not None and math.isfinite(c) for c in v)]
+    order = sorted(range(len(kept)), key=lambda j: (hashlib.sha256(f"3:{'null' if kept[j][0] is None else kept[j][0]}".encode()).hexdigest(), kept[j][1]))
+    centroids = [kept[j][1] for j in order[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(near(v)[1], []).append(v)
+        centroids = [[sum(c) // len(groups[j]) for c in zip(*groups[j])] if j in groups else z for j, z in enumerate(centroids)]
+    found = [(i, *near(v)) for i, v in kept]
+    own = {j: sum(d for _, d, c in found if c == j) for j in range(k)}
+    marks = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    fit = exact.as_long
+    return sorted(((i, c, fit(d), fit(own[c]), fit(sum(own.values())), marks[c]) for i, d, c in found), key=repr)
+
+
+def test_clusters_match_sql(spark):
+    assert_same(registry.op12_ball_tree_clusters(spark, SF), SF, registry.oracle_sql()["op12_ball_tree_clusters"])
+
+
+def test_clusters_of_copies_ties_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "RUN", 50)
+    rng = random.Random(3)
+    blobs = [[rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)] for _ in range(6)]
+    rows = [(k, [c + rng.choice([0, 0, 1 / 1024, -1 / 512]) for c in rng.choice(blobs)]) for k in range(150)]
+    rows += [(k % 7, [1.0, 1.0, 1.0]) for k in range(200)] + [(None, [0.0, 0.0, 0.0]), (3, [1.0, 2.0]), (4, None), (5, [1.0, None, 2.0]), (6, [NAN, 0.0, 0.0]), (7, [INF, 0.0, 0.0]), (8, [])]
+    got = sorted((tuple(r) for r in ball_tree.cluster_vectors(vectors(spark, rows).repartition(5), width=3).collect()), key=repr)
+    assert got == slow_clusters(rows, width=3)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(2, [1.0, -1.0]), (1, [1.0, -1.0]), (None, [0.5, 0.25])], [(k, [float(k % 3) * 2.0**60, 3e38 * (-1) ** k]) for k in range(12)], [(k, [float(k), 2.0**14 * k]) for k in range(40)]])
+def test_clusters_of_few_and_of_huge_vectors(spark, rows):
+    got = sorted((tuple(r) for r in ball_tree.cluster_vectors(vectors(spark, rows), width=2).collect()), key=repr)
+    assert got == slow_clusters(rows, width=2)
+
+
+def test_balls_go_to_a_centroid_as_a_whole():
+    rng = np.random.default_rng(4)
+    blobs = rng.integers(-4000, 4000, (8, 16))
+    points = (blobs[rng.integers(0, 8, 4000)] + rng.integers(-40, 40, (4000, 16))).astype(np.float64)
+    tree = ball_tree.Tree(points)
+    assert sorted(tree.order.tolist()) == list(range(4000)) and (tree.sums[0] == points.sum(axis=0)).all() and tree.squares[0] == (points**2).sum()
+    own = points[tree.order]
+    for a, z, low, high, radius, total in zip(tree.starts, tree.ends, tree.low, tree.high, tree.radii, tree.sums):
+        assert ((own[a:z] - np.floor(total / (z - a))) ** 2).sum(axis=1).max() <= radius**2 and (total == own[a:z].sum(axis=0)).all()
+        assert low < 0 or (tree.starts[low], tree.ends[low], tree.ends[high]) == (a, tree.starts[high], z)
+    schema = ["ids", "wide", "points", "starts", "ends", "low", "high", "radii", "sums", "squares"]
+    row = pa.RecordBatch.from_arrays([pa.array([x]) for x in (list(range(4000)), False, own.astype(np.int32).tobytes(), tree.starts, tree.ends, tree.low, tree.high, tree.radii, tree.sums.tobytes(), tree.squares)], names=schema)
+    one = ball_tree.Run(row, 0, 16)
+    found, looked_at = one.gathered(blobs.tolist())
+    label, far = one.assigned(blobs.tolist())
+    assert looked_at < 400
+    for j, (n, inertia, *sums) in enumerate(found):
+        assert (n, inertia, sums) == ((label == j).sum(), sum(d for d, c in zip(far, label) if c == j), own[label == j].sum(axis=0).tolist())
+
+
+def test_copies_are_one_ball():
+    tree = ball_tree.Tree(np.ones((5000, 4)))
+    assert len(tree.starts) == 1 and tree.radii[0] == 0
+
+
+# Repetition
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def slow_measures(text):
+    w = WORD.findall(text)
+    n, span = len(w), repetition.SPAN
+
+    def longest(i):
+        return max((next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), n) for j in range(n) if j != i), default=0)
+
+    ms = [longest(i) for i in range(n)]
+    union = lambda sized: len({p for i, m in sized for p in range(i, i + m)})
+    occurrences = {}
+    for i in range(n):
+        for size in range(span, ms[i] + 1):
+            occurrences.setdefault(tuple(w[i : i + size]), []).append(i)
+    maximal = [
+        (len(s), len(at), at) for s, at in occurrences.items()
+        if len({w[i - 1] if i else None for i in at}) > 1 and len({w[i + len(s)] if i + len(s) < n else None for i in at}) > 1
+    ]
+    lines = text.split("\n")
+    dup = sum(bool(WORD.search(x)) and x in lines[:k] for k, x in enumerate(lines))
+    base = (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, union((i, 5) for i, m in enumerate(ms) if m >= 5))
+    failed = n < 10 or 100 * base[4] > 20 * n
+    over = union((i, m) for i, m in enumerate(ms) if m >= span)
+    top = max((m for m in ms if m >= span), default=0)
+    return (*base, failed, not failed and 100 * over <= repetition.SHARE * n and top <= repetition.LONGEST, over, top, len(maximal)), sorted(maximal, key=lambda r: (-r[0], r[2]))
+
+
+def repeated_texts(seed, n):
+    rng = random.Random(seed)
+    for _ in range(n):
+        kinds = ["aé", "b", "c", "dddddddddddd", "e#", "ffffffffffff", "g", "h|"][: rng.choice([1, 2, 3, 8])]
+        words = [rng.choice(kinds) for _ in range(rng.randint(0, 50))]
+        text = "".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in words)
+        yield text + (text[: rng.randint(0, len(text))] if rng.random() < 0.5 else "")
+
+
+def test_measures_match_substring_search():
+    texts = ["", " ", "\n\n", "a", *repeated_texts(1, 150), *(" ".join(f"w{k}{j}" for k in range(90)) + " " + " ".join(f"w{k}{j}" for k in range(9)) for j in range(3))]
+    m = repetition.measures(pa.array(texts))
+    rows = zip(m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed(), m.kept(), m.n_covered, m.longest, m.n_repeats)
+    for text, row in zip(texts, rows, strict=True):
+        want, maximal = slow_measures(text)
+        assert tuple(map(int, row)) == tuple(map(int, want)), text
+        assert repetition.maximal_repeats(text) == maximal, text
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    texts = pa.array(list(repeated_texts(2, 20)))
+    plain = repetition.measures(texts)
+    monkeypatch.setattr(repetition, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    for name, values in vars(repetition.measures(texts)).items():
+        assert (values == getattr(plain, name)).all(), name
+
+
+def test_long_repeats_fail_what_the_base_rule_keeps():
+    own = [f"w{k}" for k in range(1000)]
+    clean, quoted, framed = " ".join(own), " ".join([*own, *own[100:140]]), " ".join([*own[:9], *own[:100], *own[:9]])
+    m = repetition.measures(pa.array([clean, quoted, framed]))
+    assert m.base_failed().tolist() == [False, False, True] and m.kept().tolist() == [True, False, False] and m.longest.tolist() == [0, 40, 9]
+    assert repetition.maximal_repeats(quoted) == [(40, 2, [100, 1000])]
+
+
+def test_a_very_long_text():
+    text = "x y " * 60_000
+    m = repetition.measures(pa.array([text, "a b"]))
+    assert (m.n_words[0], m.n_repeat_words[0], m.longest[0], m.n_covered[0]) == (120_000, 120_000, 119_998, 120_000)
+
+
+def test_repetition_query(spark):
+    texts = dict(duck(SF).execute("select doc_id, text from documents").fetchall())
+    got = registry.op13_repetition_rules(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if len(texts[r["doc_id"]]) < 3000:
+            assert tuple(r)[1:] == slow_measures(texts[r["doc_id"]])[0], r["doc_id"]
+
+
+def test_repetition_of_odd_rows(spark):
+    clean = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, None), (1, ""), (None, "a " * 40), (2, clean), (2, clean), (3, "\x00 é b\n" * 3)]
+    docs = spark.createDataFrame([(k, t, True, "x") for k, t in rows], "doc_id long, text string, kept boolean, n_words string")
+    got = sorted((tuple(r) for r in repetition.judge(docs).collect()), key=repr)
+    assert got == sorted(((k, *slow_measures(t or "")[0]) for k, t in rows), key=repr)
+    left = repetition.drop_repetitive(docs)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2, 2]
+    assert repetition.judge(docs.limit(0)).count() == 0

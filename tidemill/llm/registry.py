@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, packing, pieces, pii, telephony, toxicity, url_filter
+from tidemill.llm import ball_tree, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, pieces, pii, repetition, telephony, toxicity, url_filter, whitening
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -98,6 +98,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(k: int = ball_tree.CLUSTERS, rounds: int = ball_tree.ROUNDS) -> str:
+    nearest = lambda z: f"select vec_id, min(far * {k} + c) as best from (select vec_id, c, sum((v.x - z.x) * (v.x - z.x)) as far from v join {z} z using (d) group by vec_id, c) group by vec_id"
+    ctes = [
+        "kept as (select vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)",
+        "v as materialized (select vec_id, generate_subscripts(embedding, 1) as d, cast(floor(1024 * cast(unnest(embedding) as double)) as bigint) as x from kept)",
+        f"first_ as (select vec_id, row_number() over (order by sha256('3:' || vec_id), embedding) - 1 as c from kept qualify c < {k})",
+        "z0 as materialized (select c, d, x from v join first_ using (vec_id))",
+    ]
+    for r in range(1, rounds + 1):
+        ctes.append(f"a{r} as materialized ({nearest(f'z{r - 1}')})")
+        ctes.append(f"s{r} as (select best % {k} as c, d, sum(x) as s, count(*) as n from v join a{r} using (vec_id) group by 1, 2)")
+        ctes.append(f"z{r} as materialized (select c, d, cast(coalesce((s - (s % n + n) % n) // n, x) as bigint) as x from z{r - 1} left join s{r} using (c, d))")
+    ctes.append(f"last as materialized (select vec_id, best % {k} as c, best // {k} as far from ({nearest(f'z{rounds}')}))")
+    return f"""with {', '.join(ctes)}
+select vec_id, cast(c as int) as cluster, cast(far as bigint) as distance, cast(sum(far) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(far) over () as bigint) as inertia, centroid_sha256
+from last join (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from z{rounds} group by c) using (c)"""
+
+
+def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
@@ -110,6 +141,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
+    "op12_ball_tree_clusters": (op12_ball_tree_clusters, _op12_sql()),
+    "op13_repetition_rules": (op13_repetition_rules, None),
 }
 
 
