@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import assert_same, duck
+from pyspark.sql import functions as F
 
 from tidemill.llm import fingerprints, kernels, line_dedup, pieces, pii, registry, telephony
 from tidemill.llm.pieces import Normaliser, Pieces
+from tidemill.llm.session import read_alike
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "\n\n", "a", "  a  b ", "\ta\x00b", "x▁y", "😀é ﷽ é\r\n", "q" * 3000, " " * 500, "ab\n" * 200, None]
@@ -427,3 +429,23 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.fingerprint_pairs(docs_of(spark, ODD).limit(0)).collect() == []
     one = fingerprints.fingerprint_pairs(docs_of(spark, ["a b c d"]).where("doc_id = 0").limit(1)).collect()
     assert one[0]["near_next"] == 1.0
+
+
+def test_fingerprints_of_an_input_that_changes_order(spark):
+    """Rows that come in another order at each read, and rows out of a shuffle: none is lost."""
+
+    def shuffled(frames):
+        for f in frames:
+            yield f.sample(frac=1.0)
+
+    plain = spark.createDataFrame([(k, f"text {k} of {k % 7}") for k in range(1000)], "doc_id long, text string").repartition(6)
+    want = sorted(map(tuple, fingerprints.fingerprint_pairs(plain).collect()))
+    assert len(want) == 1000
+    assert sorted(map(tuple, fingerprints.fingerprint_pairs(plain.mapInPandas(shuffled, plain.schema)).collect())) == want
+    assert sorted(map(tuple, fingerprints.fingerprint_pairs(plain.groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")).collect())) == want
+
+
+def test_what_is_read_alike(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plans = [docs, docs.where("doc_id > 3").select("doc_id", "text"), docs.repartition(3), docs.withColumn("Exchange", docs.text), docs.withColumn("r", F.rand())]
+    assert [read_alike(df) is df for df in plans] == [True, True, False, True, False]

@@ -12,7 +12,9 @@ adding or subtracting its vector. The vector has two parts:
   sums of single documents never wrap.
 
 The fingerprint's string is the number of shingles and the hex of both parts. Null text is empty: no
-paragraph, the zero vector. Two documents without paragraphs have likeness 1.
+paragraph, the zero vector. Two documents without paragraphs have likeness 1. Repeated rows and ids are documents of
+their own, next to each other in the order; null ids come last. Only the id and the text are read, so other columns
+may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.kernels import U, mix, shingles, slices, text_column, word_hashes
-from tidemill.llm.session import partitions
+from tidemill.llm.session import partitions, read_alike
 
 EXACT = 8
 SIGNS = 128
@@ -130,16 +132,17 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Order: doc_id, nulls last (as the largest long), then a hash of the text, then the row's place, so that a
     hot id or a row repeated without end spreads over ranges as well. The order is cut into ranges by a sample of
     SAMPLED keys a range, and each range goes to a partition of its own; its smallest row is also copied
-    to the range before. Text crosses one exchange; the sample and one key a range reach the driver.
+    to the range before. Text crosses one exchange; the sample and one key a range reach the driver. The rows are read
+    three times and must come alike each time: what is no plain scan of files is written first.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.monotonically_increasing_id().alias("tie"), F.col(text).alias("text")
+    rows = read_alike(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).select(
+        F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("tie"), "text"
     )
     keys = rows.select("doc", "version", "tie")
     n = partitions(spark)
     cuts = np.empty(0, "S24")
-    total = docs.count() if n > 1 else 0
+    total = rows.count() if n > 1 else 0
     if total:
         # A share of the rows by their hash: about SAMPLED for each range, whatever the number of tasks.
         share = int(min(1.0, n * SAMPLED / total) * (1 << 32))
@@ -203,17 +206,20 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list[str]] = ([], [])
+        following = 0
         for b in slices(batches, "text", 1 << 20):
             own = np.array(b.column("own").to_pylist(), bool)
             texts, ids = text_column(b).to_pylist(), [None if d == LAST_ID else d for d in b.column("doc").to_pylist()]
-            if held[1]:
-                yield block(*held, texts[0])
             k = int(own.sum())
-            held = ids[:k], texts[:k]
-            if k < len(texts):
-                if k:
+            if not following:
+                if held[1]:
+                    yield block(*held, texts[0])
+                held = ids[:k], texts[:k]
+                if 0 < k < len(texts):
                     yield block(*held, texts[k])
-                return
+            following += len(texts) - k
+        if held[1] and following != 1:
+            raise RuntimeError(f"a range of documents is followed by {following} rows instead of the next one: the input came otherwise when it was read again")
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs, doc_id, text).mapInArrow(run, schema)
