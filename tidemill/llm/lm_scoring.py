@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.kernels import SPACE, U, mix, raw, slices, text_column, word_hashes
-from tidemill.llm.session import cut
+from tidemill.llm.session import cut, read_alike
 
 END, START = U(0x1D8AF066E4C3B2A5), U(0x7A5662C14DE0F93B)
 #: Base of the quantised counts, hash functions of the filter, bits for each event (a share of 1/2 set).
@@ -226,8 +226,8 @@ def _with_contexts(w: Window, words: np.ndarray) -> np.ndarray:
     return np.concatenate([words, np.array([END] if w.before == int(START) else [END, U(w.before)], U)])
 
 
-#: Bytes of a token's and of a bigram's key within its fragment; half of the bigram's bits are its context's.
-TOKEN_KEY, BIGRAM_KEY = 6, 6
+#: Bytes of a token's key, its whole hash, and of a bigram's within its fragment; half of the bigram's bits are its context's.
+TOKEN_KEY, BIGRAM_KEY = 8, 6
 
 
 def _bigram_keys(h: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -456,8 +456,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base_score: sum of log10((c + 1) / (N + V + 1)) with exact counts. score: log10 probability by the filter's model.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if "Exchange" in source._jdf.queryExecution().executedPlan().toString():
-        source = cut(source)
+    source = read_alike(source)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(4, -(-size // TOKEN_FRAGMENT)), max(8, -(-size // BIGRAM_FRAGMENT))
     tasks = min(sum(fragments), TASKS)
