@@ -406,6 +406,8 @@ def test_toxicity_of_odd_rows(spark):
     docs = odd_docs(spark)
     model = toxicity.fit_on(docs, labels)
     assert len(toxicity.score_documents(docs, model).collect()) == len(ODD) + 2
+    assert sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity.fit_and_score(docs, labels).collect()) == sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity.score_documents(docs, model).collect())
+    assert toxicity.fit_and_score(docs.limit(0), labels).collect() == []
     assert toxicity.score_documents(docs.limit(0), model).collect() == []
     seeds_only = toxicity.fit_on(docs, labels.limit(0))
     low, high = toxicity.scores(["a kind word", "you worthless idiot"], seeds_only)
@@ -460,18 +462,36 @@ def test_label_model_without_any_label():
     assert abs(model.table[3, 1, 2] - 0.8) < 0.1 and model.table[3, 0, 2] < 0.06 and abs(model.table[5, 1, 2] - model.table[5, 0, 2]) < 0.05
 
 
-def test_toxicity_fit_of_repeated_ids(spark):
-    """A repeated id counts once with the text of the smallest hash, whatever the partitioning; unlabelled rows are voted on, held-out ones never."""
+def test_toxicity_sample_of_repeated_ids(spark):
+    """A repeated id counts once with the text of the smallest hash, whatever the partitioning; held-out rows never."""
     texts = [f"text {k} of all" for k in range(60)]
     rows = [(k, t, 1) for k, t in enumerate(texts)] + [(1, "another text under one", 0), (None, "no id", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(1, 0), (999, 1), (3, None), (None, 1)], "doc_id long, toxic int")
     got = {r["doc_id"]: (r["text"], r["toxic"]) for r in toxicity.training_rows(docs.repartition(7), labels).collect()}
     assert got == {r["doc_id"]: (r["text"], r["toxic"]) for r in toxicity.training_rows(docs, labels).collect()}
-    fits = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
-    assert sorted(got) == fits and {k for k, (_, y) in got.items() if y is not None} == {k for k in fits if k < 20}
-    assert all(y == k % 2 for k, (_, y) in got.items() if y is not None)
-    assert len(toxicity.training_rows(docs, labels, 5, 7).collect()) == 12
+    assert sorted(got) == [k for k in range(20) if zlib.crc32(str(k).encode()) % 5] and all(y == k % 2 for k, (_, y) in got.items())
+    assert len(toxicity.training_rows(docs, labels, 5).collect()) == 5
+
+
+def test_all_rows_vote(spark):
+    """The patterns of votes cover every row outside the held-out fold, and sums over them are those over rows, on the driver as on the executors."""
+    stems, rng = ["scum", "=awful"], random.Random(4)
+    rows = [(k, " ".join(rng.choice(["scum", "awful", "fine", "IDIOT", "day!!"]) for _ in range(rng.randint(0, 6)))) for k in range(500)] + [(None, "scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    voters = len(toxicity.voters_of(stems))
+    table = toxicity.vote_patterns(toxicity.hits_of(docs.where(toxicity.fits()), stems), voters).cache()
+    fold = [t for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 5]
+    lookup = toxicity.Lookup({s: k for k, s in enumerate(stems)})
+    votes = toxicity.votes_of(np.stack([toxicity.hit_counts(t, lookup) for t in fold]))
+    here, there = toxicity.Tally.of(table, voters), toxicity.Tally.of(table, voters, here=1)
+    assert here.table is None and there.votes is None and here.n.sum() == len(fold) and len(here.n) == len({v.tobytes() for v in votes}) < len(fold)
+    plain, model = toxicity.Tally(votes, np.ones(len(votes))), toxicity.fit_label_model(votes)
+    for tally in (here, there):
+        for now in (None, model):
+            np.testing.assert_allclose(tally.sums(now, None), plain.sums(now, None), atol=1e-9)
+        np.testing.assert_allclose(tally.moments(model), plain.moments(model), atol=1e-9)
+    np.testing.assert_allclose(toxicity.estimated(there, rounds=4).table, toxicity.fit_label_model(votes, rounds=4).table, atol=1e-9)
 
 
 def test_packing(spark, texts):

@@ -4,17 +4,20 @@ Many voters look at a text: one for each stem mined from labelled rows (a word,
 words, much more frequent in toxic texts), one for each seed lexicon, and pattern voters (shouting,
 runs of exclamation marks, masked words, insults aimed at the reader, several different stems, no hit at
 all). A voter says toxic, clean or nothing. A generative label model estimates, by expectation-maximisation
-over labelled and unlabelled texts from the votes alone, each voter's accuracy and the correlations of voters
-given the label; voters that copy each other have one voice together. Known labels only choose the stems: they
-neither start the estimation nor vote. Its posterior labels train a linear (logistic) classifier on the voters'
-counts, which scores texts.
-
-Only the fit is bounded: at most TRAIN_ROWS labelled and UNLABELLED_ROWS other rows, those with the smallest hash
-of doc_id outside the held-out fold. They are read, compared and counted on the executors; the driver receives
-their minimum hashes, the stems that pass, and the hits of the voters. Scoring reads every whole text, and only the
-text. A repeated doc_id counts once in the fit, with its text of the smallest hash; a null one is not fitted on. Null
-or empty text gets the score of a text without any hit. Without labelled rows of both classes the seed lexicons
-decide alone.
+over all texts outside the held-out fold, labelled or not, and from the votes alone, each voter's accuracy and the
+correlations of voters given the label; voters that copy each other have one voice together. Known labels only choose
+the stems: they neither start the estimation nor vote. Its posterior labels train a linear (logistic) classifier on the
+voters' counts, which scores texts.
+
+The estimation covers every row: texts with the same votes are one pattern with a count, and each round sums over the
+patterns, on the executors, or here if they are few (see Tally). Stems are mined from, and the classifier is trained on,
+at most TRAIN_ROWS labelled rows, those with the smallest hash of doc_id outside the held-out fold. They are read, compared
+and counted on the executors; the driver receives their minimum hashes, the stems that pass, and the hits of the voters.
+
+Scoring reads every whole text, and only the text. A repeated doc_id counts once in the sample, with its text of the smallest
+hash, and in the estimation as often as it comes; a null one is scored, not fitted on. Null or empty text gets the score of a
+text without any hit. Without labelled rows of both classes the seed lexicons decide alone. Other columns are not read, so
+they may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +31,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import Forest
 from tidemill.llm.kernels import mix, shingles, slices, text_column, word_hashes
 from tidemill.llm.session import cut
 
-#: Labelled and other rows used for the fit, and the shortest stem of several words.
-TRAIN_ROWS, UNLABELLED_ROWS, STEM_LETTERS = 6_000, 3_000, 4
+#: Labelled rows that stems are mined from and the classifier is trained on, and the shortest stem of several words.
+TRAIN_ROWS, STEM_LETTERS = 6_000, 4
 #: Stems must have this log-odds and this log-likelihood ratio between toxic and clean texts (six chances in 100,000; chosen by cross-validation on training rows).
 LOG_ODDS, LEAST_RATIO = 2.5, 16.0
 
@@ -228,42 +231,98 @@ def majority(votes: np.ndarray) -> np.ndarray:
     return np.where(toxic > 0, 1 - 0.5 ** np.minimum(toxic, 5.0), 0.02)
 
 
-def fit_label_model(votes: np.ndarray, rounds: int = 40, strong: float = 0.7) -> LabelModel:
+def vote_sums(votes: np.ndarray, n: np.ndarray, now: LabelModel | None, before: LabelModel | None) -> np.ndarray:
+    """Over patterns of votes that come n times: for clean, then toxic, the weight of the label and of each voter's three votes under it, as the model now says (None: the start); last the largest change since the model before."""
+    p = majority(votes) if now is None else now.posterior(votes)
+    change = 0.0 if now is None or not len(p) else np.abs(p - (majority(votes) if before is None else before.posterior(votes))).max()
+    out = []
+    for w in ((1 - p) * n, p * n):
+        out += [[w.sum()], *((w @ (votes == v)) for v in (-1, 0, 1))]
+    return np.concatenate([*out, [change]])
+
+
+def vote_moments(votes: np.ndarray, n: np.ndarray, now: LabelModel) -> np.ndarray:
+    """For toxic, then clean: weight, weighted sums of the votes and of their products."""
+    p, x = now.posterior(votes), votes.astype(float)
+    return np.concatenate([part for w in (p * n, (1 - p) * n) for part in ([w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel())])
+
+
+#: Patterns up to which they are summed up on the driver.
+HERE = 20_000
+
+
+class Tally:
+    """Distinct patterns of votes with their counts: arrays here, or a table of (votes binary, n long) on the executors."""
+
+    def __init__(self, votes: np.ndarray | None = None, n: np.ndarray | None = None, table: DataFrame | None = None, voters: int = 0) -> None:
+        self.votes, self.n, self.table = votes, n, table
+        self.voters = voters or votes.shape[1]
+
+    @classmethod
+    def of(cls, table: DataFrame, voters: int, here: int = HERE) -> Tally:
+        if table.count() > here:
+            return cls(table=table, voters=voters)
+        rows = table.collect()
+        return cls(np.array([np.frombuffer(r["votes"], np.int8) for r in rows], np.int8).reshape(-1, voters), np.array([r["n"] for r in rows], float), voters=voters)
+
+    def _added(self, sums) -> np.ndarray:
+        """Sums of sums(votes, n) over all patterns; of the last one the largest."""
+        if self.table is None:
+            return sums(self.votes, self.n)
+        voters = self.voters
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                votes = np.array([np.frombuffer(v, np.int8) for v in b.column("votes").to_pylist()], np.int8).reshape(-1, voters)
+                found = sums(votes, b.column("n").to_numpy().astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["at", "v"])
+
+        rows = sorted(self.table.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v"), F.max("v").alias("most")).collect(), key=lambda r: r["at"])
+        return np.array([r["v"] for r in rows[:-1]] + [r["most"] for r in rows[-1:]])
+
+    def sums(self, now: LabelModel | None, before: LabelModel | None) -> np.ndarray:
+        return self._added(lambda votes, n: vote_sums(votes, n, now, before))
+
+    def moments(self, now: LabelModel) -> np.ndarray:
+        return self._added(lambda votes, n: np.append(vote_moments(votes, n, now), 0.0))[:-1]
+
+
+def estimated(tally: Tally, rounds: int = 40, strong: float = 0.7) -> LabelModel:
     """EM on the votes alone. A voter is never worse than chance: what it says toxic of is at least as likely toxic.
 
     First each voter stands alone; then those whose votes correlate by `strong` or more given the label, as far as
     it is known by now, form groups, and the estimation goes on.
     """
-    p, m = majority(votes), votes.shape[1]
-    is_ = {v: (votes == v).astype(np.float32) for v in (-1, 0, 1)}
+    m = tally.voters
     model, groups, shared = None, [[k] for k in range(m)], [0.0] * m
+    sums = tally.sums(None, None)
     for phase in (0, 1):
         if phase:
-            groups, shared = _groups(votes, p, strong)
+            groups, shared = _groups(tally.moments(model), m, strong)
         for _ in range(rounds // 2):
-            table = np.empty((m, 2, 3))
-            for y, w in ((0, 1 - p), (1, p)):
-                for v in (-1, 0, 1):
-                    table[:, y, v + 1] = (w @ is_[v] + 0.5) / (w.sum() + 1.5)
+            table, weights = np.empty((m, 2, 3)), sums[:-1].reshape(2, 1 + 3 * m)
+            for y in (0, 1):
+                table[:, y, :] = (weights[y, 1:].reshape(3, m).T + 0.5) / (weights[y, 0] + 1.5)
             table[:, 1, 2] = np.maximum(table[:, 1, 2], table[:, 0, 2])
             table[:, 0, 0] = np.maximum(table[:, 0, 0], table[:, 1, 0])
-            model = LabelModel(table, float(np.clip(p.mean(), 0.01, 0.99)), groups, shared)
-            new = model.posterior(votes)
-            still = np.abs(new - p).max() < 1e-4
-            p = new
-            if still:
+            prior = weights[1, 0] / max(weights[:, 0].sum(), 1e-9)
+            before, model = model, LabelModel(table, float(np.clip(prior, 0.01, 0.99)), groups, shared)
+            sums = tally.sums(model, before)
+            if sums[-1] < 1e-4:
                 break
     return model
 
 
-def _groups(votes: np.ndarray, p: np.ndarray, strong: float) -> tuple[list[list[int]], list[float]]:
+def fit_label_model(votes: np.ndarray, rounds: int = 40, strong: float = 0.7) -> LabelModel:
+    """estimated() of rows of votes."""
+    return estimated(Tally(votes, np.ones(len(votes))), rounds, strong)
+
+
+def _groups(moments: np.ndarray, m: int, strong: float) -> tuple[list[list[int]], list[float]]:
     """(connected groups of voters by correlation within the labels, weighted by the posterior; mean correlation of each group)."""
-    x = votes.astype(float)
-    cov = np.zeros((x.shape[1],) * 2)
-    for w in (p, 1 - p):
-        total = max(w.sum(), 1e-9)
-        d = x - (w @ x) / total
-        cov += (d * w[:, None]).T @ d
+    cov = np.zeros((m, m))
+    for part in moments.reshape(2, -1):
+        cov += part[1 + m :].reshape(m, m) - np.outer(part[1 : 1 + m], part[1 : 1 + m]) / max(part[0], 1e-9)
     size = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     near = np.abs(cov / np.outer(size, size))
     left, groups, shared = set(range(len(near))), [], []
@@ -317,34 +376,40 @@ def seeds_only(names: list[str]) -> Model:
     return Model({}, [4.0 if n.startswith("seed:") else 0.0 for n in names], -3.0, {}, [])
 
 
-def fit(stems: list[str], counts: np.ndarray) -> Model:
-    """The model of the voters' hits on the training texts, one row a text."""
+def fit(stems: list[str], counts: np.ndarray, tally: Tally) -> Model:
+    """The model of the voters' patterns, with the classifier trained on the hits of the sample's texts, one row a text."""
     names = voters_of(stems)
-    votes = votes_of(counts)
-    model = fit_label_model(votes)
+    model = estimated(tally)
     merged = [own for g in model.groups if len(own := [k for k in g if k < len(names) - len(PATTERNS)]) > 1]
-    weights, bias = fit_linear(_design(counts, merged), model.posterior(votes))
+    weights, bias = fit_linear(_design(counts, merged), model.posterior(votes_of(counts)))
     right = {name: float(model.table[k, 1, 2] / (model.table[k, 1, 2] + model.table[k, 0, 2])) for k, name in enumerate(names)}
     return Model({s: k for k, s in enumerate(stems)}, weights.tolist(), bias, right, merged)
 
 
+def scores_of(counts: np.ndarray, model: Model) -> np.ndarray:
+    """The scores of rows of hit counts."""
+    return 1 / (1 + np.exp(-np.clip(_design(counts, model.correlated) @ np.array(model.weights) + model.bias, -30, 30)))
+
+
 def scores(texts: list[str], model: Model, lookup: Lookup | None = None) -> np.ndarray:
     if not texts:
         return np.empty(0)
     lookup = Lookup(model.stems) if lookup is None else lookup
-    counts = np.stack([hit_counts(t, lookup) for t in texts])
-    return 1 / (1 + np.exp(-np.clip(_design(counts, model.correlated) @ np.array(model.weights) + model.bias, -30, 30)))
+    return scores_of(np.stack([hit_counts(t, lookup) for t in texts]), model)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, others: int = UNLABELLED_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, toxic): at most `rows` labelled documents and `others` without a label (toxic null), of those whose crc32(doc_id as text) mod 5 is not 0 the ones of the smallest id hash, so a fixed choice."""
-    fits = (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("doc_id").isNotNull()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(fits)
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    known = labels.where(F.col("toxic").isin(0, 1)).where(fits).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def fits(doc_id: str = "doc_id") -> Column:
+    """Whether a row is outside the held-out fold: crc32(doc_id as text) mod 5 is not 0. Null ids are not fitted on."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, toxic): at most `rows` labelled documents, of those outside the held-out fold the ones of the smallest id hash, so a fixed choice."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(fits())
+    known = labels.where(F.col("toxic").isin(0, 1)).where(fits()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # Of documents only: labels of rows that are not there would take the others' place.
-    ids = texts.select("doc_id").join(known, "doc_id", "left").distinct()
-    chosen = first(ids.where("toxic is not null"), rows).unionAll(first(ids.where("toxic is null"), others))
+    ids = texts.select("doc_id").join(known, "doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best")).select("doc_id", "best.text", "toxic")
 
 
@@ -364,9 +429,8 @@ def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mined_stems(sample: DataFrame) -> list[str]:
-    """Stems of the labelled rows of sample; of near copies with one label the text of the smallest id counts. None without both classes."""
-    known = sample.where("toxic is not null")
-    marks = sorted(known.mapInArrow(_marked, "doc_id long, toxic int, mark binary").collect(), key=lambda r: r["doc_id"])
+    """Stems of the rows of sample; of near copies with one label the text of the smallest id counts. None without both classes."""
+    marks = sorted(sample.mapInArrow(_marked, "doc_id long, toxic int, mark binary").collect(), key=lambda r: r["doc_id"])
     groups = near_copy_groups([bytes(r["mark"]) for r in marks])
     first: dict[tuple[int, int], int] = {}
     for r, g in zip(marks, groups, strict=True):
@@ -376,37 +440,87 @@ def mined_stems(sample: DataFrame) -> list[str]:
     if not n_toxic or not n_clean:
         return []
     chosen = sample.sparkSession.createDataFrame([(d,) for d in first.values()], "doc_id long")
-    counts = known.join(F.broadcast(chosen), "doc_id").mapInArrow(_stem_rows, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.join(F.broadcast(chosen), "doc_id").mapInArrow(_stem_rows, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     enough = counts.where(F.ln((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) >= LOG_ODDS + float(np.log((n_toxic + 1) / (n_clean + 1))) - 1e-9)
     return chosen_stems([(r["stem"], r["toxic"], r["clean"]) for r in enough.collect()], n_toxic, n_clean)
 
 
-def _hits(stems: list[str]):
-    """Hits of each voter on each text, sparse."""
+def hits_of(rows: DataFrame, stems: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep and the hits of each voter on `text`, sparse: (at array<int>, n array<double>)."""
+    source = rows.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup({s: k for k, s in enumerate(stems)})
-        for b in slices(batches):
-            rows = [hit_counts(t, lookup) for t in text_column(b).to_pylist()]
-            at = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([k.tolist() for k in at], pa.list_(pa.int32())), pa.array([r[k].tolist() for r, k in zip(rows, at, strict=True)], pa.list_(pa.float64()))], names=["doc_id", "at", "n"]
-            )
+        for b in slices(batches, "__text"):
+            found = [hit_counts(t, lookup) for t in text_column(b, "__text").to_pylist()]
+            at = [np.flatnonzero(r) for r in found]
+            lists = (pa.array([k.tolist() for k in at], pa.list_(pa.int32())), pa.array([r[k].tolist() for r, k in zip(found, at, strict=True)], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *lists], names=[*keep, "at", "n"])
 
-    return run
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"{fields}, at array<int>, n array<double>")
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, others: int = UNLABELLED_ROWS) -> Model:
-    sample = cut(training_rows(docs, labels, rows, others))
-    stems = mined_stems(sample)
+#: Rows of hits made dense at once.
+_DENSE = 2048
+
+
+def _dense(hits: pa.RecordBatch, voters: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(slice, its hits as rows of numbers)."""
+    for k in range(0, hits.num_rows, _DENSE):
+        b = hits.slice(k, _DENSE)
+        counts = np.zeros((b.num_rows, voters))
+        at, n = b.column("at"), b.column("n")
+        row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+        counts[row, at.flatten().to_numpy(zero_copy_only=False)] = n.flatten().to_numpy(zero_copy_only=False)
+        yield b, counts
+
+
+def vote_patterns(hits: DataFrame, voters: int) -> DataFrame:
+    """(votes binary, n long): the distinct patterns of votes, a byte a voter, and how many rows have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, counts in _dense(batch, voters):
+                found = Counter(v.tobytes() for v in votes_of(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["votes", "n"])
+
+    return hits.select("at", "n").mapInArrow(run, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+
+
+def _fitted(sample: DataFrame, stems: list[str], hits: DataFrame) -> Model:
+    """The model of the sample and of the hits of all texts that are fitted on."""
     names = voters_of(stems)
     if not stems:
         return seeds_only(names)
-    found = sorted(sample.mapInArrow(_hits(stems), "doc_id long, at array<int>, n array<double>").collect(), key=lambda r: r["doc_id"])
+    found = sorted(hits_of(sample, stems).collect(), key=lambda r: r["doc_id"])
     counts = np.zeros((len(found), len(names)))
     for k, r in enumerate(found):
         counts[k, r["at"]] = r["n"]
-    return fit(stems, counts)
+    return fit(stems, counts, Tally.of(cut(vote_patterns(hits, len(names))), len(names)))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """The model; reads all texts once for the votes."""
+    sample = cut(training_rows(docs, labels, rows))
+    stems = mined_stems(sample)
+    return _fitted(sample, stems, hits_of(docs.select("doc_id", "text").where(fits()), stems))
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, held_out, score double): the model fitted on docs and the scores of all its rows, by one reading of the texts for both; the hits are written between."""
+    sample = cut(training_rows(docs, labels, rows))
+    stems = mined_stems(sample)
+    hits = cut(hits_of(docs.select("doc_id", "text", (~fits() & F.col("doc_id").isNotNull()).alias("held_out")), stems, ("doc_id", "held_out")))
+    model = _fitted(sample, stems, hits.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    voters = len(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, counts in _dense(batch, voters):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores_of(counts, model))], names=["doc_id", "held_out", "score"])
+
+    return hits.mapInArrow(run, f"doc_id {hits.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
