@@ -615,3 +615,19 @@ def test_shouting_is_a_voter_of_its_own():
     counts = np.stack([toxicity.hit_counts(t, lookup) for t in texts])
     assert counts[:, at].tolist() == [1, 1, 1 / 3, 0, 0, 0]
     assert toxicity.votes_of(counts)[:, at].tolist() == [1, 1, 1, 0, 0, 0]
+
+
+def test_pieces_of_a_bin_come_with_their_text(spark):
+    rng = random.Random(6)
+    texts = ["", " \n", None, "é" * 10, " ".join("ab" for _ in range(10)), *("".join(rng.choice(["x", "yé", "z ", "\n"]) for _ in range(rng.randint(0, 80))) for _ in range(40))]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id " * 9), (4, texts[4]), (4, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, lengths=(2, 5), with_text=True).collect()
+    assert sorted(map(repr, (tuple(r)[:-1] for r in got))) == sorted(map(repr, map(tuple, packing.pack_documents(docs, lengths=(2, 5)).collect())))
+    for r in got:
+        assert len(r["text"].split()) == r["n_tokens"] - (r["n_tokens"] < 5 or r["text"] == "" or len(r["text"].split()) < 5)
+    whole = {}
+    for r in sorted(got, key=lambda r: r["piece"]):
+        whole.setdefault(r["doc_id"], {})[r["piece"]] = r["text"]
+    assert all("".join(whole[d].values()) == (t or "") for d, t in rows)
+    assert packing.stretches("a b  c d", 2) == ["a b  ", "c d", ""] and packing.stretches("", 2) == [""]

@@ -17,6 +17,9 @@ not on how they are partitioned.
 
 Null and empty texts have one token (the end). Null ids and repeated rows are packed like any others. A long
 text is counted in chunks and never copied. Other columns are ignored; an empty table gives no rows.
+
+With with_text, each piece comes with its stretch of the text, from its first word (the first piece: from the beginning) up to the next
+piece's first word, so the pieces of a document, joined, are its text, and those of a bin, in order of bin_offset, its sequence.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.kernels import slices, text_column, word_counts
+from tidemill.llm.kernels import raw, slices, text_column, word_counts, word_spans
 from tidemill.llm.session import cut
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -104,10 +107,32 @@ def _pieces(largest: int):
     return run
 
 
+def stretches(text: str, largest: int) -> list[str]:
+    """The text cut before each largest-th word; the last stretch may have no word."""
+    data, offsets = raw(pa.array([text], pa.large_string()))
+    starts, _ = word_spans(data, offsets)
+    pieces = len(starts) // largest + 1
+    at = [0, *(int(starts[k * largest]) if k * largest < len(starts) else len(data) for k in range(1, pieces)), len(data)]
+    return [data[a:z].tobytes().decode() for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
+def _piece_texts(largest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            few = word_counts(text_column(b)) < largest
+            for doc, version, text, whole in zip(b.column("doc_id").to_pylist(), b.column("version").to_pylist(), text_column(b).to_pylist(), few.tolist(), strict=True):
+                parts = [text] if whole else stretches(text, largest)
+                columns = [pa.array([doc] * len(parts), pa.int64()), pa.array([version] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "piece", "text"])
+
+    return run
+
+
 def pack_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None, shard_pieces: int = SHARD_PIECES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, costs: Sequence[float] | None = None, shard_pieces: int = SHARD_PIECES,
+    with_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int), one row a piece.
+    """(doc_id, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int), one row a piece; with_text: and its text.
 
     Tokens are words and one end. bin_id is `shard-number`; pieces of a bin lie side by side from offset 0.
     """
@@ -136,6 +161,14 @@ def pack_documents(
         shard = table.column("shard")[0].as_py()
         start = table.column("piece").to_numpy().astype(np.int64) * largest
         new = {"bin_id": pa.array([f"{shard}-{b}" for b in bins]), "bin_length": pa.array([final[b] for b in bins], pa.int32()), "bin_offset": pa.array(offsets, pa.int32())}
-        return pa.table({"doc_id": table.column("doc_id"), "piece": table.column("piece"), "start_token": pa.array(start), "n_tokens": table.column("n_tokens")} | new)
-
-    return dealt.groupBy("shard").applyInArrow(pack, "doc_id long, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int")
+        mark = {"version": table.column("version")} if with_text else {}
+        return pa.table({"doc_id": table.column("doc_id"), "piece": table.column("piece"), "start_token": pa.array(start), "n_tokens": table.column("n_tokens")} | new | mark)
+
+    mark = ", version long" if with_text else ""
+    packed = dealt.groupBy("shard").applyInArrow(pack, f"doc_id long, piece int, start_token long, n_tokens int, bin_id string, bin_length int, bin_offset int{mark}")
+    if not with_text:
+        return packed
+    # The text of alike rows once; placements are written, so that packing is not repeated for the join.
+    texts = source.mapInArrow(_piece_texts(largest), "doc_id long, version long, piece int, text string").dropDuplicates(["doc_id", "version", "piece"])
+    both = (F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("p.version") == F.col("t.version")) & (F.col("p.piece") == F.col("t.piece"))
+    return cut(packed).alias("p").join(texts.alias("t"), both).select("p.*", "t.text").drop("version")
