@@ -3,11 +3,15 @@
 The edges are written once to the shared folder, dealt by src; an iteration joins them with the ranks that the one
 before gave to pages with in-links, and sums the shares by dst with map-side combine. So a plan has one join and one
 exchange of sums an iteration, and is cut by a checkpoint every CUT_EVERY iterations.
+
+page_rank_converged runs to convergence instead: only pages whose rank has changed by more than a bound since they last
+sent something send the change on, and the edges of a hub are dealt in parts.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +60,53 @@ def page_rank_textbook(pages: DataFrame, edges: DataFrame, n_pages: int, iterati
     without = F.lit(base / n_pages)
     found = _iterated(pages, edges, 1.0 / n_pages, without, lambda c: c, n_pages, iterations, damping, base)
     return pages.select("page").join(found, F.col("page") == F.col("dst"), "left").select("page", F.coalesce("rank", without).alias("rank"))
+
+
+#: Edges of a page that one task gets; a page with more has them dealt in parts.
+HUB_EDGES = 200_000
+
+
+def page_rank_converged(
+    pages: DataFrame, edges: DataFrame, n_pages: int, bound: float, damping: float = 0.85, base: float = 0.15, textbook: bool = True, max_rounds: int = 1000,
+    hub_edges: int = HUB_EDGES, progress: Callable[[int, int, int], None] | None = None,
+) -> DataFrame:
+    """(page, rank) at the fixpoint of page_rank_textbook (of page_rank, unless textbook), up to what pages have not sent.
+
+    Each page has its rank and a residual, what the rank has gained since it was last sent on. In a round the pages whose
+    residual exceeds bound send it, damped and shared by their out-links, and start again from 0; what arrives adds to rank and residual,
+    all other ranks are carried on as they are. The loop ends when no page sends, or after max_rounds. Doubles throughout; a
+    rank is short of the fixpoint by bound / (1 - damping) for each page that can reach it at most. progress is called with
+    the round and the pages and edges that send in it.
+
+    pages: (page), without repetition. Edges from or to what is not a page are ignored. Edges are written once, dealt by
+    source and part of it, so a hub's are in several tasks, to each of which the hub's residual is sent. A round joins the
+    senders with the edges, sums by target with map-side combine, and writes the pages' state.
+    """
+    ids = pages.select("page")
+    known = edges.join(ids.select(F.col("page").alias("src")), "src", "left_semi").join(ids.select(F.col("page").alias("dst")), "dst", "left_semi")
+    spread = known.groupBy("src").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("parts"), F.count("*").alias("links"))
+    # Within a hub, edges go to parts by their target.
+    dealt = known.join(spread, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", "out_degree")
+    links = cut(dealt.repartition("src", "part"))
+    given = F.lit(base / n_pages)
+    if not textbook:
+        into = known.select(F.col("dst").alias("page")).distinct().withColumn("linked", F.lit(True))
+        ids = ids.join(into, "page", "left")
+        given = F.when(F.col("linked"), F.lit(base / n_pages)).otherwise(F.lit(1.0 / n_pages))
+    state = ids.join(spread.withColumnRenamed("src", "page"), "page", "left").select(
+        "page", given.alias("rank"), given.alias("residual"), F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("links", F.lit(0)).alias("links"), *([] if textbook else ["linked"])
+    )
+    sends = (F.abs("residual") > bound) & (F.col("parts") > 0)
+    state = cut(state)
+    for k in range(max_rounds):
+        senders, messages = state.where(sends).agg(F.count("*"), F.coalesce(F.sum("links"), F.lit(0))).first()
+        if not senders:
+            break
+        if progress:
+            progress(k + 1, senders, messages)
+        sent = state.where(sends).select(F.col("page").alias("src"), "residual", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        got = links.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.lit(damping) * F.col("residual") / F.col("out_degree")).alias("got"))
+        new = F.coalesce("got", F.lit(0.0))
+        left = F.when(sends, F.lit(0.0)).otherwise(F.col("residual"))
+        state = cut(state.join(got, F.col("page") == F.col("to"), "left").select("page", (F.col("rank") + new).alias("rank"), (left + new).alias("residual"), *state.columns[3:]))
+    return state.select("page", "rank") if textbook else state.where("linked").select("page", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.spread import estimated_bytes
@@ -37,6 +37,53 @@ def left_join(fact: DataFrame, dim: DataFrame, key: str, strategy: str = "broadc
     return fact.join(one.hint("shuffle_hash" if strategy == "hash" else "merge"), key, "left")
 
 
+#: Fact rows of a key that one task gets before the key is split, and most keys that are split.
+PART_ROWS, MOST_SPLIT = 1_000_000, 10_000
+
+
+def split_keys(facts: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame | None:
+    """(__key, __parts): the keys of more fact rows than a task should get, null among them, and into how many parts they are split; None without any.
+
+    Measured by a count of the key column. A key counts as hot above part_rows and above 1 / MOST_SPLIT of all
+    rows, so the table has at most MOST_SPLIT rows, whatever the input.
+    """
+    limit = max(part_rows, facts.count() // MOST_SPLIT)
+    counts = facts.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot = counts.select("__key", F.ceil(F.col("n") / limit).cast("int").alias("__parts")).collect()
+    return facts.sparkSession.createDataFrame(hot, f"__key {facts.schema[key].dataType.simpleString()}, __parts int") if hot else None
+
+
+def carried_join(rows: DataFrame, key: str, is_fact: Column, order: str, names: tuple[str, ...], part_rows: int = PART_ROWS) -> DataFrame:
+    """The fact rows of a union of facts and dimension rows, with the columns `names` of the last dimension row (by order, then by names) of their key; null without one.
+
+    Both sides cross one exchange, dealt by key and part, and are sorted by (key, part, dimension first, order); a
+    window carries the last dimension row forward over the facts, which stream behind it. Facts of a hot key (see split_keys) are dealt
+    over its parts, and its dimension rows are repeated to each. A null key joins nothing.
+    """
+    kept = rows.withColumn("__fact", is_fact).where(F.col("__fact") | F.col(key).isNotNull())
+    hot = split_keys(kept.where("__fact").select(key), key, part_rows)
+    parts = F.lit(1)
+    if hot is not None:
+        kept = kept.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+        parts = F.coalesce("__parts", F.lit(1))
+    kept = kept.withColumn("__row", F.monotonically_increasing_id())
+    dealt = kept.withColumn("__part", F.explode(F.when(F.col("__fact"), F.array(F.pmod("__row", parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))))
+    before = Window.partitionBy(key, "__part").orderBy("__fact", order, *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(~F.col("__fact"), F.struct(*names)), ignorenulls=True).over(before)
+    found = dealt.withColumn("__last", F.when(F.col(key).isNotNull(), last)).where("__fact")
+    return found.select(*(F.col("__last")[c].alias(c) if c in names else F.col(c) for c in rows.columns))
+
+
+def tagged_join(fact: DataFrame, dim: DataFrame, key: str, order: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """left_join's rows by carried_join: one exchange for both sides, no aggregate of the dimension, and hot keys in several tasks. order: a column of dim, not in the result."""
+    if clash := (set(fact.columns) & set(dim.columns)) - {key}:
+        raise ValueError(f"columns of both sides: {sorted(clash)}; rename them first")
+    names = tuple(c for c in dim.columns if c not in (key, order))
+    ordered = dim if order else dim.withColumn("__order", F.lit(0))
+    both = fact.withColumn("__tag", F.lit(True)).unionByName(ordered.withColumn("__tag", F.lit(False)), allowMissingColumns=True)
+    return carried_join(both, key, F.col("__tag"), order or "__order", names, part_rows).select(*fact.columns, *names)
+
+
 def rendered(price: Column, name: Column, separator: str, missing: str) -> Column:
     """`price<separator>name`, with `missing` where the name is null."""
     return F.concat(price.cast("string"), F.lit(separator), F.coalesce(name, F.lit(missing)))

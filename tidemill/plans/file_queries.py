@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.folders import forget, new_folder, settled
 from tidemill.operators import cluster, graph, joins, matrix, text, topk
-from tidemill.plans.reference_queries import _ASSIGN, _CELLS, _CENTRES, _MULTIPLY, Query, _cells, _rounded, table
+from tidemill.plans.reference_queries import _ASSIGN, _CELLS, _CENTRES, _FOLLOW, _MULTIPLY, Query, _cells, _graph, _rounded, table
 from tidemill.sources import sinks
 from tidemill.sources import text as sources
 
@@ -32,9 +32,13 @@ def _line(delimiter: str, *columns: Column | str) -> Column:
 # Lines of documents, one file a source; the texts' own line ends make further lines.
 
 
+def _document_lines(spark, sf_dir):
+    name = F.concat(F.col("lang"), F.lit("-"), F.col("doc_id") % 5, F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select(name.alias("file"), F.col("doc_id").alias("order"), F.col("text").alias("value"))
+
+
 def _texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null and text <> ''")
-    return _files(docs.select(F.concat(F.col("lang"), F.lit("-"), F.col("doc_id") % 5, F.lit(".txt")).alias("file"), F.col("doc_id").alias("order"), F.col("text").alias("value")), "texts")
+    return _files(_document_lines(spark, sf_dir), "texts")
 
 
 def _text_lines(spark, sf_dir):
@@ -52,11 +56,18 @@ def _text_inverted_index(spark, sf_dir):
     return text.listed(text.postings_of_lines(lines))
 
 
-_TEXT_FILES = """files as (select lang || '-' || (doc_id % 5) || '.txt' as file, doc_id, text || chr(10) as text from documents where text is not null and text <> ''),
+_TEXT_FILES = """files as (select lang || '-' || (doc_id % 5) || '.txt' as file, doc_id, coalesce(text, '') || chr(10) as text from documents),
 rows_ as (select file, doc_id, regexp_replace(text, chr(10) || '$', '') as text,
   coalesce(sum(strlen(text)) over (partition by file order by doc_id rows between unbounded preceding and 1 preceding), 0) as base from files),
 parts as (select file, doc_id, base, generate_subscripts(ls, 1) as k, unnest(ls) as value from (select file, doc_id, base, string_split(text, chr(10)) as ls from rows_)),
 lines as (select file, value, cast(base + coalesce(sum(strlen(value) + 1) over (partition by file, doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as start from parts)"""
+
+
+def _text_line_places(spark, sf_dir):
+    """The byte of its file at which the sink puts each document."""
+    return settled(sinks.placed_lines(_document_lines(spark, sf_dir)).select("file", F.col("order").alias("doc_id"), "offset"))
+
+
 _TEXT_POSTINGS = """toks as (select file, start, generate_subscripts(ts, 1) as k, unnest(ts) as word
   from (select file, start, list_filter(regexp_split_to_array(value, '[ \\t\\r\\f]+'), lambda t: t <> '') as ts from lines)),
 posts as (select word, file, start + coalesce(sum(length(word) + 1) over (partition by file, start order by k rows between unbounded preceding and 1 preceding), 0) as pos from toks)"""
@@ -108,30 +119,44 @@ def _text_join(strategy: str, separator: str, missing: str) -> Query:
     return run
 
 
+# The same from one scan of a mixed folder, where files that are neither facts nor dimension lie as well.
+
+
+def _text_join_tagged(spark, sf_dir):
+    line = lambda name, at, order, *columns: table(spark, sf_dir, name).select(F.lit(at).alias("file"), F.col(order).alias("order"), _line("|", *columns).alias("value"))
+    facts, dims = line("customer", "fileA.txt", "c_custkey", "c_custkey", "c_acctbal", "c_nationkey"), line("supplier", "fileB.txt", "s_suppkey", "s_nationkey", "s_name")
+    folder = _files(facts.unionAll(dims).unionAll(line("orders", "notes.txt", "o_orderkey", "o_orderkey")), "mixed")
+    rows = sources.tagged_records(sources.read_tagged(spark, folder, [sources.Named("fact", "fileA"), sources.Named("dimension", "fileB")]))
+    joined = joins.carried_join(rows, "category", F.col("tag") == "fact", "line", ("category_name",))
+    return settled(joined.select(F.concat_ws("\t", "id", joins.rendered(F.col("price"), F.col("category_name"), " ", "")).alias("value")), folder)
+
+
 def _text_join_sql(separator: str, missing: str) -> str:
     return f"""select c_custkey || chr(9) || c_acctbal || {separator} || coalesce(name, '{missing}') as value
 from customer left join (select s_nationkey, arg_max(s_name, s_suppkey) as name from supplier group by s_nationkey) on c_nationkey = s_nationkey"""
 
 
-# Adjacency: the parts of an order, in order of their number, follow its first; points: a seventh line of an order lacks y.
+# Adjacency: a line for each part with those that follow it in an order; points: a seventh line of an order lacks y.
 
 
 def _text_page_rank(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("targets"))
+    pairs = _graph(spark, sf_dir)[1].groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
     lines = pairs.select(F.lit("graph.txt").alias("file"), F.col("src").alias("order"), _line(" ", "src", F.array_join("targets", "  ")).alias("value"))
     folder = _files(lines, "graph")
     edges = settled(sources.adjacency(sources.read_lines(spark, folder)), folder)
-    pages = edges.select(F.col("src").alias("page")).unionAll(edges.select("dst")).distinct()
-    return graph.page_rank(pages, edges, n_pages=100).select("page", F.round("rank", 9).alias("rank"))
+    pages = settled(edges.select(F.col("src").alias("page")).unionAll(edges.select("dst")).distinct())
+    return graph.page_rank(pages, edges, n_pages=pages.count()).select("page", F.round("rank", 9).alias("rank"))
 
 
-_TEXT_EDGES = "edges as (select src, dst, count(*) over (partition by src) as deg from (select distinct l_suppkey as src, l_linenumber as dst from lineitem))"
+_TEXT_EDGES = f"""{_FOLLOW},
+edges as (select src, dst, count(*) over (partition by src) as deg from pairs),
+pages as (select src as page from pairs union select dst from pairs), size as (select cast(count(*) as double) as n from pages)"""
 
 
 def _text_page_rank_sql() -> str:
-    ctes = [_TEXT_EDGES, "r0 as (select distinct page, cast(cast(0.01::double as float) as double) as rank from (select src as page from edges union all select dst from edges))"]
+    ctes = [_TEXT_EDGES, "r0 as (select page, cast(cast(1.0::double / n as float) as double) as rank from pages, size)"]
     for k in range(1, 4):
-        ctes.append(f"in{k} as (select dst, 0.15::double / 100 + 0.85::double * sum(rank / deg) as rank from edges join r{k - 1} on src = page group by dst)")
+        ctes.append(f"in{k} as (select dst, 0.15::double / any_value(n) + 0.85::double * sum(rank / deg) as rank from edges join r{k - 1} on src = page, size group by dst)")
         ctes.append(f"r{k} as (select r.page, coalesce(cast(cast(i.rank as float) as double), r.rank) as rank from r{k - 1} r left join in{k} i on r.page = i.dst)")
     return f"with {', '.join(ctes)} select cast(dst as int) as page, round(rank, 9) as rank from in3"
 
@@ -155,6 +180,15 @@ def _text_matrix_multiply(spark, sf_dir):
     return settled(matrix.matrix_multiply(*(sources.cells(sources.read_lines(spark, f"{folder}/file=matrix_{k}.txt")) for k in "ab")), folder)
 
 
+def _text_matrix_tagged(spark, sf_dir):
+    """Both matrices from one mixed folder by their files' exact names; a third file lies there too."""
+    a = _cells(spark, sf_dir)
+    line = lambda i, j, name: a.select(F.lit(name).alias("file"), F.struct(i, j).alias("order"), _line(" ", i, j, "v").alias("value"))
+    folder = _files(line("j", "i", "matrix_a.txt").unionAll(line("i", "j", "matrix_b.txt")).unionAll(line("i", "j", "matrix_a.txt.old")), "matrix")
+    rows = sources.read_tagged(spark, folder, [sources.Named(k, f"matrix_{k}.txt", equals=True) for k in "ab"])
+    return settled(matrix.matrix_multiply_tiled(*(sources.cells(rows.where(F.col("tag") == k)) for k in "ab")), folder)
+
+
 def _sink_modes(spark, sf_dir):
     """A folder written, refused, and replaced: (attempt, rows read after it, whether it was refused)."""
     nations, regions = table(spark, sf_dir, "nation").select(F.col("n_name").alias("k")), table(spark, sf_dir, "region").select(F.col("r_name").alias("k"))
@@ -175,6 +209,7 @@ def _sink_modes(spark, sf_dir):
 QUERIES: dict[str, tuple[Query, str]] = {
     "text_lines": (_text_lines, f"with {_TEXT_FILES} select file, value, count(*) as n from lines group by file, value"),
     "text_line_offsets": (_text_line_offsets, f"with {_TEXT_FILES} select file, start as \"offset\", value from lines"),
+    "text_line_places": (_text_line_places, f"with {_TEXT_FILES} select file, doc_id, cast(base as bigint) as \"offset\" from rows_"),
     "text_inverted_index": (
         _text_inverted_index,
         f"with {_TEXT_FILES}, {_TEXT_POSTINGS} select word, string_agg(file || ': ' || pos::varchar, ' ' order by file, pos) as postings from posts group by word",
@@ -187,9 +222,11 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "text_join_map_side": (_text_join("broadcast", " ", "null"), _text_join_sql("' '", "null")),
     "text_join_reduce_side": (_text_join("hash", "\t", ""), _text_join_sql("chr(9)", "")),
     "text_join_secondary_sort": (_text_join("merge", " ", ""), _text_join_sql("' '", "")),
+    "text_join_tagged": (_text_join_tagged, _text_join_sql("' '", "")),
     "text_page_rank": (_text_page_rank, _text_page_rank_sql()),
     "text_kmeans_step": (_text_kmeans_step, _TEXT_KMEANS),
     "text_matrix_multiply": (_text_matrix_multiply, f"with {_CELLS} {_MULTIPLY}"),
+    "text_matrix_tagged": (_text_matrix_tagged, f"with {_CELLS} {_MULTIPLY}"),
     "sink_modes": (
         _sink_modes,
         "select attempt::int as attempt, case when attempt = 2 then (select count(*) from region) else (select count(*) from nation) end as n, attempt = 1 as refused from range(3) t(attempt)",

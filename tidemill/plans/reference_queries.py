@@ -11,7 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import cluster, graph, joins, matrix, text, topk
+from tidemill.folders import new_folder, settled
+from tidemill.operators import cluster, graph, joins, matrix, postings, text, topk
 from tidemill.operators.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,30 @@ def _tf_idf(spark, sf_dir):
     return text.tf_idf(_docs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+# Posting lists as blocks, written and read back
+
+
+def _blocks(spark, sf_dir):
+    folder = new_folder(spark, "blocks")
+    postings.posting_blocks(text.postings(_docs(spark, sf_dir))).write.parquet(folder)
+    return spark.read.parquet(folder), folder
+
+
+def _index_blocks(spark, sf_dir):
+    """Of each word, from the blocks' headers alone: postings, and the first and the last one."""
+    blocks, folder = _blocks(spark, sf_dir)
+    ends = blocks.groupBy("word").agg(F.sum("n").alias("n"), F.min("first").alias("a"), F.max("last").alias("z"))
+    return settled(ends.select("word", "n", *(F.col(f"{e}.{c}").alias(f"{name}_{c}") for e, name in (("a", "first"), ("z", "last")) for c in ("doc", "pos"))), folder)
+
+
+def _index_read(spark, sf_dir):
+    blocks, folder = _blocks(spark, sf_dir)
+    return settled(postings.read_blocks(blocks), folder)
+
+
+_INDEX_BLOCKS = f"""with {_POSTINGS}, ends as (select word, count(*) as n, min({{'doc': doc, 'pos': pos}}) as a, max({{'doc': doc, 'pos': pos}}) as z from posts group by word)
+select word, n, a.doc as first_doc, a.pos as first_pos, z.doc as last_doc, z.pos as last_pos from ends"""
+
 # Top-k
 
 
@@ -79,6 +104,13 @@ def _join(strategy: str, separator: str, missing: str) -> Query:
     return run
 
 
+def _join_tagged(spark, sf_dir):
+    fact = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("category"))
+    dim = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("category"), F.col("s_name").alias("category_name"), F.col("s_suppkey").alias("line"))
+    joined = joins.tagged_join(fact, dim, "category", order="line")
+    return joined.select("id", "category", "category_name", joins.rendered(F.col("category"), F.col("category_name"), " ", "").alias("value"))
+
+
 def _join_sql(separator: str, missing: str) -> str:
     return f"""select c_custkey as id, c_nationkey as category, name as category_name, c_nationkey::varchar || {separator} || coalesce(name, '{missing}') as value
 from customer left join (select s_nationkey, arg_max(s_name, s_suppkey) as name from supplier group by s_nationkey) on c_nationkey = s_nationkey"""
@@ -88,8 +120,8 @@ from customer left join (select s_nationkey, arg_max(s_name, s_suppkey) as name
 # the matrix itself, so that the inner index runs over all vectors.
 
 
-def _cells(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
+def _cells(spark, sf_dir, dealt=lambda df: df):
+    vectors = dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return vectors.select(F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", "j", F.round(F.col("x").cast("double") * 100).cast("int").alias("v"))
 
 
@@ -99,10 +131,15 @@ def _matrix_add(spark, sf_dir):
 
 
 def _matrix_multiply(spark, sf_dir):
-    a = _cells(spark, sf_dir)
+    a = _cells(spark, sf_dir, spread)
     return matrix.matrix_multiply(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a)
 
 
+def _matrix_multiply_tiled(spark, sf_dir):
+    a = _cells(spark, sf_dir, spread)
+    return matrix.matrix_multiply_tiled(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a)
+
+
 _CELLS = """cells as (select cast(vec_id as int) as i, cast(generate_subscripts(embedding, 1) - 1 as int) as j, cast(round(cast(unnest(embedding) as double) * 100) as int) as v
 from embeddings)"""
 _ADD = "select i, j, cast(sum(v) as bigint) as v from (select * from cells union all select * from cells where (i + j) % 2 = 0) group by i, j"
@@ -129,8 +166,19 @@ def _page_rank_textbook(spark, sf_dir):
     return graph.page_rank_textbook(pages, edges, n_pages=pages.count()).select("page", F.round("rank", 9).alias("rank"))
 
 
-_EDGES = """pairs as (select distinct src, dst from (
-  select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null),
+#: The residual that pages do not send, as a share of the mean rank, and more rounds than this takes.
+_UNSENT, _ROUNDS = 1e-3, 60
+
+
+def _page_rank_converged(spark, sf_dir):
+    pages, edges = _graph(spark, sf_dir)
+    n = pages.count()
+    return graph.page_rank_converged(pages, edges, n_pages=n, bound=_UNSENT / n).select("page", F.round("rank", 9).alias("rank"))
+
+
+_FOLLOW = """pairs as (select distinct src, dst from (
+  select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null)"""
+_EDGES = f"""{_FOLLOW},
 edges as (select src, dst, count(*) over (partition by src) as deg from pairs),
 size as (select cast(count(*) as double) as n from part)"""
 
@@ -146,6 +194,16 @@ def _page_rank_sql(textbook: bool) -> str:
     return f"with {', '.join(ctes)} {last}"
 
 
+_CONVERGED = f"""with recursive {_EDGES},
+state(round, page, rank, residual) as (
+  select 0, p_partkey, 0.15::double / n, 0.15::double / n from part, size
+  union all
+  select round + 1, s.page, rank + coalesce(got, 0), case when abs(residual) > {_UNSENT} / n then 0 else residual end + coalesce(got, 0)
+  from state s left join (
+    select dst, sum(0.85::double * residual / deg) as got from state join edges on src = page, size where abs(residual) > {_UNSENT} / n group by dst) m on m.dst = s.page, size
+  where round < {_ROUNDS})
+select page, round(rank, 9) as rank from state where round = {_ROUNDS}"""
+
 # K-means on (l_quantity / 5, l_discount * 100)
 
 #: Steps to which the SQL of the loop is unrolled; those after the fixpoint change nothing.
@@ -211,6 +269,8 @@ QUERIES: dict[str, tuple[Query, str]] = {
         lambda s, d: text.inverted_index(_docs(s, d)),
         f"with {_POSTINGS} select word, string_agg(doc::varchar || ': ' || pos::varchar, ' ' order by doc, pos) as postings from posts group by word",
     ),
+    "inverted_index_blocks": (_index_blocks, _INDEX_BLOCKS),
+    "inverted_index_read": (_index_read, f"with {_POSTINGS} select word, doc, pos from posts"),
     "tf_count": (_tf_count, f"with {_COUNTS} select word, doc, n from counts"),
     "tf_doc_total": (lambda s, d: text.with_doc_total(_tf_count(s, d)), f"{_FULL} select word, doc, n, doc_total from full_"),
     "tf_doc_freq": (lambda s, d: text.with_doc_freq(_tf_count(s, d)), f"{_FULL} select word, doc, n, m from full_"),
@@ -223,10 +283,13 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "join_map_side": (_join("broadcast", " ", "null"), _join_sql("' '", "null")),
     "join_reduce_side": (_join("hash", "\t", ""), _join_sql("chr(9)", "")),
     "join_secondary_sort": (_join("merge", " ", ""), _join_sql("' '", "")),
+    "join_tagged": (_join_tagged, _join_sql("' '", "")),
     "matrix_add": (_matrix_add, f"with {_CELLS} {_ADD}"),
     "matrix_multiply": (_matrix_multiply, f"with {_CELLS} {_MULTIPLY}"),
+    "matrix_multiply_tiled": (_matrix_multiply_tiled, f"with {_CELLS} {_MULTIPLY}"),
     "page_rank": (_page_rank, _page_rank_sql(False)),
     "page_rank_textbook": (_page_rank_textbook, _page_rank_sql(True)),
+    "page_rank_converged": (_page_rank_converged, _CONVERGED),
     "kmeans_assign": (_kmeans_assign, f"with {_KPOINTS}, {_CENTRES} select l_orderkey, l_linenumber, cast({_ASSIGN} as int) as cluster from pts, c"),
     "kmeans_step": (_kmeans_step, _kmeans_sql(1)),
     "kmeans": (_kmeans, _kmeans_sql(STEPS)),
