@@ -6,6 +6,9 @@ import json
 import os
 import time
 
+# Python workers import the package from here, whatever folder this is run in.
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), *filter(None, [os.environ.get("PYTHONPATH")])])
+
 from pyspark.sql import SparkSession
 
 from tidemill.plans.reference_queries import QUERIES

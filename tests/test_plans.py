@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import graph, joins, matrix, postings, text
+from tidemill.chain import Stage, run_chain
+from tidemill.operators import cluster, graph, joins, maintained, matrix, postings, text
 from tidemill.sources import sinks
 from tidemill.sources import text as sources
 
@@ -259,6 +260,15 @@ def test_empty_and_null_lines_are_lines(spark, tmp_path):
 # Ranks to convergence
 
 
+def test_hub_edges_in_parts_give_the_same_ranks(spark):
+    pages, edges = some_graph(spark)
+    for rank in (graph.page_rank, graph.page_rank_textbook):
+        plain, parts = ({r["page"]: r["rank"] for r in rank(pages, edges, 40, iterations=4, hub_edges=h).collect()} for h in (10**6, 3))
+        assert plain.keys() == parts.keys() and all(abs(plain[p] - parts[p]) < 1e-8 for p in plain)
+    links = graph._in_parts(edges, graph._hubs(edges, 3))
+    assert len({r["part"] for r in links.where("src = 7").collect()}) > 5 and graph._hubs(edges, 10**6) is None
+
+
 def some_graph(spark, seed=11, n=40):
     rng = random.Random(seed)
     pairs = sorted({(rng.randint(0, n - 1), rng.randint(5, n - 1)) for _ in range(3 * n)} | {(7, k) for k in range(n - 10)})
@@ -289,3 +299,96 @@ def test_converged_ranks_without_in_links_stay(spark):
     want = {r["page"]: r["rank"] for r in graph.page_rank(pages, edges, 20, iterations=30, damping=0.5, base=0.5).collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
     assert graph.page_rank_converged(pages, edges, 20, bound=1e-9, max_rounds=0).orderBy("page").collect() == spark.createDataFrame([(k, 0.15 / 20) for k in range(20)], "page int, rank double").collect()
+
+
+# Many centres
+
+
+@pytest.mark.parametrize("k", [1, 300, 10_000])
+def test_a_grid_of_centres_is_the_full_scan(spark, k):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 10, (k, 2))
+    centres[k // 2] = centres[0]
+    at = np.concatenate([rng.normal(0, 10, (3000, 2)), rng.uniform(-60, 60, (500, 2)), centres[:100]])
+    points = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(at)], "n int, x double, y double")
+    away = np.sqrt((at[:, None, 0] - centres[:, 0]) ** 2 + (at[:, None, 1] - centres[:, 1]) ** 2)
+    got = cluster.kmeans_assign(points, [tuple(map(float, c)) for c in centres], literals=0, indexed=1)
+    assert {r["n"]: r["cluster"] for r in got.collect()} == dict(enumerate(away.argmin(axis=1).tolist()))
+    assert not named(executed(got), ".*(Python|Arrow|Pandas)")
+    grid = cluster.centre_grid(centres.tolist(), -60, -60, 60, 60)
+    # Distances that a point is compared by, for points like the centres.
+    cell = np.clip((at[:3000] + 60) // [grid.width, grid.height], 0, grid.side - 1).astype(int)
+    looked_at = np.mean([len(grid.near[r * grid.side + c]) for c, r in cell])
+    assert looked_at < max(2, k / 50, min(40, k / 5))
+
+
+def test_a_grid_of_centres_with_odd_points(spark):
+    centres = [(float(k), float(-k)) for k in range(400)]
+    odd = [(1, None, 1.0), (2, float("nan"), 0.0), (3, float("inf"), 0.0), (4, 5.2, -5.1), (5, 1e9, -1e9)]
+    points = spark.createDataFrame(odd, "n int, x double, y double")
+    plain, grid = ({r["n"]: r["cluster"] for r in cluster.kmeans_assign(points, centres, literals=0, indexed=k).collect()} for k in (10**6, 1))
+    assert plain == grid and plain[1] is None and plain[4] == 5 and plain[5] == 399
+    nothing = cluster.kmeans_assign(points.where("n = 1"), centres, indexed=1)
+    assert [r["cluster"] for r in nothing.collect()] == [None]
+    assert [r["cluster"] for r in cluster.kmeans_assign(points.where("n = 5"), centres, cutoff=1e5, indexed=1).collect()] == [0]
+
+
+# Maintained TF-IDF
+
+
+def test_maintained_tf_idf_is_that_of_the_texts_now(spark, tmp_path):
+    rng = random.Random(13)
+    make = lambda ids: spark.createDataFrame([(k, " ".join(rng.choices("a b c d E f".split(), k=rng.randint(0, 9)))) for k in ids], "doc_id long, text string").cache()
+    first, second, again = make(range(30)), make(range(30, 50)), make([3, 3, 7, 60])
+    exact = lambda df: sorted((*tuple(r)[:-1], round(r["score"], 9)) for r in df.collect())
+    tables = maintained.term_tables(first).written(f"{tmp_path}/0")
+    tables = maintained.added(maintained.added(tables, second), again).written(f"{tmp_path}/1")
+    now = first.unionAll(second).unionAll(again)
+    assert exact(maintained.scores(tables)) == exact(text.tf_idf(now))
+    gone = spark.createDataFrame([(3,), (44,), (44,), (999,), (None,)], "doc_id long")
+    left = maintained.removed(tables, gone)
+    assert exact(maintained.scores(left)) == exact(text.tf_idf(now.join(gone, "doc_id", "left_anti")))
+    assert exact(maintained.scores(maintained.removed(tables, now))) == []
+    # Old texts are not read again: only the tables and the new texts stand in the plan.
+    scanned = named(executed(maintained.scores(maintained.added(maintained.read_tables(spark, f"{tmp_path}/1"), again))), "Scan|InMemoryTableScan")
+    assert {n.nodeName().split()[0] for n in scanned} <= {"Scan", "InMemoryTableScan"} and sum(n.nodeName().startswith("Generate") for n in scanned) == 0
+
+
+# Chains
+
+
+def test_a_chain_goes_on_after_a_failure(spark, tmp_path):
+    spark.range(10).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/in")
+    ran, broken = [], [True]
+
+    def stage(name, change):
+        def run(_, df, **parameters):
+            ran.append(name)
+            if name == "c" and broken[0]:
+                raise RuntimeError("lost")
+            return change(df, **parameters)
+
+        return run
+
+    def chain(times=2):
+        return [Stage("a", stage("a", lambda df: df.where("k > 2")), ["in"]), Stage("b", stage("b", lambda df, times: df.selectExpr(f"k * {times} as k")), ["a"], {"times": times}), Stage("c", stage("c", lambda df: df.selectExpr("sum(k) as k")), ["b"])]
+
+    run = lambda *of, **more: run_chain(spark, f"{tmp_path}/out", {"in": f"{tmp_path}/in"}, chain(*of), **more).collect()[0][0]
+    with pytest.raises(RuntimeError):
+        run()
+    assert ran == ["a", "b", "c"]
+    broken[0], there = False, []
+    ran.clear()
+    # The table of b is read, not made again: it still holds what was changed by hand.
+    kept = next((tmp_path / "out").glob("b-*")) / "table"
+    spark.createDataFrame([(100,), (1,)], "k long").write.mode("overwrite").parquet(str(kept))
+    assert run(progress=lambda *x: there.append(x)) == 101 and ran == ["c"] and there == [("a", True), ("b", True), ("c", False)]
+    ran.clear()
+    assert run() == 101 and ran == []
+    # Other parameters, then another input: from there on all is made anew.
+    assert run(3) == 3 * sum(range(3, 10)) and ran == ["b", "c"]
+    ran.clear()
+    spark.range(12).withColumnRenamed("id", "k").write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 2 * (sum(range(3, 10)) + sum(range(3, 12))) and ran == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        run_chain(spark, f"{tmp_path}/out", {"in": f"{tmp_path}/in"}, [Stage("in", lambda _, df: df, ["in"])])

@@ -1,6 +1,6 @@
 """PageRank over an edge DataFrame (src, dst, out_degree).
 
-The edges are written once to the shared folder, dealt by src; an iteration joins them with the ranks that the one
+The edges are written once to the shared folder, dealt by src, and those of a hub in parts; an iteration joins them with the ranks that the one
 before gave to pages with in-links, and sums the shares by dst with map-side combine. So a plan has one join and one
 exchange of sums an iteration, and is cut by a checkpoint every CUT_EVERY iterations.
 
@@ -27,23 +27,46 @@ def as_float(x: float) -> float:
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-def _iterated(pages: DataFrame, edges: DataFrame, first: float, other: Column, kept, n_pages: int, iterations: int, damping: float, base: float) -> DataFrame:
+#: Edges of a page that one task gets; a page with more has them dealt in parts.
+HUB_EDGES = 200_000
+
+
+def _hubs(links: DataFrame, hub_edges: int) -> DataFrame | None:
+    """(src, parts) of the pages with more than hub_edges links; None without any."""
+    hubs = cut(links.groupBy("src").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("parts")).where("parts > 1"))
+    return None if hubs.isEmpty() else hubs
+
+
+def _in_parts(links: DataFrame, hubs: DataFrame) -> DataFrame:
+    """links with `part`, by the target for hubs."""
+    return links.join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def _iterated(
+    pages: DataFrame, edges: DataFrame, first: float, other: Column, kept, n_pages: int, iterations: int, damping: float, base: float, hub_edges: int = HUB_EDGES
+) -> DataFrame:
     """(dst, rank) of the pages with in-links after the last iteration. first: every page's rank at the start, other: that of a page without in-links later; kept: how a rank is carried on."""
     links = edges.join(pages.select(F.col("page").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "out_degree")
-    links = cut(links.repartition("src")) if iterations > 1 else links
+    hubs = None
+    if iterations > 1:
+        hubs = _hubs(links, hub_edges)
+        links = cut((links if hubs is None else _in_parts(links, hubs)).repartition("src", *([] if hubs is None else ["part"])))
     ranks = None
     for k in range(iterations):
         if ranks is None:
             shares = links.select("dst", (F.lit(first) / F.col("out_degree")).alias("share"))
         else:
-            carried = ranks.select(F.col("dst").alias("page"), kept(F.col("rank")).alias("rank"))
-            shares = links.join(carried, links.src == carried.page, "left").select("dst", (F.coalesce("rank", other) / F.col("out_degree")).alias("share"))
+            carried = ranks.select(F.col("dst").alias("src"), kept(F.col("rank")).alias("rank"))
+            if hubs is not None:
+                # A hub's rank goes to each part of its edges.
+                carried = carried.join(hubs, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            shares = links.join(carried, ["src"] if hubs is None else ["src", "part"], "left").select("dst", (F.coalesce("rank", other) / F.col("out_degree")).alias("share"))
         ranks = shares.groupBy("dst").agg((F.lit(base) / n_pages + F.lit(damping) * F.sum("share")).alias("rank"))
         ranks = cut(ranks) if (k + 1) % CUT_EVERY == 0 and k + 1 < iterations else ranks
     return ranks
 
 
-def page_rank(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15) -> DataFrame:
+def page_rank(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(page, rank) after a fixed number of iterations (one at least), for the pages that have in-links.
 
     A page without in-links keeps its initial 1/n; a page without out-links gives nothing away, and neither does an edge
@@ -52,20 +75,16 @@ def page_rank(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int
     rounded = lambda c: c.cast("float").cast("double")
     first = 1.0 / n_pages
     start = rounded(F.lit(first))
-    return _iterated(pages, edges, as_float(first), start, rounded, n_pages, iterations, damping, base).select(F.col("dst").alias("page"), "rank")
+    return _iterated(pages, edges, as_float(first), start, rounded, n_pages, iterations, damping, base, hub_edges).select(F.col("dst").alias("page"), "rank")
 
 
-def page_rank_textbook(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15) -> DataFrame:
+def page_rank_textbook(pages: DataFrame, edges: DataFrame, n_pages: int, iterations: int = 3, damping: float = 0.85, base: float = 0.15, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(page, rank) for all pages: a page without in-links gets base / n; doubles throughout."""
     without = F.lit(base / n_pages)
-    found = _iterated(pages, edges, 1.0 / n_pages, without, lambda c: c, n_pages, iterations, damping, base)
+    found = _iterated(pages, edges, 1.0 / n_pages, without, lambda c: c, n_pages, iterations, damping, base, hub_edges)
     return pages.select("page").join(found, F.col("page") == F.col("dst"), "left").select("page", F.coalesce("rank", without).alias("rank"))
 
 
-#: Edges of a page that one task gets; a page with more has them dealt in parts.
-HUB_EDGES = 200_000
-
-
 def page_rank_converged(
     pages: DataFrame, edges: DataFrame, n_pages: int, bound: float, damping: float = 0.85, base: float = 0.15, textbook: bool = True, max_rounds: int = 1000,
     hub_edges: int = HUB_EDGES, progress: Callable[[int, int, int], None] | None = None,

@@ -11,8 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.chain import Stage, run_chain
 from tidemill.folders import new_folder, settled
-from tidemill.operators import cluster, graph, joins, matrix, postings, text, topk
+from tidemill.operators import cluster, graph, joins, maintained, matrix, postings, text, topk
 from tidemill.operators.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,8 @@ _COUNTS = f"counts as (select word, doc, count(*) as n from ({_TOKENS}) where wo
 _FULL = f"""with {_COUNTS}, full_ as (
   select word, doc, n, cast(sum(n) over (partition by doc) as bigint) as doc_total, count(*) over (partition by word) as m from counts)"""
 
+_TF_IDF = f"{_FULL} select word, doc, n, doc_total, m, round(n / doc_total * ln((select count(*) from documents)::double / m), 6) as score from full_"
+
 _POSTINGS = """lines as (
   select doc_id as doc, generate_subscripts(ls, 1) as line, unnest(ls) as value
   from (select doc_id, string_split(text, chr(10)) as ls from documents)),
@@ -53,6 +56,31 @@ def _tf_idf(spark, sf_dir):
     return text.tf_idf(_docs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def _tf_idf_chain(spark, sf_dir):
+    """Counts, totals, frequencies and scores as stages of a chain, each written and marked."""
+    stages = [
+        Stage("counts", lambda _, docs: text.term_counts(docs), ["documents"]),
+        Stage("totals", lambda _, counts: text.with_doc_total(counts), ["counts"]),
+        Stage("freqs", lambda _, totals: totals.join(text.doc_freqs(totals), "word"), ["totals"]),
+        Stage("scores", lambda _, freqs, docs: freqs.select("*", text.tf_idf_score(docs.agg(F.count("*")).scalar()).alias("score")), ["freqs", "documents"]),
+    ]
+    folder = new_folder(spark, "chain")
+    scores = run_chain(spark, folder, {"documents": f"{sf_dir}/documents.parquet"}, stages)
+    return settled(scores.select("word", "doc", "n", "doc_total", "m", F.round("score", 6).alias("score")))
+
+
+def _tf_idf_maintained(spark, sf_dir):
+    """Documents without labels first; then the labelled ones are added, removed, and added again."""
+    docs, labels = _docs(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    folder = new_folder(spark, "tables")
+    more = docs.join(labels, "doc_id", "left_semi")
+    tables = maintained.term_tables(docs.join(labels, "doc_id", "left_anti")).written(f"{folder}/0")
+    tables = maintained.added(tables, more).written(f"{folder}/1")
+    tables = maintained.removed(tables, labels).written(f"{folder}/2")
+    tables = maintained.added(tables, more).written(f"{folder}/3")
+    return settled(maintained.scores(tables).withColumn("score", F.round("score", 6)))
+
+
 # Posting lists as blocks, written and read back
 
 
@@ -274,10 +302,9 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "tf_count": (_tf_count, f"with {_COUNTS} select word, doc, n from counts"),
     "tf_doc_total": (lambda s, d: text.with_doc_total(_tf_count(s, d)), f"{_FULL} select word, doc, n, doc_total from full_"),
     "tf_doc_freq": (lambda s, d: text.with_doc_freq(_tf_count(s, d)), f"{_FULL} select word, doc, n, m from full_"),
-    "tf_idf": (
-        _tf_idf,
-        f"{_FULL} select word, doc, n, doc_total, m, round(n / doc_total * ln((select count(*) from documents)::double / m), 6) as score from full_",
-    ),
+    "tf_idf": (_tf_idf, _TF_IDF),
+    "tf_idf_chain": (_tf_idf_chain, _TF_IDF),
+    "tf_idf_maintained": (_tf_idf_maintained, _TF_IDF),
     "top_k": (lambda s, d: topk.top_k(_salaries(s, d)), _TOP_K),
     "top_k_distinct": (_top_k_distinct, _TOP_K),
     "join_map_side": (_join("broadcast", " ", "null"), _join_sql("' '", "null")),
