@@ -10,7 +10,8 @@ is its normalised span sent through the alignment. Equal units of a batch are fo
 compared byte by byte; should different ones share a hash, the batch's units are told apart one by one.
 
 Segmentation of a unit is the sentencepiece library's, with normalisation switched off. Null text is
-empty and has no ids. Text that is not valid UTF-8 is read with replacement characters.
+empty and has no ids. Text that is not valid UTF-8 is read with replacement characters. Repeated rows and ids get a row
+each, null ids are kept; only the named columns are read, so others may have any name. An empty table gives no rows. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -120,7 +122,7 @@ class Normaliser:
         return self._walk(text.encode(), space.encode())
 
     def _walk(self, source: bytes, space: bytes) -> tuple[str, np.ndarray]:
-        steps, at = [], 0
+        steps, at = deque(), 0
         while at < len(source):
             hit = self.map.longest(source, at)
             if hit is None:
@@ -131,7 +133,7 @@ class Normaliser:
             at += hit[0]
         if self.remove_extra:
             while steps and steps[0][1] == b" ":
-                steps.pop(0)
+                steps.popleft()
         if not steps:
             return "", np.array([at])
         out, align, after_space = bytearray(), [], False

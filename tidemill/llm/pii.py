@@ -4,7 +4,8 @@ Kinds `email`, `ip`, `card` and `phone` are the base kinds: their spans always s
 score. `iban` (mod-97), `ssn` (three-part number) and `secret` (a run of 20 or more letters and digits, as in
 access tokens), the last two only with a context word, are added where their score reaches the threshold. Matches of a kind are leftmost and do not overlap; kinds may overlap.
 
-Spans are in code points, end exclusive. Null or empty text has no spans. Time is linear in the text:
+Spans are in code points, end exclusive. Null or empty text has no spans. Repeated rows and ids get a row each, null ids are
+kept; an input column under the name of a result is left out by detect and kept by redact; an empty table gives no rows. Time is linear in the text:
 each pattern is anchored so that a failed attempt is not repeated from inside the same run.
 """
 
