@@ -194,9 +194,10 @@ def slow_measures(text):
     dup = sum(bool(WORD.search(x)) and x in lines[:k] for k, x in enumerate(lines))
     base = (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, union((i, 5) for i, m in enumerate(ms) if m >= 5))
     failed = n < 10 or 100 * base[4] > 20 * n
-    over = union((i, m) for i, m in enumerate(ms) if m >= span)
+    held = {p for i, m in enumerate(ms) if m >= span for p in range(i, i + m)}
+    over, chars = len(held), sum(len(w[p]) for p in held)
     top = max((m for m in ms if m >= span), default=0)
-    return (*base, failed, not failed and 100 * over <= repetition.SHARE * n and top <= repetition.LONGEST, over, top, len(maximal)), sorted(maximal, key=lambda r: (-r[0], r[2]))
+    return (*base, failed, not failed and 100 * chars <= repetition.SHARE * base[1] and top <= repetition.LONGEST, over, chars, top, len(maximal)), sorted(maximal, key=lambda r: (-r[0], r[2]))
 
 
 def repeated_texts(seed, n):
@@ -211,7 +212,7 @@ def repeated_texts(seed, n):
 def test_measures_match_substring_search():
     texts = ["", " ", "\n\n", "a", *repeated_texts(1, 150), *(" ".join(f"w{k}{j}" for k in range(90)) + " " + " ".join(f"w{k}{j}" for k in range(9)) for j in range(3))]
     m = repetition.measures(pa.array(texts))
-    rows = zip(m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed(), m.kept(), m.n_covered, m.longest, m.n_repeats)
+    rows = zip(m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed(), m.kept(), m.n_covered, m.covered_chars, m.longest, m.n_repeats)
     for text, row in zip(texts, rows, strict=True):
         want, maximal = slow_measures(text)
         assert tuple(map(int, row)) == tuple(map(int, want)), text
@@ -229,8 +230,10 @@ def test_words_of_one_hash_stay_apart(monkeypatch):
 def test_long_repeats_fail_what_the_base_rule_keeps():
     own = [f"w{k}" for k in range(1000)]
     clean, quoted, framed = " ".join(own), " ".join([*own, *own[100:140]]), " ".join([*own[:9], *own[:100], *own[:9]])
-    m = repetition.measures(pa.array([clean, quoted, framed]))
-    assert m.base_failed().tolist() == [False, False, True] and m.kept().tolist() == [True, False, False] and m.longest.tolist() == [0, 40, 9]
+    # Two long words in a sentence that comes twice: a fifth of the words at most, but most of the text.
+    wordy = " ".join([*own[:100], "one two three four five six seven " + "x" * 200, *own[200:300], "one two three four five six seven " + "x" * 200])
+    m = repetition.measures(pa.array([clean, quoted, framed, wordy]))
+    assert m.base_failed().tolist() == [False, False, True, False] and m.kept().tolist() == [True, False, False, False] and m.longest.tolist() == [0, 40, 9, 8]
     assert repetition.maximal_repeats(quoted) == [(40, 2, [100, 1000])]
 
 

@@ -6,7 +6,7 @@ still share their beginning with another one are sorted again. After WINDOW word
 first WINDOW words come more than once; their longest common prefixes are found in the text's order, where each is at most one
 shorter than the one before it. Intervals of the prefixes, closed by a stack, are the right-maximal repeats; those with different words
 before them are maximal. A maximal repeat of SPAN words or more covers its occurrences; the union of these spans, as a share of the
-words, and the longest repeat are limited.
+code points in words, and the longest repeat are limited.
 
 Every repeat lies within an occurrence of a maximal one, so the union is that of the longest repeat at each word. Occurrences may overlap: `a a a` repeats `a a`.
 
@@ -29,9 +29,9 @@ from tidemill.llm.kernels import mix, raw, same_spans, slices, span_hashes, text
 
 #: Words of a window of the base rule; least words of a text; percent of words in repeated windows that the base rule allows.
 WINDOW, LEAST_WORDS, BASE_SHARE = 5, 10, 20
-#: The method's: least words of a repeat that counts, percent of words that such repeats may cover, most words of the longest one.
-#: So a passage that comes twice fails a long text that the base rule lets pass, and a sentence at the head and the foot of a short one does not.
-SPAN, SHARE, LONGEST = 8, 18, 30
+#: The method's: least words of a repeat that counts, percent of the words' code points that such repeats may cover, most words of the longest one.
+#: So a passage that comes twice fails a long text that the base rule lets pass, as do repeats of long words, and a sentence at the head and the foot of a short text does not.
+SPAN, SHARE, LONGEST = 8, 25, 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Text bytes handled at once.
@@ -159,12 +159,12 @@ class Suffixes:
         return out
 
 
-def covered(positions: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Words of each text that lie in position .. position + size - 1 for some entry."""
+def covered(positions: np.ndarray, sizes: np.ndarray, edges: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Words of each text, or the sum of their weights, that lie in position .. position + size - 1 for some entry."""
     marks = np.zeros(edges[-1] + 1, np.int64)
     np.add.at(marks, positions, 1)
     np.add.at(marks, positions + sizes, -1)
-    inside = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
+    inside = np.concatenate([[0], np.cumsum((np.cumsum(marks[:-1]) > 0) * (1 if weights is None else weights))])
     return inside[edges[1:]] - inside[edges[:-1]]
 
 
@@ -178,6 +178,7 @@ class Measures:
     n_dup_lines: np.ndarray
     n_repeat_words: np.ndarray
     n_covered: np.ndarray
+    covered_chars: np.ndarray
     longest: np.ndarray
     n_repeats: np.ndarray
 
@@ -185,7 +186,7 @@ class Measures:
         return (self.n_words < LEAST_WORDS) | (100 * self.n_repeat_words > BASE_SHARE * self.n_words)
 
     def kept(self) -> np.ndarray:
-        return ~self.base_failed() & (100 * self.n_covered <= SHARE * self.n_words) & (self.longest <= LONGEST)
+        return ~self.base_failed() & (100 * self.covered_chars <= SHARE * self.word_chars) & (self.longest <= LONGEST)
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -207,7 +208,8 @@ def measures(texts: pa.Array) -> Measures:
     doc = np.repeat(np.arange(len(texts)), n_words)
     # Code points: bytes that don't continue one; blanks are of one byte.
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    sizes = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
+    chars = points[ends] - points[starts]
+    sizes = np.concatenate([[0], np.cumsum(chars)])
     symbols = _per_text(_SYMBOL[data], offsets)
     found = Suffixes(word_numbers(data, starts, ends, doc), edges)
     at, longest = found.longest_at()
@@ -221,7 +223,8 @@ def measures(texts: pa.Array) -> Measures:
         repeats[doc[found.array[k]]] += 1
     lines = np.array([dup_lines(t) for t in texts.to_pylist()], np.int64)
     return Measures(
-        n_words, np.diff(sizes[edges]), symbols, lines, covered(at, np.full(len(at), WINDOW), edges), covered(at[enough], longest[enough], edges), np.where(top >= SPAN, top, 0), repeats,
+        n_words, np.diff(sizes[edges]), symbols, lines, covered(at, np.full(len(at), WINDOW), edges), covered(at[enough], longest[enough], edges), covered(at[enough], longest[enough], edges, chars),
+        np.where(top >= SPAN, top, 0), repeats,
     )
 
 
@@ -237,9 +240,9 @@ def maximal_repeats(text: str, least: int = SPAN) -> list[tuple[int, int, list[i
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns in keep with the base figures, base_failed, kept, and of repeats of SPAN words or more the words covered, the longest and their number."""
+    """The columns in keep with the base figures, base_failed, kept, and of repeats of SPAN words or more the words and code points covered, the longest and their number."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    more = ["n_covered", "longest", "n_repeats"]
+    more = ["n_covered", "covered_chars", "longest", "n_repeats"]
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
