@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.chain import Stage, run_chain
-from tidemill.operators import cluster, graph, joins, maintained, matrix, postings, text
+from tidemill.operators import cluster, graph, joins, maintained, matrix, postings, spread, text
 from tidemill.sources import sinks
 from tidemill.sources import text as sources
 
@@ -52,6 +52,26 @@ def test_texts_are_tokenised_once(spark, ask):
 # Posting blocks
 
 
+def test_partitions_of_postings_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, "some words\nof text " * 5) for k in range(3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(spread, "PART_BYTES", spread.estimated_bytes(docs) // 40)
+    assert spread.parts_of(docs) >= 40
+    found = text.postings(docs)
+    # The parts that adaptive execution would merge into a few stay as they are.
+    assert found.rdd.getNumPartitions() >= 40 and found.count() == 3000 * 20
+    blocks = postings.posting_blocks(found)
+    assert blocks.rdd.getNumPartitions() >= 20 and blocks.agg(F.sum("n")).first()[0] == 3000 * 20
+
+
+def test_lines_are_dealt_before_their_tokens_are_exploded(spark):
+    lines = spark.createDataFrame([("a.txt", 0, "x yy  z"), ("a.txt", 8, "x")], "doc string, start long, value string")
+    found = text.postings_of_lines(lines)
+    assert sorted(map(tuple, found.collect())) == [("x", "a.txt", 0), ("x", "a.txt", 8), ("yy", "a.txt", 2), ("z", "a.txt", 5)]
+    exchanges = named(executed(found), "Exchange")
+    assert len(exchanges) == 1 and "value" in exchanges[0].output().toString()
+
+
 def some_postings(seed, n, doc=lambda k: k):
     rng = random.Random(seed)
     return [(rng.choice(["the"] * 8 + ["a", "é", "zz"]), doc(rng.randint(-5, 400)), rng.randint(0, 10**6)) for _ in range(n)]

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from tidemill.operators.spread import parts_of
+
 #: Postings of a block at most.
 BLOCK = 1024
 
@@ -115,7 +117,8 @@ def posting_blocks(found: DataFrame, block: int = BLOCK) -> DataFrame:
     doc = F.col("doc").cast("long") if numbered else F.col("doc").cast("string")
     kind = "long" if numbered else "string"
     order = ["word", "doc", "pos"]
-    rows = found.select("word", doc.alias("doc"), F.col("pos").cast("long").alias("pos")).dropna().repartitionByRange(*order).sortWithinPartitions(*order)
+    whole = found.select("word", doc.alias("doc"), F.col("pos").cast("long").alias("pos")).dropna()
+    rows = whole.repartitionByRange(parts_of(whole), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
