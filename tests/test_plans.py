@@ -49,6 +49,20 @@ def test_texts_are_tokenised_once(spark, ask):
     assert len(named(plan, "Generate")) == 1
 
 
+def test_counts_and_totals_share_one_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(k % 50, f"a b{k % 3} c{k} A") for k in range(100)] + [(None, "x y"), (None, "x"), (7, None)], "doc_id long, text string")
+        plan = executed(text.with_doc_total(text.term_counts(df)))
+        # An id of many rows is counted where its rows are; the counts are the same.
+        many = [sorted(map(str, text.with_doc_total(text.term_counts(df, many_rows=m)).collect())) for m in (1, 1000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(named(plan, "Exchange")) == 1 and not named(plan, ".*Join")
+    assert many[0] == many[1]
+    assert {(r["word"], r["n"], r["doc_total"]) for r in text.with_doc_total(text.term_counts(df)).where("doc is null").collect()} == {("x", 2, 3), ("y", 1, 3)}
+
+
 # Posting blocks
 
 
