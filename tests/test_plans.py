@@ -303,6 +303,18 @@ def test_hub_edges_in_parts_give_the_same_ranks(spark):
     assert len({r["part"] for r in links.where("src = 7").collect()}) > 5 and graph._hubs(edges, 10**6) is None
 
 
+def test_edges_are_dealt_once_for_all_rounds(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages, edges = some_graph(spark)
+        for rank in (graph.page_rank, graph.page_rank_textbook):
+            moved = [n.output().toString() for n in named(executed(rank(pages, edges, 40)), "Exchange")]
+            assert moved and not any("out_degree" in columns for columns in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def some_graph(spark, seed=11, n=40):
     rng = random.Random(seed)
     pairs = sorted({(rng.randint(0, n - 1), rng.randint(5, n - 1)) for _ in range(3 * n)} | {(7, k) for k in range(n - 10)})

@@ -29,6 +29,8 @@ def as_float(x: float) -> float:
 
 #: Edges of a page that one task gets; a page with more has them dealt in parts.
 HUB_EDGES = 200_000
+#: Edges for which the dealt table has a partition, so that what a task sorts doesn't grow with the graph.
+PART_EDGES = 2_000_000
 
 
 def _hubs(links: DataFrame, hub_edges: int) -> DataFrame | None:
@@ -37,6 +39,17 @@ def _hubs(links: DataFrame, hub_edges: int) -> DataFrame | None:
     return None if hubs.isEmpty() else hubs
 
 
+def _dealt(links: DataFrame, n: int, *by: str) -> DataFrame:
+    """n links dealt by these columns and written. Adaptive execution is off meanwhile: what it writes is not known to be dealt, so each join would deal it again."""
+    spark = links.sparkSession
+    parts, adaptive = max(spark.sparkContext.defaultParallelism, -(-n // PART_EDGES)), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(links.repartition(parts, *by))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def _in_parts(links: DataFrame, hubs: DataFrame) -> DataFrame:
     """links with `part`, by the target for hubs."""
     return links.join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -49,8 +62,10 @@ def _iterated(
     links = edges.join(pages.select(F.col("page").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "out_degree")
     hubs = None
     if iterations > 1:
+        # Written as they come: what makes them runs once, not for the hubs and the dealing each.
+        links = cut(links)
         hubs = _hubs(links, hub_edges)
-        links = cut((links if hubs is None else _in_parts(links, hubs)).repartition("src", *([] if hubs is None else ["part"])))
+        links = _dealt(links if hubs is None else _in_parts(links, hubs), links.count(), "src", *([] if hubs is None else ["part"]))
     ranks = None
     for k in range(iterations):
         if ranks is None:
@@ -102,11 +117,11 @@ def page_rank_converged(
     senders with the edges, sums by target with map-side combine, and writes the pages' state.
     """
     ids = pages.select("page")
-    known = edges.join(ids.select(F.col("page").alias("src")), "src", "left_semi").join(ids.select(F.col("page").alias("dst")), "dst", "left_semi")
+    known = cut(edges.join(ids.select(F.col("page").alias("src")), "src", "left_semi").join(ids.select(F.col("page").alias("dst")), "dst", "left_semi"))
     spread = known.groupBy("src").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("parts"), F.count("*").alias("links"))
     # Within a hub, edges go to parts by their target.
     dealt = known.join(spread, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", "out_degree")
-    links = cut(dealt.repartition("src", "part"))
+    links = _dealt(dealt, known.count(), "src", "part")
     given = F.lit(base / n_pages)
     if not textbook:
         into = known.select(F.col("dst").alias("page")).distinct().withColumn("linked", F.lit(True))
