@@ -400,6 +400,17 @@ def test_maintained_tf_idf_is_that_of_the_texts_now(spark, tmp_path):
     assert {n.nodeName().split()[0] for n in scanned} <= {"Scan", "InMemoryTableScan"} and sum(n.nodeName().startswith("Generate") for n in scanned) == 0
 
 
+def test_counts_of_new_documents_are_not_merged_with_old_ones(spark, tmp_path):
+    make = lambda ids: spark.createDataFrame([(k, f"a b{k % 3} A") for k in ids], "doc_id long, text string")
+    old = maintained.term_tables(make(range(20))).written(f"{tmp_path}/0")
+    more = maintained.added(old, make(range(20, 30)))
+    assert not named(executed(more.counts), ".*Join") and len(named(executed(more.counts), "Exchange")) == 1
+    assert sorted(map(tuple, more.counts.collect())) == sorted(map(tuple, text.term_counts(make(range(30))).collect()))
+    assert sorted(map(tuple, more.freqs.collect())) == sorted(map(tuple, text.doc_freqs(text.term_counts(make(range(30)))).collect()))
+    again = maintained.added(old, make([3, 40]))
+    assert {tuple(r) for r in again.counts.where("doc = 3").collect()} == {("a", 3, 4), ("b0", 3, 2)} and again.freqs.where("word = 'a'").first()["m"] == 21
+
+
 # Chains
 
 

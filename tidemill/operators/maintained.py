@@ -47,9 +47,13 @@ def _summed(one: DataFrame, other: DataFrame, by: list[str], value: str) -> Data
 def added(tables: TermTables, docs: DataFrame, doc: str = "doc_id", text_: str = "text") -> TermTables:
     """The tables with more rows of text, of new documents or of ones that are there."""
     new = term_tables(docs, doc, text_)
+    rows = _summed(tables.rows, new.rows, ["doc"], "rows")
+    if new.rows.join(tables.rows, "doc", "left_semi").isEmpty():
+        # No document was there before, so nothing is merged but the frequencies: the old counts are neither dealt nor compared.
+        return TermTables(tables.counts.unionByName(new.counts), _summed(tables.freqs, new.freqs, ["word"], "m"), rows)
     # A word counts for a document once, also where the document held it before.
     first = new.counts.join(tables.counts.select("word", "doc"), ["word", "doc"], "left_anti")
-    return TermTables(_summed(tables.counts, new.counts, ["word", "doc"], "n"), _summed(tables.freqs, text.doc_freqs(first), ["word"], "m"), _summed(tables.rows, new.rows, ["doc"], "rows"))
+    return TermTables(_summed(tables.counts, new.counts, ["word", "doc"], "n"), _summed(tables.freqs, text.doc_freqs(first), ["word"], "m"), rows)
 
 
 def removed(tables: TermTables, docs: DataFrame, doc: str = "doc_id") -> TermTables:
