@@ -107,6 +107,25 @@ def test_jaccard_holds_few_pairs_at_once(spark):
     assert found_components(jaccard_join.similar_documents(docs, limits=jaccard_join.Limits(pairs_held=50))) == slow_components(rows)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_jaccard_moves_sets_a_few_times_only(spark):
+    """What is shuffled follows the documents, not the pairs of near copies: six times as many in each group make six times as many documents, but 37 times as many pairs."""
+    moved = {}
+    for each in (20, 120):
+        rows = [(d, t) for d, t in near_copies(5, 4, each, words=800, edits=8) if " p54" not in t]
+        docs, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shuffled(spark)
+        found = jaccard_join.similar_documents(docs).select("component_id").distinct().count()
+        assert found == 4
+        moved[each] = shuffled(spark) - before
+    assert moved[120] < 9 * moved[20], moved
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert found_components(jaccard_join.similar_documents(docs)) == slow_components([(r[0], r[1]) for r in docs.collect()])
