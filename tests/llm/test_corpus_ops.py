@@ -126,6 +126,30 @@ def test_jaccard_moves_sets_a_few_times_only(spark):
     assert moved[120] < 9 * moved[20], moved
 
 
+def test_jaccard_reports_a_pair_once():
+    """Near copies meet in all fragments, but a pair is about one row; no pair of links is left out."""
+    rows = [(d, t) for d, t in near_copies(5, 4, 12, words=800, edits=4) if " p54" not in t]
+    cuts, bins = 64, 1 << 14
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})
+    held = defaultdict(list)
+    for b in jaccard_join._prefix_entries(5, 75, (np.arange(bins) * cuts // bins).astype(np.int32), 1, np.empty(0, np.uint64))([batch]):
+        for part, blob in zip(b.column("part").to_pylist(), b.column("entries").to_pylist(), strict=True):
+            held[part].append(blob)
+    met = Counter()
+    for part, blobs in held.items():
+        entries = pa.RecordBatch.from_pydict({"part": pa.array([part] * len(blobs), pa.int32()), "entries": pa.array(blobs, pa.binary())})
+        for b in jaccard_join._meet(75, cuts, jaccard_join.Limits())([entries]):
+            met.update(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True))
+    sets = {}
+    for d, t in rows:
+        flat, sizes = kernels.shingle_sets(pa.array([t]), 5)
+        sets[int(jaccard_join._nodes(flat, sizes).view(np.int64)[0])] = shingle_set(t)
+    linked = {frozenset((a, b)) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(held) > 16 and len(linked) > 100
+    assert linked <= {frozenset(x) for x in met}
+    assert sum(met.values()) < 3 * len(linked), (sum(met.values()), len(linked))
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert found_components(jaccard_join.similar_documents(docs)) == slow_components([(r[0], r[1]) for r in docs.collect()])
