@@ -150,6 +150,13 @@ def test_jaccard_reports_a_pair_once():
     assert sum(met.values()) < 3 * len(linked), (sum(met.values()), len(linked))
 
 
+def test_jaccard_compares_small_groups_by_rounds(spark):
+    """Groups of six have three pairs for each node with a smaller one; a round takes one of them."""
+    pairs = [(10 * g + a, 10 * g + b, 50, 50, True) for g in range(3) for a in range(6) for b in range(a + 1, 6)]
+    now = jaccard_join._one_each(spark.createDataFrame(pairs, "a long, b long, na long, nb long, sure boolean"))
+    assert sorted((r["a"], r["b"]) for r in now.collect()) == [(10 * g, 10 * g + b) for g in range(3) for b in range(1, 6)]
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert found_components(jaccard_join.similar_documents(docs)) == slow_components([(r[0], r[1]) for r in docs.collect()])
