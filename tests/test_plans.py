@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.chain import Stage, run_chain
 from tidemill.operators import cluster, graph, joins, maintained, matrix, postings, spread, text
+from tidemill.plans import reference_queries
 from tidemill.sources import sinks
 from tidemill.sources import text as sources
 
@@ -411,6 +412,15 @@ def test_counts_of_new_documents_are_not_merged_with_old_ones(spark, tmp_path):
     assert {tuple(r) for r in again.counts.where("doc = 3").collect()} == {("a", 3, 4), ("b0", 3, 2)} and again.freqs.where("word = 'a'").first()["m"] == 21
 
 
+def test_maintained_tf_idf_holds_the_tables_of_one_step(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reference_queries, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    found = reference_queries.QUERIES["tf_idf_maintained"][0](spark, "/root/testdata/sf0.001")
+    held = {str(p.relative_to(tmp_path / "tables").parent) for p in (tmp_path / "tables").rglob("*.parquet")}
+    assert held == {"3/freqs", "3/rows", "scores/totals"}
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, reference_queries.QUERIES["tf_idf"][0](spark, "/root/testdata/sf0.001").collect()))
+
+
 # Chains
 
 

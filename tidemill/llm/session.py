@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.folders import cut, forget, new_folder, settled, shared_dir
+from tidemill.folders import cut, forget, new_folder, settled, shared_dir, tidy
 
 __all__ = ["cut", "forget", "new_folder", "partitions", "read_alike", "settled", "shared_dir", "tidy"]
 
@@ -15,12 +13,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle and checkpoint files that nothing refers to any more. It does so when the driver collects garbage, which a driver with little to do on its own heap puts off while the executors' disks fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Nodes of an optimised plan whose rows come in one order whenever they are read, if their expressions have one value only.
 _PLAIN = {"LogicalRelation", "Relation", "LocalRelation", "Project", "Filter"}
 

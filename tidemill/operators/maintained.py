@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.folders import tidy
 from tidemill.operators import text
 
 
@@ -22,20 +23,34 @@ class TermTables:
     rows: DataFrame
 
     def written(self, folder: str) -> TermTables:
-        """The tables, written as Parquet to a new folder and read from there."""
+        """The tables, written as Parquet to a new folder and read from there. Counts stand in order of their words, which compress so; the shuffles of a table go before the next one is made."""
+        spark = self.counts.sparkSession
         for name in ("counts", "freqs", "rows"):
-            getattr(self, name).write.parquet(f"{folder}/{name}")
-        return read_tables(self.counts.sparkSession, folder)
+            _kept(getattr(self, name), f"{folder}/{name}")
+        return read_tables(spark, folder)
+
+
+def _kept(table: DataFrame, path: str) -> DataFrame:
+    """table written to path, each file in order of its words, and read from there."""
+    spark = table.sparkSession
+    (table.sortWithinPartitions("word") if "word" in table.columns else table).write.parquet(path)
+    tidy(spark)
+    return spark.read.parquet(path)
 
 
 def read_tables(spark: SparkSession, folder: str) -> TermTables:
     return TermTables(*(spark.read.parquet(f"{folder}/{name}") for name in ("counts", "freqs", "rows")))
 
 
-def term_tables(docs: DataFrame, doc: str = "doc_id", text_: str = "text") -> TermTables:
-    """The tables of documents; a document's further rows are more of its text. Null ids are not kept: they could not be removed again."""
+def term_tables(docs: DataFrame, doc: str = "doc_id", text_: str = "text", folder: str | None = None) -> TermTables:
+    """The tables of documents; a document's further rows are more of its text. Null ids are not kept: they could not be removed again.
+
+    folder: a new one, to which the counts are written first, so that texts are tokenised and dealt once for all tables.
+    """
     known = docs.where(F.col(doc).isNotNull())
     counts = text.term_counts(known, doc, text_)
+    if folder:
+        counts = _kept(counts, f"{folder}/counts")
     return TermTables(counts, text.doc_freqs(counts), known.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("rows")))
 
 
@@ -44,9 +59,9 @@ def _summed(one: DataFrame, other: DataFrame, by: list[str], value: str) -> Data
     return one.unionByName(other).groupBy(*by).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
 
 
-def added(tables: TermTables, docs: DataFrame, doc: str = "doc_id", text_: str = "text") -> TermTables:
-    """The tables with more rows of text, of new documents or of ones that are there."""
-    new = term_tables(docs, doc, text_)
+def added(tables: TermTables, docs: DataFrame, doc: str = "doc_id", text_: str = "text", folder: str | None = None) -> TermTables:
+    """The tables with more rows of text, of new documents or of ones that are there. folder: see term_tables."""
+    new = term_tables(docs, doc, text_, folder)
     rows = _summed(tables.rows, new.rows, ["doc"], "rows")
     if new.rows.join(tables.rows, "doc", "left_semi").isEmpty():
         # No document was there before, so nothing is merged but the frequencies: the old counts are neither dealt nor compared.
@@ -63,8 +78,9 @@ def removed(tables: TermTables, docs: DataFrame, doc: str = "doc_id") -> TermTab
     return TermTables(tables.counts.join(gone, "doc", "left_anti").select("word", "doc", "n"), _summed(tables.freqs, less, ["word"], "m"), tables.rows.join(gone, "doc", "left_anti"))
 
 
-def scores(tables: TermTables) -> DataFrame:
-    """tf_idf of all documents in the tables."""
+def scores(tables: TermTables, folder: str | None = None) -> DataFrame:
+    """tf_idf of all documents in the tables. folder: a new one, to which the counts with their totals are written, so that the shuffle of the totals is gone before that of the words is made."""
     n_docs = tables.rows.agg(F.sum("rows")).scalar()
-    full = text.with_doc_total(tables.counts).join(tables.freqs, "word")
+    totals = text.with_doc_total(tables.counts)
+    full = (_kept(totals, f"{folder}/totals") if folder else totals).join(tables.freqs, "word")
     return full.select("word", "doc", "n", "doc_total", "m", text.tf_idf_score(n_docs).alias("score"))
