@@ -36,6 +36,22 @@ def named(found, pattern):
     return [node for node in found if re.match(pattern, node.nodeName())]
 
 
+# Lists
+
+
+def test_lists_are_joined_from_pieces(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), rng.choice(["x", "y", None]), rng.randrange(100)) for _ in range(500)] + [("d", None, 3), ("e", "x", 7)]
+    found = spark.createDataFrame(rows, "word string, doc string, pos long")
+    want = {w: " ".join(f"{d}: {p}" for d, p in sorted((d, p) for v, d, p in rows if v == w and d)) for w in "abcde"}
+    for lists in (text.listed(found), text.listed(found, piece=7)):
+        assert {r["word"]: r["postings"] for r in lists.collect()} == want
+    # What a word's last task gathers is one entry a piece: two documents (and none) here, not 500 postings.
+    gathered = [n for n in named(executed(text.listed(found)), "ObjectHashAggregate|SortAggregate") if "collect_list" in n.toString()]
+    by_doc = [n for n in gathered if "keys=[word#" in n.toString() and "doc#" in n.toString().split("functions=")[0]]
+    assert len(by_doc) == 2 and min(n.metrics().apply("numOutputRows").value() for n in by_doc) == len({r[:2] for r in rows})
+
+
 # TF-IDF
 
 
